@@ -21,27 +21,52 @@ _NOISE = (
     r"|(" + _QUOTED + r"(?:\.(?:" + _QUOTED + r"|[\w$]++))*+)"
     r"|--[^\n]*+|# [^\n]*+|/\*.*?\*/"
 )
-_WORD = r"[A-Za-z_][\w$]*+"
-_TOKEN = (
-    r"(?:" + _WORD + r"|" + _QUOTED + r")(?:\.(?:[\w$]++|" + _QUOTED + r"))*+"
-    r"|[\w$]++|\S"
-)
 _INSERT = r"(?i)^insert\b"
 _CTE = r"(?i)(?:\bwith\s+(?:recursive\s+)?|,\s*)([\w$]+)\s*(?:\([^()]*\)\s*)?as\s*\("
 
-# Words that change what the next token is.
+# Words that change what the next token is. Words that no comma can follow before
+# another of them comes (UNION, VALUES, LIMIT, ON, USING, …) need no mention.
 _LIST_WORDS = ("FROM", "JOIN")
 _TARGET_WORDS = ("INTO", "UPDATE", "TABLE", "OVERWRITE")
+_PASSING_WORDS = ("ONLY", "LATERAL")
+# IS DISTINCT FROM and ON DUPLICATE KEY UPDATE name no table.
 _CLAUSE_WORDS = (
-    "SELECT", "WHERE", "GROUP", "ORDER", "HAVING", "SET", "VALUES", "LIMIT", "UNION",
-    "EXCEPT", "INTERSECT", "MINUS", "WITH", "WINDOW", "QUALIFY", "OFFSET", "FETCH",
-    "RETURNING",
+    "DISTINCT FROM", "KEY UPDATE",
+    "SELECT", "WHERE", "GROUP", "ORDER", "HAVING", "SET", "WINDOW", "RETURNING",
 )
-_PASSING_WORDS = ("ONLY", "LATERAL")
+# Functions whose arguments may hold a FROM.
 _FROM_FUNCTIONS = ("EXTRACT", "SUBSTRING", "TRIM", "OVERLAY", "POSITION")
+_PUNCTUATION = ("(", ")", ",")
+_WORDS = (*_CLAUSE_WORDS, *_LIST_WORDS, *_TARGET_WORDS, *_PASSING_WORDS)
+
+
+def _any_mark() -> str:
+    """Pattern of a word or function opening, sorted so that one look at the initial
+    letter rules most of them out."""
+    marks = [w + r"\b" for w in _WORDS] + [w + r" ?\(" for w in _FROM_FUNCTIONS]
+    parts = [
+        f"(?=[{span}])(?:" + "|".join(m for m in marks if span[0] <= m[0] <= span[-1]) + ")"
+        for span in ("A-F", "G-L", "M-R", "S-Z")
+    ]
+    return "(?i:" + "|".join(parts) + ")"
+
+
+# A token is a mark as above, a punctuation mark, or a name with all that follows it up
+# to the next of these: the alias, the condition and the like say nothing about tables.
+# Runs are possessive and of one character class, for this is the hottest pattern here.
+_MARK = _any_mark()
+_NAMELIKE = (
+    r"(?:[A-Za-z_][\w$.]*+(?:" + _QUOTED + r"[\w$.]*+)*+|(?:" + _QUOTED + r"[\w$.]*+)++)"
+)
+_TOKEN = (
+    _MARK + r"|[(),]|(?:" + _NAMELIKE + r"|[0-9][\w$.]*+|\S)"
+    r"(?:\s*+(?!" + _MARK + r")(?:[\w$.]++|[^\w\s(),\"`$.]++))*+"
+)
 
-# Meaning of a parenthesis level.
-_PLAIN, _TABLE_LIST, _ARGUMENTS = 0, 1, 2
+# What a parenthesis level holds: plain SQL, a table list, or function arguments.
+_PLAIN, _TABLE_LIST, _ARGUMENTS = "p", "t", "a"
+# Token codes.
+_OTHER, _OPEN, _CLOSE, _COMMA, _CALL, _LIST, _TARGET, _PASS, _CLAUSE = range(9)
 
 
 def bare_sql(sql: Column) -> Column:
@@ -73,90 +98,77 @@ def cte_names(statement: Column) -> Column:
     return F.regexp_extract_all(statement, F.lit(_CTE), F.lit(1))
 
 
-def _kinds(statement: Column) -> Column:
-    """Tokens as struct(text, kind), kind being the token's role in finding tables."""
+def _coded(statement: Column) -> Column:
+    """Tokens as struct(text, code), code being the token's role in finding tables."""
     worded = F.transform(
         F.regexp_extract_all(statement, F.lit(_TOKEN), F.lit(0)),
         lambda t: F.struct(t.alias("text"), F.upper(t).alias("word")),
     )
-
-    def kind(t: Column) -> Column:
-        word = t["word"]
+    def code(word: Column) -> Column:
         return (
-            F.when(word.isin("(", ")", ","), word)
-            .when(word.isin(*_LIST_WORDS), "list")
-            .when(word.isin(*_TARGET_WORDS), "target")
-            .when(word.isin(*_CLAUSE_WORDS), "clause")
-            .when(word.isin(*_PASSING_WORDS), "pass")
-            .when(word.isin(*_FROM_FUNCTIONS), "function")
-            .when(word.isin("DISTINCT"), "distinct")
-            .when(word.isin("KEY"), "key")
-            .when(word.rlike("^[A-Z_\"`]"), "name")
-            .otherwise("other")
+            # One hash probe settles most tokens.
+            F.when(~word.isin(*_PUNCTUATION, *_WORDS),
+                   F.when(word.endswith("(") & (word != "("), _CALL).otherwise(_OTHER))
+            .when(word == ",", _COMMA)
+            .when(word == "(", _OPEN)
+            .when(word == ")", _CLOSE)
+            .when(word.isin(*_LIST_WORDS), _LIST)
+            .when(word.isin(*_TARGET_WORDS), _TARGET)
+            .when(word.isin(*_PASSING_WORDS), _PASS)
+            .otherwise(_CLAUSE)
         )
 
-    return F.transform(worded, lambda t: F.struct(t["text"].alias("text"), kind(t).alias("kind")))
+    return F.transform(
+        worded, lambda t: F.struct(t["text"].alias("text"), code(t["word"]).alias("code"))
+    )
 
 
 def named_tables(statement: Column) -> Column:
     """Tables a statement names (target first), distinct, without its CTE names.
 
-    A fold over the tokens carries the stack of parenthesis levels, whether a table
-    name is due, the last token's kind and the names found.
+    A fold over the tokens carries the open parenthesis levels (one letter each, the
+    innermost last), whether a table name is due, and the names found.
     """
-    start = F.struct(
-        F.array(F.lit(_PLAIN)).alias("levels"),
-        F.lit(False).alias("due"),
-        F.lit("").alias("before"),
-        F.array().cast("array<string>").alias("found"),
-    )
+
+    def state(levels, due, found) -> Column:
+        return F.struct(levels.alias("levels"), due.alias("due"), found.alias("found"))
 
     def step(acc: Column, token: Column) -> Column:
-        kind, levels, due = token["kind"], acc["levels"], acc["due"]
-        level = F.get(levels, F.lit(0))
-        outer = F.slice(levels, F.lit(2), F.size(levels))
-        # IS DISTINCT FROM and ON DUPLICATE KEY UPDATE name no table.
-        opens_list = (kind == "list") & (acc["before"] != "distinct")
-        opens_target = (kind == "target") & (acc["before"] != "key")
-        quiet = (level == _ARGUMENTS) & ~kind.isin("(", ")")
-
-        new_levels = (
+        code, levels, due, found = token["code"], acc["levels"], acc["due"], acc["found"]
+        no, yes = F.lit(False), F.lit(True)
+        outer = F.left(levels, F.length(levels) - 1)
+        as_plain, as_list = (F.concat(outer, F.lit(x)) for x in (_PLAIN, _TABLE_LIST))
+        opened = F.concat(levels, F.when(due, _TABLE_LIST).otherwise(_PLAIN))
+        in_arguments = levels.endswith(_ARGUMENTS)
+        return (
             F.when(
-                kind == "(",
-                F.concat(
-                    F.array(
-                        F.when(acc["before"] == "function", _ARGUMENTS)
-                        .when(due, _TABLE_LIST)
-                        .otherwise(_PLAIN)
-                    ),
-                    levels,
-                ),
+                code == _OTHER,
+                F.when(due, state(levels, no, F.concat(found, F.array(token["text"]))))
+                .otherwise(acc),
             )
-            .when(kind == ")", F.when(F.size(levels) > 1, outer).otherwise(levels))
-            .when(quiet, levels)
-            .when(opens_list, F.concat(F.array(F.lit(_TABLE_LIST)), outer))
-            .when(opens_target | (kind.isin("clause", "target")),
-                  F.concat(F.array(F.lit(_PLAIN)), outer))
-            .otherwise(levels)
-        )
-        new_due = (
-            F.when(kind == "(", due)
-            .when(quiet, F.lit(False))
-            .when(kind == ",", level == _TABLE_LIST)
-            .when(opens_list | opens_target, F.lit(True))
-            .when(kind == "pass", due)
-            .otherwise(F.lit(False))
-        )
-        is_table = due & ~quiet & kind.isin("name", "function", "key", "distinct")
-        new_found = F.when(
-            is_table, F.concat(acc["found"], F.array(F.translate(token["text"], '"`', "")))
-        ).otherwise(acc["found"])
-        return F.struct(
-            new_levels.alias("levels"),
-            new_due.alias("due"),
-            kind.alias("before"),
-            new_found.alias("found"),
+            .when(code == _COMMA, state(levels, levels.endswith(_TABLE_LIST), found))
+            .when(code == _OPEN, state(opened, due, found))
+            .when(code == _CLOSE, state(
+                F.when(F.length(levels) > 1, outer).otherwise(levels), no, found))
+            .when(code == _CALL, state(F.concat(levels, F.lit(_ARGUMENTS)), no, found))
+            .when((code == _PASS) | in_arguments, acc)
+            .when(code == _LIST, state(as_list, yes, found))
+            .when(code == _TARGET, state(as_plain, yes, found))
+            .otherwise(state(as_plain, no, found))
         )
 
-    found = F.aggregate(_kinds(statement), start, step, lambda acc: acc["found"])
-    return F.array_except(F.array_distinct(found), cte_names(statement))
+    start = state(F.lit(_PLAIN), F.lit(False), F.array().cast("array<string>"))
+    found = F.aggregate(_coded(statement), start, step, lambda acc: acc["found"])
+    names = F.transform(found, lambda t: F.regexp_extract(t, "^" + _NAMELIKE, 0))
+    named = F.transform(F.filter(names, lambda t: t != ""), lambda t: F.translate(t, '"`', ""))
+    ctes = F.when(statement.rlike(r"(?i)\bwith\b"), cte_names(statement)).otherwise(
+        F.array().cast("array<string>")
+    )
+    return F.array_except(F.array_distinct(named), ctes)
+
+
+def script_tables(sql: Column, every_insert: bool = False) -> Column:
+    """Tables named by a script's last INSERT, or by all of its INSERTs."""
+    found = inserts(statements(sql))
+    picked = found if every_insert else F.slice(found, -1, 1)
+    return F.flatten(F.transform(picked, named_tables))

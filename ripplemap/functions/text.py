@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,8 +16,18 @@ BREAKING_CHARACTER = "%"
 TRAILING_LINES = 3
 
 _LINE = r"[^\n]*+\n|[^\n]++"
+_BREAKING_VALUE = r"^(\s*(?:- +)*(?:[\w.-]+ *: +|- +))(%[^\n]*)\n?$"
 # Blank characters that a Unicode-aware strip removes from both ends.
-_EDGE_BLANKS = r"^[\s\x1c-\x1f\x85\p{Z}]++|[\s\x1c-\x1f\x85\p{Z}]++$"
+_BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
+    "           "
+    "    　"
+)
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def lines_of(text: Column) -> Column:
@@ -33,25 +43,34 @@ def line_count(text: Column) -> Column:
 
 
 def strip_blanks(text: Column) -> Column:
-    return F.regexp_replace(text, _EDGE_BLANKS, "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def lint_yml(text: Column, mode: str = "parity") -> Column:
     """Remove what breaks a YAML loader.
 
     parity: the last three lines go, then each line with a ``%``.
-    intended: the ``%`` lines that are directives or plain scalars cannot be told
-    apart line by line, so nothing but directive-like lines (``%`` first) goes.
+    intended: nothing goes but directive lines; a plain value that starts with ``%``,
+    which no loader takes, is quoted.
     """
     if mode == "intended":
-        kept = F.filter(lines_of(text), lambda line: ~F.ltrim(line).startswith(BREAKING_CHARACTER))
-        return F.array_join(kept, "")
-    size = F.greatest(line_count(text) - TRAILING_LINES, F.lit(0))
-    kept = F.filter(
-        F.slice(lines_of(text), F.lit(1), size),
-        lambda line: ~line.contains(BREAKING_CHARACTER),
-    )
-    return F.array_join(kept, "")
+        lines = F.filter(lines_of(text), lambda line: ~line.startswith(BREAKING_CHARACTER))
+        return F.array_join(F.transform(lines, _quote_value), "")
+    return once(text, lambda whole: F.array_join(
+        F.filter(
+            F.slice(
+                lines_of(whole), F.lit(1), F.greatest(line_count(whole) - TRAILING_LINES, F.lit(0))
+            ),
+            lambda line: ~line.contains(BREAKING_CHARACTER),
+        ),
+        "",
+    ))
+
+
+def _quote_value(line: Column) -> Column:
+    head, value = (F.regexp_extract(line, _BREAKING_VALUE, i) for i in (1, 2))
+    quoted = F.concat(head, F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'\n"))
+    return F.when(line.rlike(_BREAKING_VALUE), quoted).otherwise(line)
 
 
 def literal_map(variables: Mapping[str, str]) -> Column:
@@ -60,6 +79,12 @@ def literal_map(variables: Mapping[str, str]) -> Column:
     return F.create_map(*pairs).cast("map<string,string>")
 
 
+def _first_variable(line: Column, at: Column) -> Column:
+    """Text between the first opening and the next delimiter of either kind or line end."""
+    rest = F.substr(line, at + len(VAR_OPEN))
+    return F.substring_index(F.substring_index(rest, VAR_OPEN, 1), VAR_CLOSE, 1)
+
+
 def substitute_lines(text: Column, variables: Mapping[str, str]) -> Column:
     """Replace the first ``{{variable}}`` of each line (reference behaviour).
 
@@ -68,15 +93,16 @@ def substitute_lines(text: Column, variables: Mapping[str, str]) -> Column:
     otherwise it loses all braces, and the variable's text loses its blanks.
     """
     known = literal_map(variables)
-    # Two passes, so that the variable of a line is cut out once and then reused.
-    cut = F.transform(
+    # Passes over the lines, so that a variable is cut out once and then reused.
+    opened = F.transform(
         lines_of(text),
-        lambda line: F.struct(
-            line.alias("line"),
-            F.when(
-                line.contains(VAR_OPEN),
-                F.get(F.split(F.get(F.split(line, r"\{\{"), F.lit(1)), r"\}\}"), F.lit(0)),
-            ).alias("var"),
+        lambda line: F.struct(line.alias("line"), F.instr(line, VAR_OPEN).alias("at")),
+    )
+    cut = F.transform(
+        opened,
+        lambda c: F.struct(
+            c["line"].alias("line"),
+            F.when(c["at"] > 0, _first_variable(c["line"], c["at"])).alias("var"),
         ),
     )
     named = F.transform(
@@ -101,8 +127,7 @@ def substitute_lines(text: Column, variables: Mapping[str, str]) -> Column:
         )
 
     # array_join leaves out the nulls, that is, the dropped lines.
-    replaced = F.array_join(F.transform(named, resolve), "")
-    return F.when(text.contains(VAR_OPEN), replaced).otherwise(text)
+    return F.array_join(F.transform(named, resolve), "")
 
 
 def substitute_all(text: Column, variables: Mapping[str, str]) -> Column:
@@ -110,7 +135,12 @@ def substitute_all(text: Column, variables: Mapping[str, str]) -> Column:
     for name, value in sorted(variables.items()):
         pattern = r"\{\{\s*+" + _quote(name) + r"\s*+\}\}"
         text = F.regexp_replace(text, F.lit(pattern), F.lit(_quote_replacement(str(value))))
-    return substitute_lines(text, {})
+    return once(text, lambda rest: _where_open(rest, {}))
+
+
+def _where_open(text: Column, variables: Mapping[str, str]) -> Column:
+    """Most texts have no variable at all and are passed on as they are."""
+    return F.when(text.contains(VAR_OPEN), substitute_lines(text, variables)).otherwise(text)
 
 
 def _quote(literal: str) -> str:
@@ -122,4 +152,6 @@ def _quote_replacement(literal: str) -> str:
 
 
 def substitute(text: Column, variables: Mapping[str, str], mode: str = "parity") -> Column:
-    return (substitute_all if mode == "intended" else substitute_lines)(text, variables)
+    if mode == "intended":
+        return substitute_all(text, variables)
+    return once(text, lambda whole: _where_open(whole, variables))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ripplemap.functions import names, sqltext, text
 from ripplemap.functions.yaml_udf import load_steps
-from ripplemap.operators.files import gate_yml, last_per_key, substitute_vars
+from ripplemap.operators.files import classify_files, gate_yml, last_per_key, substitute_vars
 from ripplemap.schemas import check_mode
 
 # Fixed value: the step type whose command is SQL.
@@ -41,12 +41,7 @@ def table_refs(stmts: DataFrame) -> DataFrame:
 
 def _script_tables(sql: Column, mode: str) -> Column:
     """Table names of a script. parity: its last INSERT only. intended: all INSERTs."""
-    stmts = sqltext.statements(sql)
-    if mode == "parity":
-        return F.coalesce(
-            sqltext.named_tables(sqltext.last_insert(stmts)), F.array().cast("array<string>")
-        )
-    return F.flatten(F.transform(sqltext.inserts(stmts), sqltext.named_tables))
+    return sqltext.script_tables(sql, every_insert=mode == "intended")
 
 
 def sql_file_tables(
@@ -166,8 +161,6 @@ def ingest_stats(
     files: DataFrame, variables: Mapping[str, str], mode: str = "parity"
 ) -> DataFrame:
     """(kind, outcome, files): found per kind, parsed and failed pipeline definitions."""
-    from ripplemap.operators.files import classify_files
-
     classified = classify_files(files, mode)
     found = classified.select("kind", F.lit("found").alias("outcome"))
     loaded = yml_documents(classified, variables, mode).select(

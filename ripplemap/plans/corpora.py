@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ripplemap.sources.repo import even_out
+
 VARIABLES = {"schema.ods": "ods"}
 TEMPLATE_VARIABLES = {"schema.ods": "ods", "root": "r"}
 SERVER_URL = "https://bi.example.com"
@@ -154,10 +156,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# What the text of a file is made of; spread while rows are still narrow.
+_TEXT_KEYS = {"orders": "o_orderkey", "part": "p_partkey", "supplier": "s_suppkey",
+              "customer": "c_custkey"}
+
+
 def derive(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run one of the texts above on the table it names."""
     name = text[text.rindex("FROM {") + 6:].split("}")[0]
-    return spark.sql(text, **{name: table(spark, sf_dir, name)})
+    rows = even_out(table(spark, sf_dir, name), _TEXT_KEYS[name])
+    return spark.sql(text, **{name: rows})
 
 
 def duck(text: str) -> str:

@@ -62,9 +62,9 @@ step_files AS (
 # Steps in name order: a_clean's last INSERT, then b_load's last definition.
 _STEP_PAIRS = """
 step_pairs AS (
-  SELECT path AS file, url, row_number() OVER (PARTITION BY path ORDER BY min(at)) - 1 AS pos, tab
+  SELECT path AS file, url, row_number() OVER (PARTITION BY path ORDER BY min(spot)) - 1 AS pos, tab
   FROM (
-    SELECT path, url, 0 AS at, 'dw.n' || n AS tab FROM step_files WHERE reason IS NULL
+    SELECT path, url, 0 AS spot, 'dw.n' || n AS tab FROM step_files WHERE reason IS NULL
     UNION ALL SELECT path, url, 1, 'ods.s' || (k % 7) FROM step_files WHERE reason IS NULL
     UNION ALL SELECT path, url, 2, 'new.t' || (k % 7) FROM step_files WHERE reason IS NULL)
   GROUP BY path, url, tab)"""
@@ -207,7 +207,7 @@ def _substituted(mode: str) -> str:
     return f"""
     SELECT c_custkey AS ordinal, 'from ods.t' || c_custkey || chr(10) || CASE c_custkey % 6
       WHEN 0 THEN '' WHEN 1 THEN 'from xy.t' || chr(10) WHEN 2 THEN '{both}' || chr(10)
-      WHEN 3 THEN ' q' || chr(10) WHEN 4 THEN 'a  x  ' || chr(10)
+      WHEN 3 THEN ' q' || chr(10) WHEN 4 THEN 'a  x ' || chr(10)
       ELSE '{rooted}' || chr(10) END || 'where open' AS content
     FROM customer"""
 

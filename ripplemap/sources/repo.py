@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ripplemap.functions.names import base_name
 
@@ -14,13 +15,27 @@ def from_table(snapshot: DataFrame) -> DataFrame:
     The preferred source: a table splits evenly over tasks and keeps files whose name
     starts with a dot or an underscore. Binary content becomes valid UTF-8 text.
     """
-    content = F.make_valid_utf8(F.col("content").cast("string"))
+    content = F.col("content")
+    if snapshot.schema["content"].dataType == T.BinaryType():
+        content = F.make_valid_utf8(content.cast("string"))
     return snapshot.select(
         "ordinal", "path", base_name(F.col("path")).alias("name"), "url",
         content.alias("content"),
     )
 
 
+def even_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a source of fewer partitions than there are task slots.
+
+    A small or unsplittable table would leave the text work to few tasks. A table that
+    already fills the cluster is passed on without a shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, *keys)
+
+
 def read_repo(spark: SparkSession, root: str, url_prefix: str = "") -> DataFrame:
     """A checked-out folder tree as repository files.
 
