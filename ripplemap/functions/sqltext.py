@@ -9,18 +9,30 @@ fine but one that stands unpaired in code hides the text up to the next quote.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from string import ascii_letters, digits
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Character classes are spelled out: the matcher then looks a character up in one table
+# instead of asking several ranges in turn.
+_NAME_START = ascii_letters + "_"
+_NAME_CHARS = ascii_letters + digits + "_$."
+_RUN = f"[{_NAME_CHARS}]++"
+_SYMBOLS = rf"""[^{_NAME_CHARS} \t\n\x0b\f\r(),"`]++"""
+
 # Group 1+2: a string's own quotes (its text is blanked). Group 3: a quoted
 # identifier with what is chained to it. Comments have no group and vanish.
 # Possessive quantifiers keep the matcher iterative on long strings.
 _QUOTED = r"""(?:"[^"]*+"|`[^`]*+`)"""
 _NOISE = (
-    r"(?s)(')(?:[^'\\]|\\.)*+(')"
+    r"(?s)(?=['\"`\-#/])(?:(')(?:[^'\\]|\\.)*+(')"
     r"|(" + _QUOTED + r"(?:\.(?:" + _QUOTED + r"|[\w$]++))*+)"
-    r"|--[^\n]*+|# [^\n]*+|/\*.*?\*/"
+    r"|--[^\n]*+|# [^\n]*+|/\*.*?\*/)"
 )
+# Blank runs that are not a single space already.
+_BLANK_RUN = r"[\t\n\x0b\f\r]\s*+| \s++"
 _INSERT = r"(?i)^insert\b"
 _CTE = r"(?i)(?:\bwith\s+(?:recursive\s+)?|,\s*)([\w$]+)\s*(?:\([^()]*\)\s*)?as\s*\("
 
@@ -36,42 +48,50 @@ _CLAUSE_WORDS = (
 )
 # Functions whose arguments may hold a FROM.
 _FROM_FUNCTIONS = ("EXTRACT", "SUBSTRING", "TRIM", "OVERLAY", "POSITION")
-_PUNCTUATION = ("(", ")", ",")
 _WORDS = (*_CLAUSE_WORDS, *_LIST_WORDS, *_TARGET_WORDS, *_PASSING_WORDS)
 
 
-def _any_mark() -> str:
-    """Pattern of a word or function opening, sorted so that one look at the initial
-    letter rules most of them out."""
-    marks = [w + r"\b" for w in _WORDS] + [w + r" ?\(" for w in _FROM_FUNCTIONS]
+def _any_of(marks: Sequence[str]) -> str:
+    """Pattern of any of the words, sorted so that one look at the initial letter rules
+    most of them out."""
+    spans = ("A-F", "G-L", "M-R", "S-Z")
     parts = [
-        f"(?=[{span}])(?:" + "|".join(m for m in marks if span[0] <= m[0] <= span[-1]) + ")"
-        for span in ("A-F", "G-L", "M-R", "S-Z")
+        f"(?=[{span}{span.lower()}])(?i:"
+        + "|".join(m for m in marks if span[0] <= m[0] <= span[-1]) + ")"
+        for span in spans
     ]
-    return "(?i:" + "|".join(parts) + ")"
+    return "(?:" + "|".join(parts) + ")"
 
 
-# A token is a mark as above, a punctuation mark, or a name with all that follows it up
-# to the next of these: the alias, the condition and the like say nothing about tables.
-# Runs are possessive and of one character class, for this is the hottest pattern here.
-_MARK = _any_mark()
-_NAMELIKE = (
-    r"(?:[A-Za-z_][\w$.]*+(?:" + _QUOTED + r"[\w$.]*+)*+|(?:" + _QUOTED + r"[\w$.]*+)++)"
+# A token is a function opening, or one of the words or a punctuation mark together with
+# the text up to the next token. That text starts with the table's name when one is due;
+# the alias, the condition and the like behind it say nothing about tables. Runs are
+# possessive and of one character class, for this is the hottest pattern here.
+_CALL_OPENING = "|".join(w + r" ?\(" for w in _FROM_FUNCTIONS)
+_MARK = _any_of([w + r" ?\(" for w in _FROM_FUNCTIONS] + [w + r"\b" for w in _WORDS])
+_TAIL = (
+    r"(?: *+(?!" + _MARK + r")(?:" + _RUN + r"|" + _QUOTED + r"|" + _SYMBOLS + r"))*+"
 )
 _TOKEN = (
-    _MARK + r"|[(),]|(?:" + _NAMELIKE + r"|[0-9][\w$.]*+|\S)"
-    r"(?:\s*+(?!" + _MARK + r")(?:[\w$.]++|[^\w\s(),\"`$.]++))*+"
+    r"(?i:" + _CALL_OPENING + r")|" + _any_of([w + r"\b" for w in _WORDS]) + _TAIL
+    + r"|[(),]" + _TAIL + r"|\S" + _TAIL
 )
+_TOKEN_MARK = r"^(?:[(),]|(?i:distinct from|key update)|[A-Za-z]++)"
+_NAMELIKE = (
+    rf"(?:[{_NAME_START}][{_NAME_CHARS}]*+(?:{_QUOTED}[{_NAME_CHARS}]*+)*+"
+    rf"|(?:{_QUOTED}[{_NAME_CHARS}]*+)++)"
+)
+_NAME_IN_TOKEN = r"^(?:[(),]|[A-Za-z]++)\s*+(" + _NAMELIKE + ")"
 
 # What a parenthesis level holds: plain SQL, a table list, or function arguments.
 _PLAIN, _TABLE_LIST, _ARGUMENTS = "p", "t", "a"
 # Token codes.
-_OTHER, _OPEN, _CLOSE, _COMMA, _CALL, _LIST, _TARGET, _PASS, _CLAUSE = range(9)
+_OPEN, _CLOSE, _COMMA, _LIST, _TARGET, _PASS, _CLAUSE, _CALL, _OTHER = range(9)
 
 
 def bare_sql(sql: Column) -> Column:
     """SQL without comments, with empty strings in place of literals, blanks squeezed."""
-    return F.regexp_replace(F.regexp_replace(sql, _NOISE, "$1$2$3 "), r"\s+", " ")
+    return F.regexp_replace(F.regexp_replace(sql, _NOISE, "$1$2$3 "), _BLANK_RUN, " ")
 
 
 def statements(sql: Column) -> Column:
@@ -99,27 +119,34 @@ def cte_names(statement: Column) -> Column:
 
 
 def _coded(statement: Column) -> Column:
-    """Tokens as struct(text, code), code being the token's role in finding tables."""
-    worded = F.transform(
+    """Tokens as struct(text, code, named): the mark's role, and whether text follows it."""
+    marked = F.transform(
         F.regexp_extract_all(statement, F.lit(_TOKEN), F.lit(0)),
-        lambda t: F.struct(t.alias("text"), F.upper(t).alias("word")),
+        lambda t: F.struct(
+            t.alias("text"), F.upper(F.regexp_extract(t, _TOKEN_MARK, 0)).alias("mark")
+        ),
     )
-    def code(word: Column) -> Column:
+
+    def code(text: Column, mark: Column) -> Column:
         return (
-            # One hash probe settles most tokens.
-            F.when(~word.isin(*_PUNCTUATION, *_WORDS),
-                   F.when(word.endswith("(") & (word != "("), _CALL).otherwise(_OTHER))
-            .when(word == ",", _COMMA)
-            .when(word == "(", _OPEN)
-            .when(word == ")", _CLOSE)
-            .when(word.isin(*_LIST_WORDS), _LIST)
-            .when(word.isin(*_TARGET_WORDS), _TARGET)
-            .when(word.isin(*_PASSING_WORDS), _PASS)
-            .otherwise(_CLAUSE)
+            F.when(mark == ",", _COMMA)
+            .when(mark == "(", _OPEN)
+            .when(mark == ")", _CLOSE)
+            .when(mark.isin(*_LIST_WORDS), _LIST)
+            .when(mark.isin(*_TARGET_WORDS), _TARGET)
+            .when(mark.isin(*_CLAUSE_WORDS), _CLAUSE)
+            .when(mark.isin(*_PASSING_WORDS), _PASS)
+            .when(mark.isin(*_FROM_FUNCTIONS) & text.endswith("("), _CALL)
+            .otherwise(_OTHER)
         )
 
     return F.transform(
-        worded, lambda t: F.struct(t["text"].alias("text"), code(t["word"]).alias("code"))
+        marked,
+        lambda t: F.struct(
+            t["text"].alias("text"),
+            code(t["text"], t["mark"]).alias("code"),
+            (F.length(t["text"]) > F.length(t["mark"])).alias("named"),
+        ),
     )
 
 
@@ -127,7 +154,7 @@ def named_tables(statement: Column) -> Column:
     """Tables a statement names (target first), distinct, without its CTE names.
 
     A fold over the tokens carries the open parenthesis levels (one letter each, the
-    innermost last), whether a table name is due, and the names found.
+    innermost last), whether a table name is due, and the tokens that hold one.
     """
 
     def state(levels, due, found) -> Column:
@@ -135,31 +162,31 @@ def named_tables(statement: Column) -> Column:
 
     def step(acc: Column, token: Column) -> Column:
         code, levels, due, found = token["code"], acc["levels"], acc["due"], acc["found"]
-        no, yes = F.lit(False), F.lit(True)
+        no, unnamed = F.lit(False), ~token["named"]
         outer = F.left(levels, F.length(levels) - 1)
         as_plain, as_list = (F.concat(outer, F.lit(x)) for x in (_PLAIN, _TABLE_LIST))
         opened = F.concat(levels, F.when(due, _TABLE_LIST).otherwise(_PLAIN))
-        in_arguments = levels.endswith(_ARGUMENTS)
+        taken = F.when(token["named"], F.concat(found, F.array(token["text"]))).otherwise(found)
+        in_list, in_arguments = levels.endswith(_TABLE_LIST), levels.endswith(_ARGUMENTS)
+        # ``due`` holds over a mark without text; a text settles it one way or the other.
         return (
-            F.when(
-                code == _OTHER,
-                F.when(due, state(levels, no, F.concat(found, F.array(token["text"]))))
-                .otherwise(acc),
-            )
-            .when(code == _COMMA, state(levels, levels.endswith(_TABLE_LIST), found))
-            .when(code == _OPEN, state(opened, due, found))
+            F.when(code == _COMMA, state(
+                levels, in_list & unnamed, F.when(in_list, taken).otherwise(found)))
+            .when(code == _OPEN, state(
+                opened, due & unnamed, F.when(due, taken).otherwise(found)))
             .when(code == _CLOSE, state(
                 F.when(F.length(levels) > 1, outer).otherwise(levels), no, found))
             .when(code == _CALL, state(F.concat(levels, F.lit(_ARGUMENTS)), no, found))
-            .when((code == _PASS) | in_arguments, acc)
-            .when(code == _LIST, state(as_list, yes, found))
-            .when(code == _TARGET, state(as_plain, yes, found))
-            .otherwise(state(as_plain, no, found))
+            .when((code == _OTHER) | in_arguments, state(levels, no, found))
+            .when(code == _LIST, state(as_list, unnamed, taken))
+            .when(code == _TARGET, state(as_plain, unnamed, taken))
+            .when(code == _CLAUSE, state(as_plain, no, found))
+            .otherwise(state(levels, due & unnamed, F.when(due, taken).otherwise(found)))
         )
 
     start = state(F.lit(_PLAIN), F.lit(False), F.array().cast("array<string>"))
     found = F.aggregate(_coded(statement), start, step, lambda acc: acc["found"])
-    names = F.transform(found, lambda t: F.regexp_extract(t, "^" + _NAMELIKE, 0))
+    names = F.transform(found, lambda t: F.regexp_extract(t, _NAME_IN_TOKEN, 1))
     named = F.transform(F.filter(names, lambda t: t != ""), lambda t: F.translate(t, '"`', ""))
     ctes = F.when(statement.rlike(r"(?i)\bwith\b"), cte_names(statement)).otherwise(
         F.array().cast("array<string>")

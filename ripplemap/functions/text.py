@@ -79,9 +79,9 @@ def literal_map(variables: Mapping[str, str]) -> Column:
     return F.create_map(*pairs).cast("map<string,string>")
 
 
-def _first_variable(line: Column, at: Column) -> Column:
+def _first_variable(line: Column) -> Column:
     """Text between the first opening and the next delimiter of either kind or line end."""
-    rest = F.substr(line, at + len(VAR_OPEN))
+    rest = F.substr(line, F.instr(line, VAR_OPEN) + len(VAR_OPEN))
     return F.substring_index(F.substring_index(rest, VAR_OPEN, 1), VAR_CLOSE, 1)
 
 
@@ -93,41 +93,36 @@ def substitute_lines(text: Column, variables: Mapping[str, str]) -> Column:
     otherwise it loses all braces, and the variable's text loses its blanks.
     """
     known = literal_map(variables)
-    # Passes over the lines, so that a variable is cut out once and then reused.
-    opened = F.transform(
-        lines_of(text),
-        lambda line: F.struct(line.alias("line"), F.instr(line, VAR_OPEN).alias("at")),
-    )
-    cut = F.transform(
-        opened,
-        lambda c: F.struct(
-            c["line"].alias("line"),
-            F.when(c["at"] > 0, _first_variable(c["line"], c["at"])).alias("var"),
-        ),
-    )
-    named = F.transform(
-        cut,
-        lambda c: F.struct(
-            c["line"].alias("line"), c["var"].alias("var"), strip_blanks(c["var"]).alias("key")
-        ),
-    )
 
     def resolve(c: Column) -> Column:
-        value = F.try_element_at(known, c["key"])
-        spelled = F.concat(F.lit(VAR_OPEN), c["var"], F.lit(VAR_CLOSE))
+        line, var, key = c["line"], c["var"], c["key"]
+        value = F.try_element_at(known, key)
+        spelled = F.concat(F.lit(VAR_OPEN), var, F.lit(VAR_CLOSE))
         bare = F.replace(
-            F.replace(c["line"], F.lit(VAR_CLOSE), F.lit("")), F.lit(VAR_OPEN), F.lit("")
+            F.replace(line, F.lit(VAR_CLOSE), F.lit("")), F.lit(VAR_OPEN), F.lit("")
         )
-        squeezed = F.replace(c["var"], F.lit(" "), F.lit(""))
+        squeezed = F.replace(var, F.lit(" "), F.lit(""))
         return (
-            F.when(c["var"].isNull(), c["line"])
-            .when(value.isNotNull(), F.replace(c["line"], spelled, value))
-            .when(c["key"].contains(DEPENDENCY_MARK), F.lit(None).cast("string"))
-            .otherwise(F.replace(bare, c["var"], squeezed))
+            F.when(value.isNotNull(), F.replace(line, spelled, value))
+            .when(key.contains(DEPENDENCY_MARK), F.lit(None).cast("string"))
+            .otherwise(F.replace(bare, var, squeezed))
         )
 
+    def replaced(line: Column) -> Column:
+        # Handed on in structs: Spark cannot pass a text on to a Python function when an
+        # inner lambda names an outer lambda's variable.
+        cut = F.struct(line.alias("line"), _first_variable(line).alias("var"))
+        keyed = once(cut, lambda c: F.struct(
+            c["line"].alias("line"), c["var"].alias("var"), strip_blanks(c["var"]).alias("key")
+        ))
+        return once(keyed, resolve)
+
+    done = F.transform(
+        lines_of(text),
+        lambda line: F.when(line.contains(VAR_OPEN), replaced(line)).otherwise(line),
+    )
     # array_join leaves out the nulls, that is, the dropped lines.
-    return F.array_join(F.transform(named, resolve), "")
+    return F.array_join(done, "")
 
 
 def substitute_all(text: Column, variables: Mapping[str, str]) -> Column:

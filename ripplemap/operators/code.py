@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplemap.functions import names, sqltext, text
@@ -18,6 +18,7 @@ from ripplemap.schemas import check_mode
 
 # Fixed value: the step type whose command is SQL.
 SQL_STEP_TYPE = "sql-command"
+_FILE = ("kind", "file_key", "ordinal", "path", "url")
 NO_STEPS_ERROR = "NoStepsSection"
 BAD_STEP_ERROR = "UnusableStep"
 
@@ -39,24 +40,15 @@ def table_refs(stmts: DataFrame) -> DataFrame:
     return stmts.withColumn("tables", sqltext.named_tables(F.col("statement")))
 
 
-def _script_tables(sql: Column, mode: str) -> Column:
-    """Table names of a script. parity: its last INSERT only. intended: all INSERTs."""
-    return sqltext.script_tables(sql, every_insert=mode == "intended")
-
-
-def sql_file_tables(
+def sql_scripts(
     classified: DataFrame, variables: Mapping[str, str], mode: str = "parity"
 ) -> DataFrame:
-    """(kind, file_key, url, tables): one row per SQL file that is the last of its key."""
+    """SQL files with ``scripts``: their one script."""
     check_mode(mode)
-    parsed = (
+    return (
         classified.filter(F.col("kind") == "sql")
         .transform(substitute_vars, variables, mode)
-        .withColumn("tables", _script_tables(F.col("content"), mode))
-        .select("kind", "file_key", "ordinal", "path", "url", "tables")
-    )
-    return last_per_key(parsed, "url", "tables").withColumn(
-        "tables", names.qualified_tables(F.col("tables"), mode)
+        .select(*_FILE, F.array("content").alias("scripts"))
     )
 
 
@@ -91,12 +83,16 @@ def yml_documents(
 
 
 def _named_steps(documents: DataFrame) -> DataFrame:
-    """Sound documents with ``steps`` named, sorted by name, the last of a name kept."""
-    ordered = documents.filter(F.col("error").isNull()).withColumn(
+    """Documents with ``steps`` named, sorted by name, the last of a name kept.
+
+    A quarantined document has null steps. It is not filtered out here: a filter on what
+    the loader returns may be pushed to where it loads the text a second time.
+    """
+    ordered = documents.withColumn(
         "steps",
-        F.array_sort(F.transform("steps", lambda s: F.struct(
+        F.when(F.col("error").isNull(), F.array_sort(F.transform("steps", lambda s: F.struct(
             names.step_key(s["name"]).alias("name"), s["pos"].alias("pos"),
-            s["command"].alias("command")))),
+            s["command"].alias("command"))))),
     )
     return ordered.withColumn(
         "steps",
@@ -114,18 +110,24 @@ def yml_steps(
     )
 
 
-def yml_file_tables(
+def yml_scripts(
     classified: DataFrame, variables: Mapping[str, str], mode: str = "parity"
 ) -> DataFrame:
-    """(kind, file_key, url, tables): one row per pipeline definition, steps in name order."""
+    """Pipeline definitions with ``scripts``: a script per step, in name order, or null."""
     steps = _named_steps(yml_documents(classified, variables, mode))
-    parsed = steps.withColumn(
-        "tables",
-        F.flatten(F.transform("steps", lambda s: _script_tables(s["command"], mode))),
-    ).select("kind", "file_key", "ordinal", "path", "url", "tables")
-    return last_per_key(parsed, "url", "tables").withColumn(
-        "tables", names.qualified_tables(F.col("tables"), mode)
-    )
+    return steps.select(*_FILE, F.col("steps.command").alias("scripts"))
+
+
+def scripts_to_tables(scripted: DataFrame, mode: str = "parity") -> DataFrame:
+    """(kind, file_key, url, tables): one row per file that is the last of its key.
+
+    parity: a script's last INSERT counts. intended: all of its INSERTs.
+    """
+    check_mode(mode)
+    every = mode == "intended"
+    named = F.flatten(F.transform("scripts", lambda s: sqltext.script_tables(s, every)))
+    parsed = scripted.withColumn("tables", names.qualified_tables(named, mode)).drop("scripts")
+    return last_per_key(parsed, "url", "tables", counts=F.col("tables").isNotNull())
 
 
 def yml_quarantine(

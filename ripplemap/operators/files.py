@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplemap.functions import names, text
@@ -34,14 +34,17 @@ def classify_files(files: DataFrame, mode: str = "parity") -> DataFrame:
     )
 
 
-def last_per_key(files: DataFrame, *columns: str) -> DataFrame:
+def last_per_key(files: DataFrame, *columns: str, counts: Column | None = None) -> DataFrame:
     """The last file (highest ordinal, then path) of each (kind, file_key).
 
     Call it with narrow columns: the winners are found by partial aggregation before
-    the shuffle, so a base name that many folders share costs one row per task.
+    the shuffle, so a base name that many folders share costs one row per task. A file
+    that does not count (``counts`` is false) never wins; a key without any has nulls.
     """
-    kept = F.struct(*columns)
-    latest = F.max_by(kept, F.struct("ordinal", "path")).alias("kept")
+    place = F.struct("ordinal", "path")
+    if counts is not None:
+        place = F.when(counts, place)
+    latest = F.max_by(F.struct(*columns), place).alias("kept")
     return files.groupBy("kind", "file_key").agg(latest).select("kind", "file_key", "kept.*")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplemap.operators.index import index_keys
-from ripplemap.operators.skew import join_back, key_rows, spread, with_salt
+from ripplemap.operators.skew import join_back, key_rows, with_salt
 from ripplemap.schemas import BI_SOURCE, CODE_SOURCE, SOURCES
 
 # The pattern of a table or field name in a lower-cased summary, the
@@ -44,8 +44,10 @@ def _field_rows(salted_refs: DataFrame, index: DataFrame, how: str = "left") ->
     mention it.
     """
     fields = key_rows(salted_refs, ["field"])
-    entry_salt = with_salt(index, ["label"]).withColumnRenamed("salt", "entry_salt")
-    keys = index_keys(entry_salt, F.collect_set("entry_salt").alias("entry_salts"))
+    entry_salt = F.when(F.col("label").isNotNull(), F.col("salt"))
+    keys = index_keys(
+        with_salt(index, ["label"]), F.collect_set(entry_salt).alias("entry_salts")
+    )
     return fields.join(keys, fields["field"] == keys["pk"], how)
 
 
@@ -123,20 +125,13 @@ def impact_report(issues: DataFrame, index: DataFrame) -> DataFrame:
     both sides are salted, so a key that many tickets and many files share is spread.
     """
     found = _looked_up(issue_refs(issues), index)
-    listing = F.col("n_dashboards") + F.col("n_files") > 0
-    head = ["issue_key", "pos", "field", "status"]
-    listed = (
-        found.filter(listing)
-        .withColumnRenamed("entry_salts", "salts")
-        .transform(spread)
-        .join(with_salt(_sections(index), ["label"]), ["field", "salt"])
-        .select(*head, "section", "label", "url")
-    )
-    bare = found.filter(~F.coalesce(listing, F.lit(False))).select(
-        *head, *[F.lit(None).cast("string").alias(c) for c in ("section", "label", "url")]
+    # A reference without entries has no salt, finds no partner and keeps its one row.
+    return (
+        found.withColumn("salt", F.explode_outer("entry_salts"))
+        .join(with_salt(_sections(index), ["label"]), ["field", "salt"], "left")
+        .select("issue_key", "pos", "field", "status", "section", "label", "url",
+                F.when(F.col("status") == UNUSED, UNUSED_NOTE).alias("note"))
     )
-    note = F.when(F.col("status") == UNUSED, UNUSED_NOTE)
-    return listed.unionByName(bare).withColumn("note", note)
 
 
 def order_report(report: DataFrame) -> DataFrame:

@@ -18,18 +18,20 @@ def file_tables(
 ) -> DataFrame:
     """(kind, file_key, url, tables) of all SQL files and pipeline definitions."""
     classified = classify_files(files, mode)
-    sql = code.sql_file_tables(classified, variables, mode)
-    yml = code.yml_file_tables(
-        classified, variables if yml_variables is None else yml_variables, mode
+    yml_vars = variables if yml_variables is None else yml_variables
+    return code.scripts_to_tables(
+        code.sql_scripts(classified, variables, mode).unionByName(
+            code.yml_scripts(classified, yml_vars, mode)
+        ),
+        mode,
     )
-    return sql.unionByName(yml)
 
 
 def code_index(
     files: DataFrame, variables: Mapping[str, str], mode: str = "parity",
     yml_variables: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """(pk, label, url): the code attribute. One shuffle per file kind, of names only.
+    """(pk, label, url): the code attribute. One shuffle, of keys and table names only.
 
     A SQL key and a pipeline key never meet (they differ in kind), so the union of
     both is already the merged map of each table.

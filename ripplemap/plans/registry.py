@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from ripplemap.functions import names, sqltext, text
 from ripplemap.operators import bi, code, files, index, issues, lineage
 from ripplemap.plans import corpora as c
 from ripplemap.plans import jobs
+from ripplemap.schemas import INDEX
 from ripplemap.session import shared_folder
 from ripplemap.sources import bi_export, repo
 from ripplemap.sources import tickets as ticket_source
@@ -73,6 +75,16 @@ def _index(spark: SparkSession, sf: str, mode: str = "parity") -> DataFrame:
     )
 
 
+def _stored_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The index written to the shared folder and read back, as lookups find it.
+
+    A lookup reads the index more than once; the corpus is parsed once.
+    """
+    folder = f"{shared_folder(spark)}/reference_index/{uuid4().hex}"
+    _index(spark, sf).write.parquet(folder)
+    return spark.read.schema(INDEX).parquet(folder)
+
+
 # Files -------------------------------------------------------------------------------
 
 
@@ -231,7 +243,8 @@ def tables_per_file(spark, sf):
 @query
 def table_to_files(spark, sf):
     classified = files.classify_files(_files(spark, sf, c.REPO_FILES))
-    return code.table_to_files(code.sql_file_tables(classified, c.VARIABLES))
+    scripts = code.sql_scripts(classified, c.VARIABLES)
+    return code.table_to_files(code.scripts_to_tables(scripts))
 
 
 @query
@@ -399,7 +412,7 @@ def index_records(spark, sf):
         )
         return F.array_join(entries, "|")
 
-    return index.to_records(_index(spark, sf)).select(
+    return index.to_records(_stored_index(spark, sf)).select(
         "pk", "part", listed("github.files").alias("files"),
         listed("tableau.dashboards").alias("dashboards"),
     )
@@ -438,27 +451,27 @@ def text_refs(spark, sf):
 
 @query
 def issue_lookup(spark, sf):
-    return issues.lookup(issues.issue_refs(_issues(spark, sf)), _index(spark, sf))
+    return issues.lookup(issues.issue_refs(_issues(spark, sf)), _stored_index(spark, sf))
 
 
 @query
 def mentioned_entries(spark, sf):
-    return issues.mentioned_entries(issues.issue_refs(_issues(spark, sf)), _index(spark, sf))
+    return issues.mentioned_entries(issues.issue_refs(_issues(spark, sf)), _stored_index(spark, sf))
 
 
 @query
 def impact_report(spark, sf):
-    return issues.impact_report(_issues(spark, sf), _index(spark, sf))
+    return issues.impact_report(_issues(spark, sf), _stored_index(spark, sf))
 
 
 @query
 def issue_status(spark, sf):
-    return issues.issue_status(_issues(spark, sf), _index(spark, sf))
+    return issues.issue_status(_issues(spark, sf), _stored_index(spark, sf))
 
 
 @query
 def unreferenced(spark, sf):
-    return issues.unreferenced(issues.issue_refs(_issues(spark, sf)), _index(spark, sf))
+    return issues.unreferenced(issues.issue_refs(_issues(spark, sf)), _stored_index(spark, sf))
 
 
 @query
@@ -473,7 +486,7 @@ def lookup_rejects(spark, sf):
 
 @query
 def answer_requests(spark, sf):
-    return issues.answer_requests(c.derive(spark, sf, c.REQUESTS), _index(spark, sf))
+    return issues.answer_requests(c.derive(spark, sf, c.REQUESTS), _stored_index(spark, sf))
 
 
 def _issue_stream(spark, sf):
@@ -488,10 +501,8 @@ def _issue_stream(spark, sf):
 @query
 def impact_stream(spark, sf):
     """Stateless stream-static join, run over what is there and then ended."""
-    folder = f"{shared_folder(spark)}/impact_stream/{_run_id()}"
-    stored = f"{folder}/index"
-    _index(spark, sf).write.parquet(stored)
-    report = stream_report(_issue_stream(spark, sf), spark.read.parquet(stored))
+    folder = f"{shared_folder(spark)}/impact_stream/{uuid4().hex}"
+    report = stream_report(_issue_stream(spark, sf), _stored_index(spark, sf))
     report.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(
         availableNow=True
     ).start(f"{folder}/report").awaitTermination()
@@ -501,17 +512,10 @@ def impact_stream(spark, sf):
 @query
 def impact_stream_batches(spark, sf):
     """The same tickets through the salted batch plan, one folder per micro-batch."""
-    folder = f"{shared_folder(spark)}/impact_stream_batches/{_run_id()}"
-    stored = f"{folder}/index"
-    _index(spark, sf).write.parquet(stored)
+    folder = f"{shared_folder(spark)}/impact_stream_batches/{uuid4().hex}"
+    stored = _stored_index(spark, sf)
     write_report(
-        _issue_stream(spark, sf), lambda: spark.read.parquet(stored),
-        f"{folder}/report", f"{folder}/state",
+        _issue_stream(spark, sf), lambda: stored, f"{folder}/report", f"{folder}/state"
     ).awaitTermination()
     return spark.read.parquet(f"{folder}/report").drop("batch")
 
-
-def _run_id() -> str:
-    from uuid import uuid4
-
-    return uuid4().hex
