@@ -1,10 +1,10 @@
 """SQL text expressions: statements, INSERTs and the tables they name.
 
 Everything is a Spark expression on one row's text, so a corpus of any size is
-scanned in one narrow stage. Known limits: ``[bracket]`` table names, blanks around
-the dots of a name, dollar-quoted bodies, ``BEGIN … END`` blocks (split at their
-inner semicolons), and a quote character inside a comment that opens no string is
-fine but one that stands unpaired in code hides the text up to the next quote.
+scanned in one narrow stage. Known limits: ``[bracket]`` table names; blanks around
+the dots of a name; dollar-quoted bodies and ``BEGIN … END`` blocks are split at their
+inner semicolons, as are quoted identifiers that contain one; a quote that stands
+unpaired in code hides the text up to the next quote.
 """
 
 from __future__ import annotations
