@@ -12,7 +12,7 @@ DASHBOARD_ROUTE = "/#/views/"
 
 
 def base_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def file_kind(name: Column, mode: str = "parity") -> Column:
@@ -21,17 +21,21 @@ def file_kind(name: Column, mode: str = "parity") -> Column:
     parity: the last dot piece must be a known kind and the *second* piece names it,
     so ``a.b.sql`` has none and ``a.sql.yml`` is SQL. intended: the last piece.
     """
-    pieces = F.split(name, r"\.")
-    last = F.element_at(pieces, -1)
-    picked = F.get(pieces, F.lit(1)) if mode == "parity" else last
+    last = F.substring_index(name, ".", -1)
+    picked = second_piece(name) if mode == "parity" else last
     return F.when(
-        (F.size(pieces) >= 2) & last.isin(*FILE_KINDS) & picked.isin(*FILE_KINDS), picked
+        name.contains(".") & last.isin(*FILE_KINDS) & picked.isin(*FILE_KINDS), picked
     )
 
 
+def second_piece(name: Column) -> Column:
+    """The piece after the first dot, up to the next dot; of a name with a dot."""
+    return F.substring_index(F.substring_index(name, ".", 2), ".", -1)
+
+
 def has_sql_extension(name: Column) -> Column:
     """Looser predicate: only the second dot piece is tested."""
-    return F.coalesce(F.get(F.split(name, r"\."), F.lit(1)).isin(*FILE_KINDS), F.lit(False))
+    return name.contains(".") & second_piece(name).isin(*FILE_KINDS)
 
 
 def step_key(name: Column) -> Column:

@@ -68,6 +68,10 @@ def _entries(text: str) -> list[dict]:
 def _apply(texts: pd.Series, column: str, parse) -> pd.DataFrame:
     values, errors = [], []
     for text in texts:
+        if text is None:  # no pipeline definition, nothing to load
+            values.append(None)
+            errors.append(None)
+            continue
         try:
             values.append(parse(text))
             errors.append(None)

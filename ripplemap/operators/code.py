@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplemap.functions import names, sqltext, text
 from ripplemap.functions.yaml_udf import load_steps
-from ripplemap.operators.files import classify_files, gate_yml, last_per_key, substitute_vars
+from ripplemap.operators.files import (
+    SQL_STEP_MARK, STEPS_MARK, classify_files, gate_yml, last_per_key,
+)
 from ripplemap.schemas import check_mode
 
 # Fixed value: the step type whose command is SQL.
@@ -40,29 +42,23 @@ def table_refs(stmts: DataFrame) -> DataFrame:
     return stmts.withColumn("tables", sqltext.named_tables(F.col("statement")))
 
 
-def sql_scripts(
-    classified: DataFrame, variables: Mapping[str, str], mode: str = "parity"
-) -> DataFrame:
-    """SQL files with ``scripts``: their one script."""
-    check_mode(mode)
-    return (
-        classified.filter(F.col("kind") == "sql")
-        .transform(substitute_vars, variables, mode)
-        .select(*_FILE, F.array("content").alias("scripts"))
-    )
-
-
 def yml_documents(
     classified: DataFrame, variables: Mapping[str, str], mode: str = "parity"
 ) -> DataFrame:
     """Gated pipeline definitions with ``steps`` and the ``error`` that quarantines them."""
-    check_mode(mode)
-    gated = (
-        gate_yml(classified)
-        .withColumn("content", text.lint_yml(F.col("content"), mode))
-        .transform(substitute_vars, variables, mode)
+    gated = gate_yml(classified)
+    return _load(
+        gated.withColumn("yml", _yml_text(variables, check_mode(mode))).drop("content")
     )
-    loaded = gated.withColumn("doc", load_steps(F.col("content"))).drop("content")
+
+
+def _yml_text(variables: Mapping[str, str], mode: str) -> Column:
+    return text.substitute(text.lint_yml(F.col("content"), mode), variables, mode)
+
+
+def _load(rows: DataFrame) -> DataFrame:
+    """``yml`` and ``has_steps`` replaced by ``steps`` and ``error``; null ``yml`` gives nulls."""
+    loaded = rows.withColumn("doc", load_steps(F.col("yml"))).drop("yml")
     wanted = F.filter(
         F.col("doc.steps"),
         lambda s: (s["step_type"] == SQL_STEP_TYPE)
@@ -110,23 +106,37 @@ def yml_steps(
     )
 
 
-def yml_scripts(
-    classified: DataFrame, variables: Mapping[str, str], mode: str = "parity"
+def file_tables(
+    classified: DataFrame, variables: Mapping[str, str], mode: str = "parity",
+    yml_variables: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Pipeline definitions with ``scripts``: a script per step, in name order, or null."""
-    steps = _named_steps(yml_documents(classified, variables, mode))
-    return steps.select(*_FILE, F.col("steps.command").alias("scripts"))
-
-
-def scripts_to_tables(scripted: DataFrame, mode: str = "parity") -> DataFrame:
     """(kind, file_key, url, tables): one row per file that is the last of its key.
 
     parity: a script's last INSERT counts. intended: all of its INSERTs.
+
+    The corpus is read once. SQL files are done before the YAML loader, which sees of
+    them a null each; no content goes through it but that of gated definitions.
     """
-    check_mode(mode)
-    every = mode == "intended"
-    named = F.flatten(F.transform("scripts", lambda s: sqltext.script_tables(s, every)))
-    parsed = scripted.withColumn("tables", names.qualified_tables(named, mode)).drop("scripts")
+    every = check_mode(mode) == "intended"
+    sql, has_steps = F.col("kind") == "sql", F.col("content").contains(STEPS_MARK)
+    script = text.substitute(F.col("content"), variables, mode)
+    yml_text = _yml_text(variables if yml_variables is None else yml_variables, mode)
+    rows = classified.filter(sql | F.col("content").contains(SQL_STEP_MARK)).select(
+        *_FILE,
+        F.when(sql, names.qualified_tables(sqltext.script_tables(script, every), mode))
+        .alias("sql_tables"),
+        F.when(~sql, yml_text).alias("yml"),
+        (sql | has_steps).alias("has_steps"),
+    )
+    # Naming ``sql_tables`` twice keeps its project, which drops the content, below the loader.
+    rows = rows.withColumn("yml", F.when(F.col("sql_tables").isNull(), F.col("yml")))
+    of_steps = F.flatten(
+        F.transform("steps", lambda s: sqltext.script_tables(s["command"], every))
+    )
+    tables = F.when(F.col("sql_tables").isNotNull(), F.col("sql_tables")).otherwise(
+        names.qualified_tables(of_steps, mode)
+    )
+    parsed = _named_steps(_load(rows)).select(*_FILE, tables.alias("tables"))
     return last_per_key(parsed, "url", "tables", counts=F.col("tables").isNotNull())
 
 

@@ -21,9 +21,17 @@ MISSING_PARAMETER = "Missing query string 'field'"
 FAILED_REQUEST = "Failed to process request"
 
 
+# Stretches of name characters with a separator in them, found in one pass. A name lies
+# within one; the pattern itself, which backtracks a lot on plain words, sees no others.
+_STRETCH = r"(?<![0-9a-z._])[0-9a-z]*+[._][0-9a-z._]*+"
+
+
 def references_in(text: Column) -> Column:
     """All names in a text, left to right, repeats kept."""
-    return F.regexp_extract_all(F.lower(text), F.lit(REFERENCE_PATTERN), F.lit(0))
+    stretches = F.regexp_extract_all(F.lower(text), F.lit(_STRETCH), F.lit(0))
+    return F.flatten(F.transform(
+        stretches, lambda s: F.regexp_extract_all(s, F.lit(REFERENCE_PATTERN), F.lit(0))
+    ))
 
 
 def issue_refs(issues: DataFrame) -> DataFrame:
@@ -40,8 +48,8 @@ def _status(used: Column) -> Column:
 def _field_rows(salted_refs: DataFrame, index: DataFrame, how: str = "left") -> DataFrame:
     """One row per mentioned field with what the index knows of it.
 
-    The index is read for the mentioned fields only, each once, however many tickets
-    mention it.
+    The index is grouped by key before any shuffle, so a key with very many entries
+    sends one row per task; a field is looked up once, however many tickets mention it.
     """
     fields = key_rows(salted_refs, ["field"])
     entry_salt = F.when(F.col("label").isNotNull(), F.col("salt"))
@@ -52,11 +60,11 @@ def _field_rows(salted_refs: DataFrame, index: DataFrame, how: str = "left") ->
 
 
 def lookup(refs: DataFrame, index: DataFrame) -> DataFrame:
-    """Each reference, in order, with its key's record summary or nulls.
+    """Each reference, in order, with a summary of its key's record; ``pk`` is null without one.
 
     (issue_key, pos, field, pk, status, n_dashboards, n_files)
     """
-    return _looked_up(refs, index).drop("entry_salts", "has_dashboards", "has_files")
+    return _looked_up(refs, index).drop("entry_salts")
 
 
 def _looked_up(refs: DataFrame, index: DataFrame) -> DataFrame:
@@ -64,8 +72,9 @@ def _looked_up(refs: DataFrame, index: DataFrame) -> DataFrame:
     found = _field_rows(salted, index)
     used = F.coalesce(F.col("has_dashboards") | F.col("has_files"), F.lit(False))
     return join_back(salted, found.withColumn("status", _status(used)), ["field"]).select(
-        "issue_key", "pos", "field", "pk", "status", "n_dashboards", "n_files",
-        "entry_salts", "has_dashboards", "has_files",
+        "issue_key", "pos", "field", "pk", "status",
+        *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("n_dashboards", "n_files")],
+        "entry_salts",
     )
 
 

@@ -17,14 +17,7 @@ def file_tables(
     yml_variables: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """(kind, file_key, url, tables) of all SQL files and pipeline definitions."""
-    classified = classify_files(files, mode)
-    yml_vars = variables if yml_variables is None else yml_variables
-    return code.scripts_to_tables(
-        code.sql_scripts(classified, variables, mode).unionByName(
-            code.yml_scripts(classified, yml_vars, mode)
-        ),
-        mode,
-    )
+    return code.file_tables(classify_files(files, mode), variables, mode, yml_variables)
 
 
 def code_index(

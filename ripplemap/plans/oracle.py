@@ -152,7 +152,7 @@ refs AS (
 _LOOKUP = """
 looked AS (
   SELECT r.*, pk, CASE WHEN pk IS NULL THEN 'confirmation' ELSE 'error' END AS status,
-    n_dashboards, n_files
+    coalesce(n_dashboards, 0) AS n_dashboards, coalesce(n_files, 0) AS n_files
   FROM refs r LEFT JOIN keys ON field = pk)"""
 
 _REQUEST_REFS = """
@@ -434,7 +434,7 @@ _ORACLE = {
         FROM customer WHERE c_custkey % 7 >= 3""",
     "q_answer_requests": _with(_INDEX, _REQUEST_REFS, body="""
         SELECT request_id, pos, field, pk, CASE WHEN pk IS NULL THEN 'confirmation' ELSE 'error' END AS status,
-          n_dashboards, n_files
+          coalesce(n_dashboards, 0) AS n_dashboards, coalesce(n_files, 0) AS n_files
         FROM request_refs LEFT JOIN keys ON field = pk"""),
     "q_index_records": _with(_INDEX, body="""
         SELECT pk, 0 AS part,
@@ -446,5 +446,22 @@ _ORACLE = {
 }
 
 
+# Columns that are 64-bit integers in Spark, whatever DuckDB makes of small constants.
+_BIG = {
+    "pos": ["q_split_statements", "q_insert_statements", "q_table_refs", "q_yml_steps",
+            "q_tables_per_file", "q_issue_refs", "q_text_refs", "q_issue_lookup",
+            "q_impact_report", "q_impact_stream", "q_impact_stream_batches", "q_unreferenced",
+            "q_lookup_param", "q_answer_requests"],
+    "ref_pos": ["q_table_refs"], "n_dashboards": ["q_bi_table_scan"], "part": ["q_index_records"],
+    "status_code": ["q_lookup_rejects"],
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
+    out = dict(_ORACLE)
+    for column, names in _BIG.items():
+        for name in names:
+            out[name] = (
+                f"SELECT * REPLACE (CAST({column} AS BIGINT) AS {column}) FROM ({out[name]})"
+            )
+    return out

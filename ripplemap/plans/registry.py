@@ -243,8 +243,7 @@ def tables_per_file(spark, sf):
 @query
 def table_to_files(spark, sf):
     classified = files.classify_files(_files(spark, sf, c.REPO_FILES))
-    scripts = code.sql_scripts(classified, c.VARIABLES)
-    return code.table_to_files(code.scripts_to_tables(scripts))
+    return code.table_to_files(code.file_tables(classified, c.VARIABLES))
 
 
 @query
@@ -434,14 +433,17 @@ def issue_refs(spark, sf):
 @query
 def text_refs(spark, sf):
     """Names in free text: page addresses, documents and conversation turns."""
+    pages, documents, turns = (
+        repo.even_out(c.table(spark, sf, name)) for name in ("pages", "documents", "conversations")
+    )
     whole = [
-        c.table(spark, sf, "pages").select(
+        pages.select(
             F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("issue_key"),
             F.col("url").alias("summary")),
-        c.table(spark, sf, "documents").select(
+        documents.select(
             F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("issue_key"),
             F.col("text").alias("summary")),
-        c.table(spark, sf, "conversations").select(
+        turns.select(
             F.concat(F.lit("turn "), F.col("conv_id").cast("string"), F.lit("."),
                      F.col("turn").cast("string")).alias("issue_key"),
             F.col("text").alias("summary")),

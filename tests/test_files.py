@@ -119,7 +119,7 @@ def test_steps_order_names_and_duplicates(spark):
     )
     corpus = files.classify_files(snapshot(spark, ("f.yml", content)))
     assert rows(code.yml_steps(corpus, {}), "name", "pos") == [("", 3), ("a", 1), ("z_1", 2)]
-    tables = code.tables_per_file(code.scripts_to_tables(code.yml_scripts(corpus, {})))
+    tables = code.tables_per_file(code.file_tables(corpus, {}))
     assert rows(tables, "pos", "table") == [(0, "e.e"), (1, "a.a"), (2, "z.z")]
 
 

@@ -64,7 +64,7 @@ def test_lookup_status_and_unreferenced(spark):
     assert rows(issues.lookup(refs, index), "issue_key", "pos", "pk", "status", "n_dashboards", "n_files") == sorted([
         ("K-1", 0, "ods.orders", "error", 1, 2), ("K-1", 1, "raw.pay", "error", 0, 1),
         ("K-1", 2, "raw.pay", "error", 0, 1), ("K-3", 0, "empty.bi", "error", 0, 0),
-        ("K-3", 1, None, "confirmation", None, None), ("K-5", 0, None, "confirmation", None, None)], key=repr)
+        ("K-3", 1, None, "confirmation", 0, 0), ("K-5", 0, None, "confirmation", 0, 0)], key=repr)
     assert rows(issues.issue_status(data, index)) == [
         ("K-1", 3, 3, "error"), ("K-2", 0, 0, "none"), ("K-3", 2, 1, "error"),
         ("K-4", 0, 0, "none"), ("K-5", 1, 0, "confirmation")]

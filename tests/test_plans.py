@@ -37,8 +37,10 @@ def test_code_index_shuffles_once_and_never_content(spark, tmp_path):
     text = plan(jobs.code_index(stored_files(spark, str(tmp_path / "f")), {}))
     shuffles = re.findall(r"Exchange hashpartitioning\((.*?)\)", text)
     assert len(shuffles) == 1 and shuffles[0].startswith("kind")
-    after = text[: text.index("Exchange")]
-    assert "content#" not in after and "Join" not in text
+    # One scan; no content above the loader, so none in its queue or in the shuffle.
+    assert text.count("FileScan") == 1 and text.count("ArrowEvalPython") == 1
+    above = text[: text.index("ArrowEvalPython")]
+    assert "content#" not in above and "Join" not in text
 
 
 def test_gate_runs_below_the_yaml_loader(spark, tmp_path):
