@@ -96,7 +96,7 @@ def dashboards_by_table(dashboards: DataFrame, mode: str = "parity") -> DataFram
     check_mode(mode)
     if mode == "intended":
         return dashboards.groupBy("table_id", "name").agg(F.min_by("path", "pos").alias("path"))
-    salted = with_salt(dashboards, ["name"])
+    salted = with_salt(dashboards, ["pos"])
     keyed = key_rows(salted, ["table_id"]).join(_first_repeat(dashboards), "table_id")
     return _before_cutoff(join_back(salted, keyed, ["table_id"])).select(
         "table_id", "name", "path"
@@ -113,16 +113,18 @@ def bi_entries(
     """(pk, label, url): the BI attribute of the index, one row per dashboard.
 
     parity: the last table (highest ordinal) of a full name that has a dashboard wins.
-    intended: all tables of a full name count, each name with its first address.
+    intended: all tables of a full name, without work-table suffixes as in code, count,
+    each name with its first address.
     """
     check_mode(mode)
     clean = bi_clean(tables).select("table_id", "ordinal", F.col("fullName").alias("pk"))
-    salted = with_salt(dashboards.select("table_id", "pos", "name", "path"), ["name"])
+    salted = with_salt(dashboards.select("table_id", "pos", "name", "path"), ["pos"])
     # Only tables that list a dashboard are key rows here; both sides are unique per table.
     listed = key_rows(salted, ["table_id"]).join(clean, "table_id")
     url = names.dashboard_url(server_url, F.col("path"))
 
     if mode == "intended":
+        listed = listed.withColumn("pk", names.normalise_table(F.col("pk"), mode))
         of_table = join_back(salted, listed, ["table_id"])
         first = F.min_by("path", F.struct("ordinal", "pos")).alias("path")
         return of_table.groupBy("pk", "name").agg(first).select(

@@ -14,12 +14,10 @@ from pyspark.sql import functions as F
 from ripplemap.functions import names, sqltext, text
 from ripplemap.functions.yaml_udf import load_steps
 from ripplemap.operators.files import (
-    SQL_STEP_MARK, STEPS_MARK, classify_files, gate_yml, last_per_key,
+    SQL_STEP_TYPE, STEP_MARK, STEPS_MARK, classify_files, gate_yml, last_per_key,
 )
 from ripplemap.schemas import check_mode
 
-# Fixed value: the step type whose command is SQL.
-SQL_STEP_TYPE = "sql-command"
 _FILE = ("kind", "file_key", "ordinal", "path", "url")
 NO_STEPS_ERROR = "NoStepsSection"
 BAD_STEP_ERROR = "UnusableStep"
@@ -43,12 +41,13 @@ def table_refs(stmts: DataFrame) -> DataFrame:
 
 
 def yml_documents(
-    classified: DataFrame, variables: Mapping[str, str], mode: str = "parity"
+    classified: DataFrame, variables: Mapping[str, str], mode: str = "parity",
+    step_type: str = SQL_STEP_TYPE,
 ) -> DataFrame:
     """Gated pipeline definitions with ``steps`` and the ``error`` that quarantines them."""
-    gated = gate_yml(classified)
+    gated = gate_yml(classified, step_type)
     return _load(
-        gated.withColumn("yml", _yml_text(variables, check_mode(mode))).drop("content")
+        gated.withColumn("yml", _yml_text(variables, check_mode(mode))).drop("content"), step_type
     )
 
 
@@ -56,12 +55,12 @@ def _yml_text(variables: Mapping[str, str], mode: str) -> Column:
     return text.substitute(text.lint_yml(F.col("content"), mode), variables, mode)
 
 
-def _load(rows: DataFrame) -> DataFrame:
+def _load(rows: DataFrame, step_type: str) -> DataFrame:
     """``yml`` and ``has_steps`` replaced by ``steps`` and ``error``; null ``yml`` gives nulls."""
     loaded = rows.withColumn("doc", load_steps(F.col("yml"))).drop("yml")
     wanted = F.filter(
         F.col("doc.steps"),
-        lambda s: (s["step_type"] == SQL_STEP_TYPE)
+        lambda s: (s["step_type"] == step_type)
         & (s["command"].isNull() | (s["command"] != "")),
     )
     # A wanted step without a text name or with a command that is no text.
@@ -97,10 +96,11 @@ def _named_steps(documents: DataFrame) -> DataFrame:
 
 
 def yml_steps(
-    classified: DataFrame, variables: Mapping[str, str], mode: str = "parity"
+    classified: DataFrame, variables: Mapping[str, str], mode: str = "parity",
+    step_type: str = SQL_STEP_TYPE,
 ) -> DataFrame:
     """(ordinal, path, name, pos, command): the SQL steps that count."""
-    steps = _named_steps(yml_documents(classified, variables, mode))
+    steps = _named_steps(yml_documents(classified, variables, mode, step_type))
     return steps.select("ordinal", "path", F.explode("steps").alias("s")).select(
         "ordinal", "path", "s.name", F.col("s.pos").cast("long").alias("pos"), "s.command"
     )
@@ -108,7 +108,7 @@ def yml_steps(
 
 def file_tables(
     classified: DataFrame, variables: Mapping[str, str], mode: str = "parity",
-    yml_variables: Mapping[str, str] | None = None,
+    yml_variables: Mapping[str, str] | None = None, step_type: str = SQL_STEP_TYPE,
 ) -> DataFrame:
     """(kind, file_key, url, tables): one row per file that is the last of its key.
 
@@ -121,7 +121,7 @@ def file_tables(
     sql, has_steps = F.col("kind") == "sql", F.col("content").contains(STEPS_MARK)
     script = text.substitute(F.col("content"), variables, mode)
     yml_text = _yml_text(variables if yml_variables is None else yml_variables, mode)
-    rows = classified.filter(sql | F.col("content").contains(SQL_STEP_MARK)).select(
+    rows = classified.filter(sql | F.col("content").contains(STEP_MARK.format(step_type))).select(
         *_FILE,
         F.when(sql, names.qualified_tables(sqltext.script_tables(script, every), mode))
         .alias("sql_tables"),
@@ -136,16 +136,17 @@ def file_tables(
     tables = F.when(F.col("sql_tables").isNotNull(), F.col("sql_tables")).otherwise(
         names.qualified_tables(of_steps, mode)
     )
-    parsed = _named_steps(_load(rows)).select(*_FILE, tables.alias("tables"))
+    parsed = _named_steps(_load(rows, step_type)).select(*_FILE, tables.alias("tables"))
     return last_per_key(parsed, "url", "tables", counts=F.col("tables").isNotNull())
 
 
 def yml_quarantine(
-    classified: DataFrame, variables: Mapping[str, str], mode: str = "parity"
+    classified: DataFrame, variables: Mapping[str, str], mode: str = "parity",
+    step_type: str = SQL_STEP_TYPE,
 ) -> DataFrame:
     """(ordinal, path, reason) of pipeline definitions that cannot be read."""
     return (
-        yml_documents(classified, variables, mode)
+        yml_documents(classified, variables, mode, step_type)
         .filter(F.col("error").isNotNull())
         .select("ordinal", "path", F.col("error").alias("reason"))
     )

@@ -12,10 +12,11 @@ from ripplemap.functions.yaml_udf import load_variables
 from ripplemap.schemas import check_mode
 
 # Where the variable file is by default, the map used when there is
-# none, and the text that shows a pipeline definition has SQL steps.
+# none, the step type whose command is SQL, and the texts that show such steps.
 VARIABLE_FILE = "pipelines/example_template_config.yml"
 NO_VARIABLES = {"env_vars": "none"}
-SQL_STEP_MARK = "- step_type: sql-command\n"
+SQL_STEP_TYPE = "sql-command"
+STEP_MARK = "- step_type: {}\n"
 STEPS_MARK = "steps:\n"
 
 
@@ -53,10 +54,10 @@ def file_urls(classified: DataFrame) -> DataFrame:
     return last_per_key(classified, "url")
 
 
-def gate_yml(classified: DataFrame) -> DataFrame:
+def gate_yml(classified: DataFrame, step_type: str = SQL_STEP_TYPE) -> DataFrame:
     """Pipeline definitions that show a SQL step; ``has_steps`` tells malformed ones apart."""
     return classified.filter(
-        (F.col("kind") == "yml") & F.col("content").contains(SQL_STEP_MARK)
+        (F.col("kind") == "yml") & F.col("content").contains(STEP_MARK.format(step_type))
     ).withColumn("has_steps", F.col("content").contains(STEPS_MARK))
 
 

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ripplemap.functions.names import normalise_table
 from ripplemap.operators.index import index_keys
 from ripplemap.operators.skew import join_back, key_rows, with_salt
-from ripplemap.schemas import BI_SOURCE, CODE_SOURCE, SOURCES
+from ripplemap.schemas import BI_SOURCE, CODE_SOURCE, SOURCES, check_mode
 
 # The pattern of a table or field name in a lower-cased summary, the
 # two states of a reference and the text shown for an unreferenced one.
@@ -34,10 +35,16 @@ def references_in(text: Column) -> Column:
     ))
 
 
-def issue_refs(issues: DataFrame) -> DataFrame:
-    """(issue_key, pos, field) for each name in a summary."""
+def issue_refs(issues: DataFrame, mode: str = "parity") -> DataFrame:
+    """(issue_key, pos, field) for each name in a summary.
+
+    parity: names as they stand. intended: without work-table suffixes, like index keys.
+    """
+    field = F.col("col")
+    if check_mode(mode) == "intended":
+        field = normalise_table(field, mode)
     return issues.select("issue_key", F.posexplode(references_in(F.col("summary")))).select(
-        "issue_key", F.col("pos").cast("long").alias("pos"), F.col("col").alias("field")
+        "issue_key", F.col("pos").cast("long").alias("pos"), field.alias("field")
     )
 
 
@@ -87,9 +94,9 @@ def unreferenced(refs: DataFrame, index: DataFrame) -> DataFrame:
     return join_back(salted, unknown, ["field"]).select("issue_key", "pos", "field")
 
 
-def issue_status(issues: DataFrame, index: DataFrame) -> DataFrame:
+def issue_status(issues: DataFrame, index: DataFrame, mode: str = "parity") -> DataFrame:
     """(issue_key, refs, used, status): status is ``none`` without a reference."""
-    per_issue = lookup(issue_refs(issues), index).groupBy("issue_key").agg(
+    per_issue = lookup(issue_refs(issues, mode), index).groupBy("issue_key").agg(
         F.count("*").alias("refs"),
         F.count(F.when(F.col("status") == USED, 1)).alias("used"),
         F.max("status").alias("status"),
@@ -126,14 +133,14 @@ def mentioned_entries(refs: DataFrame, index: DataFrame) -> DataFrame:
     return join_back(entries, wanted, ["field"])
 
 
-def impact_report(issues: DataFrame, index: DataFrame) -> DataFrame:
+def impact_report(issues: DataFrame, index: DataFrame, mode: str = "parity") -> DataFrame:
     """What each ticket's panel lists: a row per entry, or one row for a bare reference.
 
     (issue_key, pos, field, status, section, label, url, note). The panel's listing is
     asked for per ticket, so a reference's row is repeated for each entry of its key;
     both sides are salted, so a key that many tickets and many files share is spread.
     """
-    found = _looked_up(issue_refs(issues), index)
+    found = _looked_up(issue_refs(issues, mode), index)
     # A reference without entries has no salt, finds no partner and keeps its one row.
     return (
         found.withColumn("salt", F.explode_outer("entry_salts"))

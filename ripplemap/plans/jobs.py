@@ -8,28 +8,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplemap.operators import bi, code
-from ripplemap.operators.files import VARIABLE_FILE, classify_files, collect_vars, env_vars
+from ripplemap.operators.files import (
+    SQL_STEP_TYPE, VARIABLE_FILE, classify_files, collect_vars, env_vars,
+)
 from ripplemap.operators.index import reference_index
 
 
 def file_tables(
     files: DataFrame, variables: Mapping[str, str], mode: str = "parity",
-    yml_variables: Mapping[str, str] | None = None,
+    yml_variables: Mapping[str, str] | None = None, step_type: str = SQL_STEP_TYPE,
 ) -> DataFrame:
     """(kind, file_key, url, tables) of all SQL files and pipeline definitions."""
-    return code.file_tables(classify_files(files, mode), variables, mode, yml_variables)
+    return code.file_tables(
+        classify_files(files, mode), variables, mode, yml_variables, step_type
+    )
 
 
 def code_index(
     files: DataFrame, variables: Mapping[str, str], mode: str = "parity",
-    yml_variables: Mapping[str, str] | None = None,
+    yml_variables: Mapping[str, str] | None = None, step_type: str = SQL_STEP_TYPE,
 ) -> DataFrame:
     """(pk, label, url): the code attribute. One shuffle, of keys and table names only.
 
     A SQL key and a pipeline key never meet (they differ in kind), so the union of
     both is already the merged map of each table.
     """
-    inverted = code.table_to_files(file_tables(files, variables, mode, yml_variables))
+    inverted = code.table_to_files(file_tables(files, variables, mode, yml_variables, step_type))
     return inverted.select(F.col("table").alias("pk"), F.col("file").alias("label"), "url")
 
 

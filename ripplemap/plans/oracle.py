@@ -407,6 +407,16 @@ _ORACLE = {
         SELECT pk, has_dashboards, has_files, n_dashboards, n_files FROM keys"""),
     "q_issue_scan": f"SELECT issue_key, summary FROM {c.duck(c.ISSUES)}",
     "q_issue_refs": _with(_REFS, body="SELECT issue_key, pos, field FROM refs"),
+    "q_issue_refs_intended": _with(_REFS, body="""
+        SELECT issue_key, pos, replace(field, '_staging', '') AS field FROM refs"""),
+    "q_impact_report_intended": _with(_CODE_INTENDED, _BI_INTENDED, """
+        idx AS (
+          SELECT DISTINCT 'files' AS section, pk, label, url FROM code
+          UNION ALL SELECT 'dashboards', pk, label, url FROM bi)""", _REFS, body=f"""
+        SELECT r.issue_key, r.pos, replace(r.field, '_staging', '') AS field,
+          CASE WHEN i.pk IS NULL THEN 'confirmation' ELSE 'error' END AS status,
+          i.section, i.label, i.url, CASE WHEN i.pk IS NULL THEN '{UNUSED_NOTE}' END AS note
+        FROM refs r LEFT JOIN idx i ON replace(r.field, '_staging', '') = i.pk"""),
     "q_text_refs": f"""
         SELECT issue_key, generate_subscripts(found, 1) - 1 AS pos, unnest(found) AS field FROM (
           SELECT issue_key, regexp_extract_all(lower(txt), '{REFERENCE_PATTERN}', 0) AS found FROM (
@@ -449,7 +459,8 @@ _ORACLE = {
 # Columns that are 64-bit integers in Spark, whatever DuckDB makes of small constants.
 _BIG = {
     "pos": ["q_split_statements", "q_insert_statements", "q_table_refs", "q_yml_steps",
-            "q_tables_per_file", "q_issue_refs", "q_text_refs", "q_issue_lookup",
+            "q_tables_per_file", "q_issue_refs", "q_issue_refs_intended",
+            "q_impact_report_intended", "q_text_refs", "q_issue_lookup",
             "q_impact_report", "q_impact_stream", "q_impact_stream_batches", "q_unreferenced",
             "q_lookup_param", "q_answer_requests"],
     "ref_pos": ["q_table_refs"], "n_dashboards": ["q_bi_table_scan"], "part": ["q_index_records"],

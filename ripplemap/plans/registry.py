@@ -75,13 +75,13 @@ def _index(spark: SparkSession, sf: str, mode: str = "parity") -> DataFrame:
     )
 
 
-def _stored_index(spark: SparkSession, sf: str) -> DataFrame:
+def _stored_index(spark: SparkSession, sf: str, mode: str = "parity") -> DataFrame:
     """The index written to the shared folder and read back, as lookups find it.
 
     A lookup reads the index more than once; the corpus is parsed once.
     """
     folder = f"{shared_folder(spark)}/reference_index/{uuid4().hex}"
-    _index(spark, sf).write.parquet(folder)
+    _index(spark, sf, mode).write.parquet(folder)
     return spark.read.schema(INDEX).parquet(folder)
 
 
@@ -430,6 +430,11 @@ def issue_refs(spark, sf):
     return issues.issue_refs(_issues(spark, sf))
 
 
+@query
+def issue_refs_intended(spark, sf):
+    return issues.issue_refs(_issues(spark, sf), "intended")
+
+
 @query
 def text_refs(spark, sf):
     """Names in free text: page addresses, documents and conversation turns."""
@@ -466,6 +471,13 @@ def impact_report(spark, sf):
     return issues.impact_report(_issues(spark, sf), _stored_index(spark, sf))
 
 
+@query
+def impact_report_intended(spark, sf):
+    return issues.impact_report(
+        _issues(spark, sf), _stored_index(spark, sf, "intended"), "intended"
+    )
+
+
 @query
 def issue_status(spark, sf):
     return issues.issue_status(_issues(spark, sf), _stored_index(spark, sf))

@@ -2,7 +2,8 @@
 
 Layout under a base folder::
 
-    <source>/data/version=<n>/…     entries (pk, label, url)
+    <source>/incoming/version=<n>/… entries of one run as it found them
+    <source>/data/version=<n>/…     entries (pk, label, url) after the merge
     <source>/versions/…             one row per finished version
 
 A version becomes visible when its row is written, after its data; a run that dies
@@ -52,12 +53,18 @@ def upsert_index(
 ) -> int:
     """Write one source's entries of a run and return the version that holds them.
 
+    The run's entries are written before they are merged: the merge needs them twice,
+    and the corpus is not to be read again for that.
+
     Files are clustered by (pk, label) ranges: lookups by key skip most of them, and a
     key with very many entries still spans several files.
     """
     version = current_version(spark, base, check_source(source))
-    merged = merge_entries(read_entries(spark, base, source), new, mode)
     following = 1 if version is None else version + 1
+    incoming = f"{base}/{source}/incoming/version={following}"
+    new.select(*ENTRIES.names).write.mode("overwrite").parquet(incoming)
+    arrived = spark.read.schema(ENTRIES).parquet(incoming)
+    merged = merge_entries(read_entries(spark, base, source), arrived, mode)
     (
         merged.repartitionByRange("pk", "label").sortWithinPartitions("pk", "label")
         .write.mode("overwrite").parquet(_data(base, source, following))

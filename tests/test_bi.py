@@ -43,6 +43,14 @@ def test_last_table_with_a_dashboard_wins(spark):
         ("a.b", "p"), ("a.b", "q"), ("a.b", "r"), ("c.d", "s")]
 
 
+def test_one_dashboard_name_repeated_throughout_a_hot_table(spark):
+    edges = dashboards(spark, ["first"] + ["same"] * 3000, ["x"])
+    assert rows(jobs.bi_index(tables(spark, "h.t_tmp", "o.t"), edges, SERVER), "pk", "label") == [
+        ("h.t_tmp", "first"), ("h.t_tmp", "same"), ("o.t", "x")]
+    assert rows(jobs.bi_index(tables(spark, "h.t_tmp", "h.t"), edges, SERVER, "intended"), "pk", "label") == [
+        ("h.t", "first"), ("h.t", "same"), ("h.t", "x")]
+
+
 def brute_force(t, edges):
     """Index by plain dictionaries."""
     out = {}

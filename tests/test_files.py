@@ -143,3 +143,10 @@ def test_read_repo(spark, tmp_path):
         ("b.sql", "b.sql", "https://h/b.sql")]
     # Breadth-first: deeper folders come later; "a-b" follows "a" as a folder name.
     assert rows(jobs.code_index(corpus, {}), "pk", "label") == [("a.b", "b.sql"), ("a.z", "x.sql")]
+
+
+def test_step_type_is_a_parameter(spark):
+    content = HEAD.replace("sql-command", "sql_command") + "  name: a\n  command: insert into a.b select 1\n" + TAIL
+    corpus = snapshot(spark, ("f.yml", content))
+    assert rows(jobs.code_index(corpus, {})) == []
+    assert rows(jobs.code_index(corpus, {}, step_type="sql_command"), "pk", "label") == [("a.b", "f.yml")]
