@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplemap.llm import (
-    bpe, decontaminate, host_quality, language, line_dedup, ring_shards, simhash_bk, url_cascade,
+    bpe, decontaminate, host_quality, language, line_dedup, ring_shards, simhash_bk, suffix_dedup,
+    superkmer, url_cascade,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +87,12 @@ def op5_simhash_bk(spark, sf_dir):
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(_documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op7_language(spark, sf_dir):
     docs = _documents(spark, sf_dir, "lang").withColumn("held_out", language.held_out())
@@ -99,6 +106,12 @@ def op8_line_dedup(spark, sf_dir):
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query
+def op9_superkmer(spark, sf_dir):
+    return superkmer.remove_repeats(_documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query
 def op10_url_cascade(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")

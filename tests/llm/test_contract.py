@@ -15,9 +15,12 @@ SMALL = "/root/testdata/sf0.001"
 COLUMNS = {
     "op1_decontaminate": ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"),
     "op5_simhash_bk": ("doc_id", "fingerprint", "component_id"),
+    "op6_suffix_dedup": ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"),
+    "op9_superkmer": ("doc_id", "n_words", "n_removed", "kept_sha256"),
     "op8_line_dedup": ("doc_id", "n_lines", "n_dropped", "kept_sha256"),
 }
-BRUTE = {"op5_simhash_bk": brute.op5, "op8_line_dedup": brute.op8}
+BRUTE = {"op5_simhash_bk": brute.op5, "op6_suffix_dedup": brute.op6, "op8_line_dedup": brute.op8,
+         "op9_superkmer": brute.op9}
 
 
 @pytest.fixture(params=["odd", "small"])
