@@ -6,16 +6,21 @@ Spark sorts the pairs with their positions, positions in a group get the group's
 position as their new rank, and unique positions are dropped: nothing that starts there can
 repeat at any greater length. Offsets grow until the strings have ``size`` bytes.
 
-Only positions that may survive are ranked. A repeated string of ``size`` bytes has a repeated
-anchor, the least hash among its strings of ``seed`` bytes (see ``anchors``); a first pass
-finds repeated anchors and shuffles nothing else. Around them, each text sends its regions
-once (equal texts are one text with a number of copies), and ranks start with the hashes of
-``seed`` bytes; the first pair is 128 bits, later ranks are exact.
-
-* Positions are numbers in one address space: a region starts at a multiple of ``BLOCK`` and
-  leaves a gap of ``size``, so a rank ``d`` bytes on is an equi-join and a position finds its
-  region by its block.
-* A sorted group is streamed in Arrow batches; no group is held in memory.
+Only positions whose fate is open are ranked:
+
+* A repeated string of ``size`` bytes has a repeated anchor, the least hash among its strings
+  of ``seed`` bytes (see ``anchors``). A first pass finds repeated anchors.
+* Consecutive windows with one repeated anchor are a *stretch*. A second pass lists stretches
+  by a 128-bit hash of their bytes. A stretch found twice is repeated as a whole; one whose
+  anchor has no other stretch, and only one place in it, is not repeated at all.
+* A third pass sends the bytes of each distinct stretch of the other anchors once. Ranks
+  start with hashes of ``seed`` bytes; the first pair is 128 bits, later ranks are exact.
+
+Equal texts are one text with a number of copies, and equal stretches one stretch, so groups
+of copies cost nothing in the sorts. Positions are numbers in one address space: a stretch
+starts at a multiple of ``BLOCK`` and leaves a gap of ``size``, so a rank ``d`` bytes on is an
+equi-join and a position finds its stretch by its block. A sorted group is streamed in Arrow
+batches; no group is held in memory.
 
 Defined results: a null text is empty; a text with a copy is repeated as a whole, if it is
 long enough; repeated rows are copies; an empty table stays empty; other columns are kept;
@@ -25,19 +30,22 @@ names that begin with two underscores are the operator's own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplemap.llm.anchors import bit_table, has_bit
 from ripplemap.llm.common import cut, encoded, pieces
-from ripplemap.llm.wordscan import BYTE_VALUES, covered, joined, mix, sliding, window_hashes
+from ripplemap.llm.wordscan import BYTE_VALUES, covered, joined, mix, runs, sliding, window_hashes
 
 #: Addresses are dealt in blocks; the starts found in a block are one row.
-BLOCK = 4_096
+BLOCK = 1_024
+SHIFT = BLOCK.bit_length() - 1
 #: A longer text is worked on in parts that overlap by one window.
 PART_BYTES = 4 << 20
 RESULT = "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept:binary>"
@@ -56,13 +64,28 @@ def _parts(texts: list[bytes], size: int) -> tuple[list[int], list[int], list[by
     return owner, offset, out
 
 
-def _anchors(part: list[bytes], size: int, seed: int):
-    """Start of each part, hash of the seed at each byte, and the least hash of each window."""
+class Anchored(NamedTuple):
+    """Some texts: where each starts, seed hashes, and each window's anchor if it is in one text."""
+
+    starts: np.ndarray
+    hashes: np.ndarray
+    least: np.ndarray
+    inside: np.ndarray
+
+
+def _anchored(part: list[bytes], size: int, seed: int) -> Anchored:
     buffer, starts = joined(part)
     h = mix(window_hashes(BYTE_VALUES[buffer], seed))
     least = sliding(h, size - seed + 1)
     inside = covered(starts, starts + np.array([len(p) for p in part]) - size + 1, len(least))
-    return starts, h, least, inside
+    return Anchored(starts, h, least, inside)
+
+
+def _places(a: Anchored, size: int, seed: int) -> np.ndarray:
+    """Positions that are the anchor of a window."""
+    edge = np.zeros(size - seed, np.uint64)
+    most = sliding(np.concatenate((edge, np.where(a.inside, a.least, 0), edge)), size - seed + 1, np.maximum)
+    return np.flatnonzero(most == a.hashes)
 
 
 def repeated_anchors(docs: DataFrame, size: int, seed: int) -> DataFrame:
@@ -70,68 +93,105 @@ def repeated_anchors(docs: DataFrame, size: int, seed: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            high, low = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            high, low = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
             owner, _, parts = _parts(encoded(batch.column(2)), size)
             several = np.bincount(owner, minlength=batch.num_rows)[owner] > 1 if owner else np.zeros(0, bool)
             for at, part in pieces(parts):
-                starts, h, least, inside = _anchors(part, size, seed)
-                edge = np.zeros(size - seed, np.uint64)
-                most = sliding(np.concatenate((edge, np.where(inside, least, 0), edge)), size - seed + 1, np.maximum)
-                place = np.flatnonzero(most == h)
-                text = np.searchsorted(starts, place, "right") - 1
-                order = np.lexsort((h[place], text))
-                value, text = h[place][order], text[order]
+                a = _anchored(part, size, seed)
+                place = _places(a, size, seed)
+                text = np.searchsorted(a.starts, place, "right") - 1
+                order = np.lexsort((a.hashes[place], text))
+                value, text = a.hashes[place][order], text[order]
                 new = np.ones(len(value), bool)
                 new[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
                 begin = np.flatnonzero(new)
                 times = np.diff(np.concatenate((begin, [len(value)])))
-                text = at + text[begin]
-                of = np.asarray(owner)[text] if len(text) else text
+                text, value = at + text[begin], value[begin]
+                of = np.asarray(owner, np.int64)[text]
+                # a number for the text, another one for each anchor; both it and its complement if twice
+                mark = high[of] ^ low[of] * (value << np.uint64(1) | np.uint64(1))
+                twice = (times > 1) | several[text]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(value[begin].view(np.int64)), pa.array(high[of]), pa.array(low[of]),
-                     pa.array((times > 1) | several[text])], ["h", "hi", "lo", "twice"])
-
-    found = docs.select("__hi", "__lo", "__text").mapInArrow(emit, "h long, hi long, lo long, twice boolean")
-    return found.groupBy("h").agg(
-        F.min("hi").alias("a"), F.max("hi").alias("b"), F.min("lo").alias("c"), F.max("lo").alias("d"),
-        F.max(F.col("twice").cast("int")).alias("twice"),
-    ).filter("a <> b OR c <> d OR twice = 1").select("h")
-
-
-def regions(docs: DataFrame, repeated: np.ndarray, size: int, seed: int) -> DataFrame:
-    """(hi, lo, start, data, base) for the stretches of each distinct text to look at."""
+                    [pa.array(np.concatenate((value, value[twice])).view(np.int64)),
+                     pa.array(np.concatenate((mark, ~mark[twice])).view(np.int64))], ["h", "mark"])
+
+    found = docs.select("__hi", "__lo", "__text").mapInArrow(emit, "h long, mark long")
+    marks = found.groupBy("h").agg(F.min("mark").alias("a"), F.max("mark").alias("b"))
+    return marks.filter("a <> b").select("h")
+
+
+def _stretches(a: Anchored, table: np.ndarray, size: int, seed: int):
+    """First window, window behind the last and text of each stretch, and if its anchor is in it again."""
+    begin, end = runs(np.where(a.inside, a.least, 0) + a.inside)
+    if len(begin):
+        good = a.inside[begin] & has_bit(table, a.least[begin])
+        begin, end = begin[good], end[good]
+    place = _places(a, size, seed)
+    first = np.searchsorted(place, begin)
+    n = np.searchsorted(place, end + size - seed) - first
+    stretch = np.repeat(np.arange(len(begin)), n)
+    member = np.arange(len(stretch)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    same = a.hashes[place[member]] == a.least[begin][stretch]
+    again = np.bincount(stretch[same], minlength=len(begin)) > 1
+    return begin, end, np.searchsorted(a.starts, begin, "right") - 1, again
+
+
+def stretches(docs: DataFrame, repeated: np.ndarray, size: int, seed: int) -> DataFrame:
+    """Distinct (anchor, key, again, hi, lo, start, n) of all texts."""
     sent = docs.sparkSession.sparkContext.broadcast(repeated)
+    schema = "anchor long, key binary, again boolean, hi long, lo long, start int, n int"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, offset, parts = _parts(encoded(batch.column(2)), size)
-            rows, starts_at, data = [], [], []
             for at, part in pieces(parts):
-                starts, _, least, inside = _anchors(part, size, seed)
-                going = inside & has_bit(sent.value, least)
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], going.astype(np.int8), [0])))).reshape(-1, 2)
-                text = np.searchsorted(starts, edges[:, 0], "right") - 1
-                for t, (a, b) in zip(text.tolist(), (edges - starts[text][:, None]).tolist()):
-                    rows.append(owner[at + t])
-                    starts_at.append(offset[at + t] + a)
-                    data.append(part[t][a:b - 1 + size])
-            rows = pa.array(rows, pa.int64())
+                a = _anchored(part, size, seed)
+                begin, end, text, again = _stretches(a, sent.value, size, seed)
+                local = begin - a.starts[text]
+                keys = [xxhash.xxh3_128_digest(part[t][i:i + n + size - 1])
+                        for t, i, n in zip(text.tolist(), local.tolist(), (end - begin).tolist())]
+                of = pa.array(np.asarray(owner, np.int64)[at + text])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(a.least[begin].view(np.int64)), pa.array(keys, pa.binary()), pa.array(again),
+                    batch.column(0).take(of), batch.column(1).take(of),
+                    pa.array((np.asarray(offset, np.int64)[at + text] + local).astype(np.int32)),
+                    pa.array((end - begin).astype(np.int32))], schema_names(schema))
+
+    return docs.select("__hi", "__lo", "__text").mapInArrow(emit, schema).distinct()
+
+
+def schema_names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
+
+
+def open_stretches(docs: DataFrame, unsettled: np.ndarray, size: int, seed: int) -> DataFrame:
+    """(key, data, base): the bytes of each distinct stretch of these anchors, with an address."""
+    sent = docs.sparkSession.sparkContext.broadcast(unsettled)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, parts = _parts(encoded(batch.column(0)), size)
+            found: dict[bytes, bytes] = {}
+            for _, part in pieces(parts):
+                a = _anchored(part, size, seed)
+                begin, end, text, _ = _stretches(a, sent.value, size, seed)
+                for t, i, n in zip(text.tolist(), (begin - a.starts[text]).tolist(), (end - begin).tolist()):
+                    data = part[t][i:i + n + size - 1]
+                    found[xxhash.xxh3_128_digest(data)] = data
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(starts_at, pa.int32()),
-                 pa.array(data, pa.binary())], ["hi", "lo", "start", "data"])
+                [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["key", "data"])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free = TaskContext.get().partitionId() << 42
         for batch in batches:
-            lengths = np.array([len(d) for d in batch.column(3).to_pylist()], np.int64)
+            lengths = np.array([len(d) for d in batch.column(1).to_pylist()], np.int64)
             room = -(-(lengths + size) // BLOCK) * BLOCK
             base = free + np.cumsum(room) - room
             free += int(room.sum())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base)], [*batch.schema.names, "base"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base)], ["key", "data", "base"])
 
-    schema = "hi long, lo long, start int, data binary"
-    once = docs.select("__hi", "__lo", "__text").mapInArrow(emit, schema).distinct()
-    return cut(once.mapInArrow(number, schema + ", base long"), "regions")
+    once = docs.select("__text").mapInArrow(emit, "key binary, data binary").distinct()
+    return cut(once.mapInArrow(number, "key binary, data binary, base long"), "stretches")
 
 
 def _first_pairs(found: DataFrame, seed: int, step: int) -> DataFrame:
@@ -146,10 +206,10 @@ def _first_pairs(found: DataFrame, seed: int, step: int) -> DataFrame:
                 n = len(h) - step
                 inside = covered(starts, starts + np.array([max(0, len(p) - seed - step + 1) for p in part]), n)
                 place = np.flatnonzero(inside)
-                region = np.searchsorted(starts, place, "right") - 1
+                of = np.searchsorted(starts, place, "right") - 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h[place].view(np.int64)), pa.array(h[place + step].view(np.int64)),
-                     pa.array(bases[at + region] + place - starts[region])], ["a", "b", "at"])
+                     pa.array(bases[at + of] + place - starts[of])], ["a", "b", "at"])
 
     return found.select("data", "base").mapInArrow(emit, "a long, b long, at long")
 
@@ -202,26 +262,42 @@ def _merged(starts: np.ndarray, size: int) -> list[int]:
     return np.stack((begin, end), 1).ravel().tolist()
 
 
-def spans_of_texts(docs: DataFrame, size: int, seed: int) -> DataFrame:
-    """(__hi, __lo, spans): begin and end, in turn, of what repeated strings cover."""
-    anchors = cut(repeated_anchors(docs, size, seed), "anchors")
-    found = regions(docs, bit_table(anchors, "h"), size, seed)
-    starts = repeated_starts(found, size, seed)
-    by_block = starts.groupBy(F.shiftright("at", 12).alias("block")).agg(
+def _ranked_spans(found: DataFrame, size: int, seed: int) -> DataFrame:
+    """(key, inner): what repeated strings cover in a stretch, from its first byte."""
+    by_block = repeated_starts(found, size, seed).groupBy(F.shiftright("at", SHIFT).alias("block")).agg(
         F.collect_list(F.col("at").bitwiseAND(F.lit(BLOCK - 1)).cast("int")).alias("places"))
-    first_block = F.shiftright("base", 12)
-    blocks = found.select("hi", "lo", "start", first_block.alias("from"), F.explode(F.sequence(
-        first_block, F.shiftright(F.col("base") + F.octet_length("data") - 1, 12))).alias("block"))
+    first_block = F.shiftright("base", SHIFT)
+    blocks = found.select("key", first_block.alias("from"), F.explode(F.sequence(
+        first_block, F.shiftright(F.col("base") + F.octet_length("data") - 1, SHIFT))).alias("block"))
 
     def cover(places: pa.Array, shift: pa.Array) -> pa.Array:
         return pa.array([_merged(np.asarray(p, np.int64) + s, size) for p, s in
                          zip(places.to_pylist(), shift.to_pylist())], pa.list_(pa.int64()))
 
-    shift = F.col("start") + (F.col("block") - F.col("from")) * BLOCK
-    placed = by_block.join(blocks, "block").select(
-        F.col("hi").alias("__hi"), F.col("lo").alias("__lo"),
-        F.arrow_udf(cover, "array<bigint>")(F.col("places"), shift).alias("spans"))
-    return placed.groupBy("__hi", "__lo").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    shift = (F.col("block") - F.col("from")) * BLOCK
+    spans = F.arrow_udf(cover, "array<bigint>")(F.col("places"), shift)
+    return by_block.join(blocks, "block").select("key", spans.alias("inner")).groupBy("key").agg(
+        F.flatten(F.collect_list("inner")).alias("inner"))
+
+
+def spans_of_texts(docs: DataFrame, size: int, seed: int) -> DataFrame:
+    """(__hi, __lo, spans): begin and end, in turn, of what repeated strings cover."""
+    anchors = cut(repeated_anchors(docs, size, seed), "anchors")
+    listed = cut(stretches(docs, bit_table(anchors, "h"), size, seed), "stretch-list")
+    kinds = cut(listed.groupBy("anchor", "key").agg(
+        F.count("*").alias("times"), F.max("again").alias("again")), "stretch-kinds")
+    unsettled = kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.max("again").alias("again")).filter(
+        "n > 1 OR again")
+    found = open_stretches(docs, bit_table(unsettled, "anchor"), size, seed)
+    inner = _ranked_spans(found, size, seed).withColumnRenamed("key", "ranked")
+    verdicts = kinds.join(inner, kinds["key"] == inner["ranked"], "left").filter(
+        "times > 1 OR inner IS NOT NULL").select("key", "times", "inner")
+    start = F.col("start").cast("long")
+    whole = F.array(start, start + F.col("n") - 1 + size)
+    spans = F.when(F.col("times") > 1, whole).otherwise(F.transform("inner", lambda x: x + start))
+    return listed.join(verdicts, "key").select(
+        F.col("hi").alias("__hi"), F.col("lo").alias("__lo"), spans.alias("spans")).groupBy("__hi", "__lo").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _remove(text: bytes, spans: list[int] | None, copies: int | None, size: int) -> tuple[int, int, int, bytes]:
