@@ -73,18 +73,21 @@ def flatten_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tables, listed.select("table_id", "pos", "col.name", "col.path")
 
 
-def _first_repeat(dashboards: DataFrame) -> DataFrame:
-    """(table_id, cutoff): where a dashboard name first stands a second time.
+def _kept(dashboards: DataFrame) -> DataFrame:
+    """Dashboards before the first repeated name of their table.
 
-    Rank <= 2 lets Spark cut each group to two rows before the shuffle.
+    Such a dashboard is the first of its name, so of each (table, name) two rows are enough:
+    the first, which may be kept, and the second, which may be the cutoff. Spark cuts each
+    group to two rows before the one shuffle that both uses of ``ranked`` share.
     """
     by_name = Window.partitionBy("table_id", "name").orderBy("pos")
-    ranked = dashboards.select(
-        "table_id", "name", "pos", F.row_number().over(by_name).alias("nth")
-    ).filter(F.col("nth") <= 2)
-    return ranked.groupBy("table_id").agg(
-        F.min(F.when(F.col("nth") == 2, F.col("pos"))).alias("cutoff")
-    )
+    ranked = dashboards.withColumn("nth", F.row_number().over(by_name)).filter(F.col("nth") <= 2)
+    # whole rows are aggregated, and both filters are no rank limits: else the uses would differ
+    row = F.struct("pos", *[x for x in dashboards.columns if x not in ("table_id", "pos")])
+    cutoffs = ranked.filter(F.col("nth") % 2 == 0).groupBy("table_id").agg(F.min(row)["pos"].alias("cutoff"))
+    first = ranked.filter(F.col("nth") % 2 == 1).drop("nth")
+    kept = first.join(cutoffs, "table_id", "left")
+    return kept.filter(F.col("cutoff").isNull() | (F.col("pos") < F.col("cutoff"))).drop("cutoff")
 
 
 def dashboards_by_table(dashboards: DataFrame, mode: str = "parity") -> DataFrame:
@@ -96,15 +99,7 @@ def dashboards_by_table(dashboards: DataFrame, mode: str = "parity") -> DataFram
     check_mode(mode)
     if mode == "intended":
         return dashboards.groupBy("table_id", "name").agg(F.min_by("path", "pos").alias("path"))
-    salted = with_salt(dashboards, ["pos"])
-    keyed = key_rows(salted, ["table_id"]).join(_first_repeat(dashboards), "table_id")
-    return _before_cutoff(join_back(salted, keyed, ["table_id"])).select(
-        "table_id", "name", "path"
-    )
-
-
-def _before_cutoff(dashboards: DataFrame) -> DataFrame:
-    return dashboards.filter(F.col("cutoff").isNull() | (F.col("pos") < F.col("cutoff")))
+    return _kept(dashboards.select("table_id", "pos", "name", "path")).select("table_id", "name", "path")
 
 
 def bi_entries(
@@ -136,7 +131,5 @@ def bi_entries(
         .agg(F.max(F.struct("ordinal", "table_id", "salts")).alias("w"))
         .select("pk", "w.table_id", "w.salts")
     )
-    keyed = winners.join(_first_repeat(dashboards), "table_id")
-    return _before_cutoff(join_back(salted, keyed, ["table_id"])).select(
-        "pk", F.col("name").alias("label"), url.alias("url")
-    )
+    won = join_back(salted, winners, ["table_id"])
+    return _kept(won).select("pk", F.col("name").alias("label"), url.alias("url"))

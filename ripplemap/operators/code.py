@@ -175,8 +175,12 @@ def ingest_stats(
 ) -> DataFrame:
     """(kind, outcome, files): found per kind, parsed and failed pipeline definitions."""
     classified = classify_files(files, mode)
-    found = classified.select("kind", F.lit("found").alias("outcome"))
-    loaded = yml_documents(classified, variables, mode).select(
-        "kind", F.when(F.col("error").isNull(), "parsed").otherwise("failed").alias("outcome")
+    gated = (F.col("kind") == "yml") & F.col("content").contains(STEP_MARK.format(SQL_STEP_TYPE))
+    rows = classified.select(
+        "kind", F.when(gated, _yml_text(variables, check_mode(mode))).alias("yml"), gated.alias("gated"),
+        F.col("content").contains(STEPS_MARK).alias("has_steps"),
     )
-    return found.unionByName(loaded).groupBy("kind", "outcome").agg(F.count("*").alias("files"))
+    outcome = F.when(F.col("error").isNull(), "parsed").otherwise("failed")
+    outcomes = F.when(F.col("gated"), F.array(F.lit("found"), outcome)).otherwise(F.array(F.lit("found")))
+    return _load(rows, SQL_STEP_TYPE).select("kind", F.explode(outcomes).alias("outcome")).groupBy(
+        "kind", "outcome").agg(F.count("*").alias("files"))

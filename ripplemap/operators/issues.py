@@ -20,6 +20,7 @@ UNUSED_NOTE = "No Tableau or GitHub references found"
 NO_REFERENCE = "none"
 MISSING_PARAMETER = "Missing query string 'field'"
 FAILED_REQUEST = "Failed to process request"
+REPLACEMENT = "\ufffd"
 
 
 # Stretches of name characters with a separator in them, found in one pass. A name lies
@@ -166,23 +167,26 @@ def _decoded(param: Column) -> Column:
 def lookup_params(requests: DataFrame) -> DataFrame:
     """(request_id, pos, field) of well-formed requests: decoded, split at commas."""
     fields = F.split(_decoded(F.col("param")), ",")
-    good = requests.filter(_rejection().isNull())
+    good = requests.filter(_rejection(F.col("param")).isNull())
     return good.select("request_id", F.posexplode(fields)).select(
         "request_id", F.col("pos").cast("long").alias("pos"), F.col("col").alias("field")
     )
 
 
-def _rejection() -> Column:
-    param = F.col("param")
+def _rejection(param: Column) -> Column:
+    """400 without a parameter, 500 for one that cannot be decoded or asks for an empty key."""
     fields = F.split(_decoded(param), ",")
+    # Bytes that are no UTF-8 decode to a replacement character that nobody spelt.
+    spelt = F.upper(param).contains("%EF%BF%BD") | param.contains(REPLACEMENT)
+    invalid = _decoded(param).contains(REPLACEMENT) & ~spelt
     # A store takes no empty key, so a request with one fails as a whole.
-    broken = _decoded(param).isNull() | F.array_contains(fields, "")
+    broken = _decoded(param).isNull() | invalid | F.array_contains(fields, "")
     return F.when(param.isNull() | (param == ""), 400).when(broken, 500)
 
 
 def rejected_params(requests: DataFrame) -> DataFrame:
     """(request_id, status_code, message) of requests that cannot be answered."""
-    code = _rejection().cast("long")
+    code = _rejection(F.col("param")).cast("long")
     return requests.withColumn("status_code", code).filter(F.col("status_code").isNotNull()).select(
         "request_id", "status_code",
         F.when(F.col("status_code") == 400, MISSING_PARAMETER).otherwise(FAILED_REQUEST)
@@ -199,12 +203,19 @@ def answer_requests(requests: DataFrame, index: DataFrame) -> DataFrame:
 def get_references(index: DataFrame, fields: Sequence[str] | str) -> DataFrame:
     """Point lookup of a few fields: (pos, field, source, label, url), nulls when absent.
 
-    The fields become a filter on ``pk`` that reaches the index files.
+    A text is a request parameter, decoded and refused by the rules of bulk requests; a
+    sequence holds plain fields. They become a filter on ``pk`` that reaches the index files.
     """
     spark = index.sparkSession
     if not fields:
         raise ValueError(MISSING_PARAMETER)
-    wanted = fields.split(",") if isinstance(fields, str) else list(fields)
+    wanted = fields
+    if isinstance(fields, str):
+        given = spark.createDataFrame([(fields,)], "param string")
+        code, wanted = given.select(
+            _rejection(F.col("param")), F.split(_decoded(F.col("param")), ",")).first()
+        if code is not None:
+            raise ValueError(MISSING_PARAMETER if code == 400 else FAILED_REQUEST)
     asked = spark.createDataFrame(list(enumerate(wanted)), "pos long, field string")
     hits = index.filter(F.col("pk").isin(*set(wanted)))
     return asked.join(hits, asked["field"] == hits["pk"], "left").drop("pk")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _ITEM = ("kind", "id", "schema", "name", "path")
@@ -30,17 +30,43 @@ def _listed(nodes: DataFrame, head: Sequence, items: Sequence[Column]) -> DataFr
     return nodes.select(*head, F.explode_outer(F.concat(*items)).alias("item"))
 
 
-def custom_sql_lists(nodes: DataFrame, first: int | None = None) -> DataFrame:
-    """Tables, columns and dashboards of custom SQL nodes.
+def _with_database(nodes: DataFrame) -> DataFrame:
+    return nodes.select("ordinal", F.col("database.name").alias("database"),
+                        F.col("database.connectionType").alias("connection_type"),
+                        "tables", "columns", "downstreamDashboards")
 
-    ``first`` is the page size of the metadata query: the first nodes by database name.
+
+def page_numbers(nodes: DataFrame, size: int) -> DataFrame:
+    """(ordinal, page_number): pages of ``size`` nodes by database name, from 0.
+
+    Nodes are numbered within their response, responses within their database by running
+    sums of counts, and databases by a running sum over one row each: no task sees more
+    than one response's nodes or one database's counts.
     """
-    nodes = nodes.select("ordinal", F.col("database.name").alias("database"),
-                         F.col("database.connectionType").alias("connection_type"),
-                         "tables", "columns", "downstreamDashboards")
-    if first is not None:
-        nodes = nodes.orderBy("database", "connection_type", "ordinal").limit(first)
-    return _listed(nodes, ["ordinal", "database", "connection_type"], [
+    database = F.struct("database.name", "database.connectionType").alias("database")
+    placed = nodes.select("ordinal", database, F.col("ordinal.page").alias("page"))
+    counts = placed.groupBy("database", "page").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("database").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    pages = counts.withColumn("before_page", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    totals = counts.groupBy("database").agg(F.sum("n").alias("n"))
+    above = Window.orderBy("database").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("database", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("before"))
+    offsets = pages.join(bases, "database").select(
+        "database", "page", (F.col("before") + F.col("before_page")).alias("offset"))
+    within = F.row_number().over(Window.partitionBy("database", "page").orderBy("ordinal")) - 1
+    numbered = placed.withColumn("within", within).join(offsets, ["database", "page"])
+    return numbered.select(
+        "ordinal", F.floor((F.col("offset") + F.col("within")) / size).cast("long").alias("page_number"))
+
+
+def custom_sql_pages(nodes: DataFrame, size: int = 50) -> DataFrame:
+    """``custom_sql_lists`` of all nodes with the page each node is on."""
+    return custom_sql_lists(nodes).join(page_numbers(nodes, size), "ordinal")
+
+
+def custom_sql_lists(nodes: DataFrame) -> DataFrame:
+    """Tables, columns and dashboards of custom SQL nodes."""
+    return _listed(_with_database(nodes), ["ordinal", "database", "connection_type"], [
         _items("tables", "table", schema="schema", name="name"),
         _items("columns", "column", name="name"),
         _items("downstreamDashboards", "dashboard", name="name", path="path"),

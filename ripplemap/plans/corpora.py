@@ -9,13 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplemap.sources.repo import even_out
-
 VARIABLES = {"schema.ods": "ods"}
 TEMPLATE_VARIABLES = {"schema.ods": "ods", "root": "r"}
 SERVER_URL = "https://bi.example.com"
 VARIABLE_PATH = "pipelines/settings7.yml"
-PROJECTS = ("URLS", "Live")
+PROJECTS = ("Finance", "Retail")
 
 REPO_FILES = """
 SELECT o_orderkey AS ordinal, path, 'https://git.example.com/r/blob/main/' || path AS url, content
@@ -138,7 +136,7 @@ SELECT c_custkey AS request_id, CASE c_custkey % 7
     WHEN 2 THEN 'a+b.c,dw.fact' || cast(c_custkey % 21 AS string)
     WHEN 3 THEN ''
     WHEN 4 THEN NULL
-    WHEN 5 THEN 'bad%zz.' || cast(c_custkey AS string)
+    WHEN 5 THEN CASE c_custkey % 2 WHEN 0 THEN 'bad%zz.' ELSE 'bad%FF.' END || cast(c_custkey AS string)
     ELSE 'x.y,,z.w' END AS param
 FROM {customer}
 """
@@ -161,10 +159,15 @@ _TEXT_KEYS = {"orders": "o_orderkey", "part": "p_partkey", "supplier": "s_suppke
               "customer": "c_custkey"}
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A test table, one file each, dealt to as many tasks as there are slots."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def derive(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run one of the texts above on the table it names."""
     name = text[text.rindex("FROM {") + 6:].split("}")[0]
-    rows = even_out(table(spark, sf_dir, name), _TEXT_KEYS[name])
+    rows = spread(table(spark, sf_dir, name), _TEXT_KEYS[name])
     return spark.sql(text, **{name: rows})
 
 
@@ -234,7 +237,7 @@ FROM {supplier}
 _WORKBOOK_FIELD_PAGES = """
 SELECT c_custkey AS page, to_json(named_struct('data', named_struct('workbooks', array(named_struct(
   '__typename', 'Workbook', 'name', 'wb' || c_custkey,
-  'projectName', CASE c_custkey % 4 WHEN 0 THEN 'URLS' WHEN 1 THEN 'Live' WHEN 2 THEN 'BRLS' END,
+  'projectName', CASE c_custkey % 4 WHEN 0 THEN 'Finance' WHEN 1 THEN 'Retail' WHEN 2 THEN 'Archive' END,
   'sheets', array(named_struct('__typename', 'Sheet', 'name', 'sheet' || c_nationkey,
     'sheetFieldInstances', array(
       named_struct('__typename', 'Field', 'name', 'f1', 'fullyQualifiedName', '[wb' || c_custkey || '].[f1]',

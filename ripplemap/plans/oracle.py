@@ -95,10 +95,10 @@ edges AS (
   FROM lineitem),
 nth AS (
   SELECT *, row_number() OVER (PARTITION BY table_id, name ORDER BY pos) AS n FROM edges),
-cutoffs AS (
-  SELECT table_id, min(pos) FILTER (WHERE n = 2) AS cutoff FROM nth GROUP BY table_id),
 kept AS (
-  SELECT e.* FROM edges e JOIN cutoffs USING (table_id) WHERE cutoff IS NULL OR pos < cutoff)"""
+  SELECT * EXCLUDE (cutoff) FROM (
+    SELECT *, min(CASE WHEN n = 2 THEN pos END) OVER (PARTITION BY table_id) AS cutoff FROM nth)
+  WHERE cutoff IS NULL OR pos < cutoff)"""
 
 _DATABASE_TABLES = """
 db_tables AS (
@@ -321,8 +321,9 @@ _ORACLE = {
               WHERE s_suppkey % 3 > 0)""",
     "q_custom_sql_dashboards": """
         SELECT s_suppkey AS ordinal, 'db' || s_nationkey AS database, 'redshift' AS connection_type,
-          kind, "schema", name, path
-        FROM (SELECT * FROM supplier ORDER BY 'db' || s_nationkey, s_suppkey LIMIT 50), LATERAL (
+          kind, "schema", name, path, page_number
+        FROM (SELECT *, (row_number() OVER (ORDER BY 'db' || s_nationkey, s_suppkey) - 1) // 50 AS page_number
+              FROM supplier), LATERAL (
             SELECT 'table' AS kind, 'ods' AS "schema", 't' || (s_suppkey % 9) AS name, NULL AS path
             UNION ALL SELECT 'table', 'dw', 'u' || (s_suppkey % 4), NULL
             UNION ALL SELECT 'column', NULL, 'c' || (s_suppkey % 5), NULL
@@ -338,7 +339,7 @@ _ORACLE = {
           CASE WHEN s_suppkey % 2 = 0 THEN 'redshift' END AS connection_type
         FROM supplier""",
     "q_workbook_fields": """
-        SELECT 'wb' || c_custkey AS workbook, CASE c_custkey % 4 WHEN 0 THEN 'URLS' ELSE 'Live' END AS project,
+        SELECT 'wb' || c_custkey AS workbook, CASE c_custkey % 4 WHEN 0 THEN 'Finance' ELSE 'Retail' END AS project,
           'sheet' || c_nationkey AS sheet, field, '[wb' || c_custkey || '].[' || field || ']' AS qualified_field,
           CASE field WHEN 'f1' THEN 'EmbeddedDatasource' ELSE 'PublishedDatasource' END AS datasource_type,
           CASE field WHEN 'f1' THEN 'e' || c_nationkey ELSE 'p' || c_nationkey END AS datasource,
@@ -400,6 +401,15 @@ _ORACLE = {
         UNION ALL SELECT 'github', pk, label, url FROM old_code
           WHERE pk NOT IN (SELECT tab FROM sql_pairs)
         UNION ALL SELECT 'tableau', pk, label, url FROM bi"""),
+    "q_index_store": _with(_REPO, _LAST_SQL, _SQL_PAIRS, _OLD, _BI, body="""
+        SELECT 'github' AS source, tab AS pk, file AS label, url FROM sql_pairs
+        UNION ALL SELECT 'github', pk, label, url FROM old_code
+          WHERE pk NOT IN (SELECT tab FROM sql_pairs)
+        UNION ALL SELECT 'tableau', pk, label, url FROM bi"""),
+    "q_index_rejects": """
+        SELECT CAST(NULL AS VARCHAR) AS pk, 'plain' || c_custkey AS label, CAST(c_custkey AS VARCHAR) AS url,
+          'MissingKey' AS reason
+        FROM customer WHERE c_custkey % 5 = 2""",
     "q_index_replace": _with(_REPO, _LAST_SQL, _SQL_PAIRS, _BI, body="""
         SELECT 'github' AS source, tab AS pk, file AS label, url FROM sql_pairs
         UNION ALL SELECT 'tableau', pk, label, url FROM bi"""),

@@ -15,6 +15,7 @@ from ripplemap.plans import jobs
 from ripplemap.schemas import INDEX
 from ripplemap.session import shared_folder
 from ripplemap.sources import bi_export, repo
+from ripplemap.sources import index_store as index_store_sink
 from ripplemap.sources import tickets as ticket_source
 from ripplemap.streaming.impact import stream_report, write_report
 
@@ -271,7 +272,8 @@ def bi_table_scan(spark, sf):
 
 @query
 def custom_sql_dashboards(spark, sf):
-    return lineage.custom_sql_lists(_nodes(spark, sf, "custom_sql"), first=50).withColumn(
+    """All nodes, with the page of 50 each is on."""
+    return lineage.custom_sql_pages(_nodes(spark, sf, "custom_sql")).withColumn(
         "ordinal", F.col("ordinal.page")
     )
 
@@ -397,6 +399,28 @@ def index_replace(spark, sf):
     return index.merge_index(_old_index(spark, sf), new, "github", "replace")
 
 
+@query
+def index_store(spark, sf):
+    """Two runs of the code source and one of the other, written to a store and read back."""
+    base = f"{shared_folder(spark)}/index_store/{uuid4().hex}"
+    index_store_sink.upsert_index(spark, base, c.derive(spark, sf, c.OLD_CODE), "github")
+    new = jobs.code_index(_files(spark, sf, c.REPO_FILES), c.VARIABLES)
+    index_store_sink.upsert_index(spark, base, new, "github")
+    index_store_sink.upsert_index(spark, base, jobs.bi_index(*_bi(spark, sf), c.SERVER_URL), "tableau")
+    return index_store_sink.read_index(spark, base)
+
+
+@query
+def index_rejects(spark, sf):
+    """Entries without a key, as a run leaves them beside the store."""
+    base = f"{shared_folder(spark)}/index_rejects/{uuid4().hex}"
+    raw = c.derive(spark, sf, c.RAW_NAMES)
+    key = F.when(F.col("raw").contains("."), names.normalise_table(F.col("raw")))
+    entries = raw.select(key.alias("pk"), F.col("raw").alias("label"), F.col("id").cast("string").alias("url"))
+    index_store_sink.upsert_index(spark, base, entries, "github")
+    return index_store_sink.read_rejected(spark, base, "github")
+
+
 @query
 def index_keys(spark, sf):
     return index.index_keys(_index(spark, sf))
@@ -439,7 +463,8 @@ def issue_refs_intended(spark, sf):
 def text_refs(spark, sf):
     """Names in free text: page addresses, documents and conversation turns."""
     pages, documents, turns = (
-        repo.even_out(c.table(spark, sf, name)) for name in ("pages", "documents", "conversations")
+        c.spread(c.table(spark, sf, name), key)
+        for name, key in (("pages", "page_id"), ("documents", "doc_id"), ("conversations", "conv_id"))
     )
     whole = [
         pages.select(

@@ -63,12 +63,32 @@ def _nodes(responses: DataFrame, where: str, page) -> DataFrame:
 
 
 def read_nodes(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Nodes of the response files in ``path``; pages count in file name order."""
+    """Nodes of the response files in ``path``, pages by the last number in the file name.
+
+    Files without a number come first, and equal numbers go by path.
+    """
     where, _ = NODES[kind]
     responses = (
         spark.read.schema(response_schema(kind)).option("multiLine", True).json(path)
     )
-    return _nodes(responses, where, F.col("_metadata.file_path"))
+    number = F.regexp_extract("_metadata.file_name", r"(\d+)\D*$", 1)
+    page = F.struct(F.coalesce(number.try_cast("long"), F.lit(-1).cast("long")).alias("number"),
+                    F.col("_metadata.file_path").alias("file"))
+    return _nodes(responses, where, page)
+
+
+def read_node_lines(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Nodes stored one to a line, in numbered files that Spark may split anywhere.
+
+    ``ordinal`` = (file, offset of the line's block in it, line): as ordered as the lines are.
+    """
+    fields = StructType.fromDDL(NODES[kind][1])
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("page"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    node = F.from_json("value", fields).alias("node")
+    ordinal = F.struct("page", F.struct("block", "line").alias("at")).alias("ordinal")
+    return lines.select(ordinal, node).select("ordinal", "node.*")
 
 
 def nodes_from_text(df: DataFrame, text: str, page: str, kind: str) -> DataFrame:

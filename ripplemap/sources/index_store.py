@@ -4,6 +4,7 @@ Layout under a base folder::
 
     <source>/incoming/version=<n>/… entries of one run as it found them
     <source>/data/version=<n>/…     entries (pk, label, url) after the merge
+    <source>/rejected/version=<n>/… entries of the run without a key, with the reason
     <source>/versions/…             one row per finished version
 
 A version becomes visible when its row is written, after its data; a run that dies
@@ -16,7 +17,8 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplemap.operators.index import as_attribute, merge_entries
+from ripplemap.operators.index import as_attribute, merge_entries, rejected_keys
+from ripplemap.operators.skew import salt_of
 from ripplemap.schemas import ENTRIES, INDEX, SOURCES, check_source
 
 
@@ -30,6 +32,23 @@ def current_version(spark: SparkSession, base: str, source: str) -> int | None:
         raise
 
 
+#: Files that one key's entries are spread over.
+FILES_PER_KEY = 16
+
+
+def _rejected(base: str, source: str, version: int) -> str:
+    return f"{base}/{source}/rejected/version={version}"
+
+
+def read_rejected(spark: SparkSession, base: str, source: str) -> DataFrame:
+    """(pk, label, url, reason) of the current version's run."""
+    schema = ENTRIES.simpleString()[7:-1] + ",reason:string"
+    version = current_version(spark, base, check_source(source))
+    if version is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema.replace(":", " ")).parquet(_rejected(base, source, version))
+
+
 def _data(base: str, source: str, version: int) -> str:
     return f"{base}/{source}/data/version={version}"
 
@@ -56,17 +75,18 @@ def upsert_index(
     The run's entries are written before they are merged: the merge needs them twice,
     and the corpus is not to be read again for that.
 
-    Files are clustered by (pk, label) ranges: lookups by key skip most of them, and a
-    key with very many entries still spans several files.
+    Rows are dealt by (pk, salt of the label) and sorted: nothing is sampled first, a key is
+    in at most ``FILES_PER_KEY`` files, and one with very many entries is in several.
     """
     version = current_version(spark, base, check_source(source))
     following = 1 if version is None else version + 1
     incoming = f"{base}/{source}/incoming/version={following}"
     new.select(*ENTRIES.names).write.mode("overwrite").parquet(incoming)
     arrived = spark.read.schema(ENTRIES).parquet(incoming)
+    rejected_keys(arrived).write.mode("overwrite").parquet(_rejected(base, source, following))
     merged = merge_entries(read_entries(spark, base, source), arrived, mode)
     (
-        merged.repartitionByRange("pk", "label").sortWithinPartitions("pk", "label")
+        merged.repartition("pk", salt_of("label", salts=FILES_PER_KEY)).sortWithinPartitions("pk", "label")
         .write.mode("overwrite").parquet(_data(base, source, following))
     )
     (

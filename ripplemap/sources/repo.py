@@ -24,18 +24,6 @@ def from_table(snapshot: DataFrame) -> DataFrame:
     )
 
 
-def even_out(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a source of fewer partitions than there are task slots.
-
-    A small or unsplittable table would leave the text work to few tasks. A table that
-    already fills the cluster is passed on without a shuffle.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots, *keys)
-
-
 def read_repo(spark: SparkSession, root: str, url_prefix: str = "") -> DataFrame:
     """A checked-out folder tree as repository files.
 
