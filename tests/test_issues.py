@@ -136,3 +136,17 @@ def test_streams_give_the_batch_report(spark, tmp_path):
     write_report(stream(), lambda: index, str(tmp_path / "o2"), str(tmp_path / "c2")).awaitTermination()
     later = spark.read.parquet(str(tmp_path / "o2"))
     assert later.count() == len(REPORT) + 1 and later.filter(F.col("issue_key") == "K-9").count() == 1
+
+
+@pytest.mark.parametrize("param, code", [
+    ("", 400), (None, 400), ("a.b%FF", 500), ("%C3.x", 500), ("ab.c,,x", 500), ("bad%zz", 500),
+    ("ab.c%2Cx", None), ("%EF%BF%BD.x", None), ("\ufffd.x", None), ("a+b", None)])
+def test_bulk_and_point_lookup_refuse_alike(spark, param, code):
+    asked = spark.createDataFrame([(1, param)], "request_id long, param string")
+    assert [r["status_code"] for r in issues.rejected_params(asked).collect()] == ([code] if code else [])
+    index = spark.createDataFrame(ENTRIES, INDEX)
+    if code:
+        with pytest.raises(ValueError):
+            issues.get_references(index, param)
+    else:
+        assert issues.get_references(index, param).count() == issues.lookup_params(asked).count()
