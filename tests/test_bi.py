@@ -122,3 +122,10 @@ def test_lists_without_items_keep_the_node(spark, tmp_path):
     read = bi_export.read_nodes(spark, str(tmp_path), "workbooks")
     assert rows(lineage.workbook_lineage(read), "workbook_id", "kind", "upstream_id") == [
         ("1", None, None), ("2", "table", "t")]
+
+
+def test_nodes_stored_one_to_a_line(spark, tmp_path):
+    lines = [{"id": "1", "name": "a", "luid": "x", "connectionType": None}, {"id": "2", "name": "b"}]
+    (tmp_path / "part1.json").write_text("\n".join(map(json.dumps, lines)) + "\n")
+    read = bi_export.read_node_lines(spark, str(tmp_path), "databases")
+    assert [(r["id"], r["name"]) for r in read.orderBy("ordinal").collect()] == [("1", "a"), ("2", "b")]
