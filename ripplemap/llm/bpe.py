@@ -7,7 +7,10 @@ find-first-set which bucket is next. Positions whose pair has changed meanwhile
 and skipped. A merge costs a few bit operations whatever the length, so pre-tokens of
 megabytes take time in proportion to their bytes (times the log of a bucket).
 
-Pre-tokens repeat, so each Python worker keeps the ids of short ones, up to a bound.
+Pre-tokens repeat, so each Python worker keeps the ids of short ones, up to a bound. New
+short ones wait until many texts are split and then share one queue (``merge_many``): a
+bucket's positions are merged together, one of each pre-token, so that every pre-token sees
+its own merges in the same order as alone.
 ``token_bytes`` are ids as little-endian unsigned 32-bit integers, end to end.
 
 Defined results: null and empty texts have no token and decode to the empty text; other
@@ -19,7 +22,7 @@ from __future__ import annotations
 import base64
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 from itertools import islice
@@ -37,6 +40,8 @@ from ripplemap.llm.common import encoded
 KEPT_CHARS, KEPT_TOKENS = 40, 300_000
 #: Pre-tokens of a long text that are held at a time, and what counts as long.
 BLOCK, LONG_CHARS = 50_000, 500_000
+#: Pre-tokens whose ids are awaited together, and how many new ones are worth a shared queue.
+AWAITED, SHARED = 3_000_000, 500
 BIT = [1 << i for i in range(1024)]
 #: Letters, besides A-Z, of texts that Python's own pattern engine splits alike, and faster.
 PLAIN_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -63,31 +68,38 @@ class RankQueue:
             heappush(buckets[rank], position)
             return
         buckets[rank] = [position]
-        word, low = rank >> 8, self.low
-        if word in low:
-            low[word] |= BIT[rank & 255]
-        else:
-            low[word] = BIT[rank & 255]
-            self.high |= BIT[word]
+        self._mark(rank)
 
     def take(self) -> tuple[int, int]:
         """Rank and position of the next pair; the queue must not be empty."""
-        high, low = self.high, self.low
-        word = (high & -high).bit_length() - 1
-        bits = low[word]
-        first = bits & -bits
-        rank = word << 8 | first.bit_length() - 1
+        rank = self._first()
         bucket = self.buckets[rank]
         if len(bucket) > 1:
             return rank, heappop(bucket)
         del self.buckets[rank]
-        if bits == first:
-            del low[word]
-            self.high = high ^ BIT[word]
-        else:
-            low[word] = bits ^ first
+        self._unmark(rank)
         return rank, bucket[0]
 
+    def _first(self) -> int:
+        word = (self.high & -self.high).bit_length() - 1
+        bits = self.low[word]
+        return word << 8 | (bits & -bits).bit_length() - 1
+
+    def _mark(self, rank: int) -> None:
+        word, low = rank >> 8, self.low
+        if word in low:
+            low[word] |= BIT[rank & 255]
+        else:
+            low[word] = BIT[rank & 255]
+            self.high |= BIT[word]
+
+    def _unmark(self, rank: int) -> None:
+        word, low = rank >> 8, self.low
+        low[word] ^= BIT[rank & 255]
+        if not low[word]:
+            del low[word]
+            self.high ^= BIT[word]
+
 
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token."""
@@ -129,27 +141,152 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class BlockQueue(RankQueue):
+    """Arrays of list positions by rank; a bucket is taken as a whole."""
+
+    __slots__ = ()
+
+    def put(self, rank: int, positions: np.ndarray) -> None:
+        if rank in self.buckets:
+            self.buckets[rank].append(positions)
+        else:
+            self.buckets[rank] = [positions]
+            self._mark(rank)
+
+    def take(self) -> tuple[int, np.ndarray]:
+        rank = self._first()
+        found = self.buckets.pop(rank)
+        self._unmark(rank)
+        return rank, found[0] if len(found) == 1 else np.concatenate(found)
+
+
+class PairRanks:
+    """Ranks of pairs of tokens, as sorted arrays; ``none`` where a pair forms no token."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.none = max(ranks.values(), default=0) + 1  # also the token beyond either end
+        get, found = ranks.get, []
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = get(token[:i]), get(token[i:])
+                if left is not None and right is not None:
+                    found.append((left << 32 | right, rank))
+        pairs = np.array(sorted(found) + [((1 << 63) - 1, self.none)], np.int64)
+        self.keys, self.values = pairs[:, 0].copy(), pairs[:, 1].copy()
+        self.byte = np.array([get(bytes([b]), self.none) for b in range(256)], np.int64)
+        left, right = np.repeat(self.byte, 256), np.tile(self.byte, 256)
+        self.of_bytes = self.find(left << 32 | right)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        at = self.keys.searchsorted(key)
+        return np.where(self.keys[at] == key, self.values[at], self.none)
+
+    def put(self, queue: BlockQueue, rank: np.ndarray, position: np.ndarray) -> None:
+        some = rank != self.none
+        rank, position = rank[some], position[some]
+        order = rank.argsort(kind="stable")
+        rank, position = rank[order], position[order]
+        cuts = [0, *(np.flatnonzero(rank[1:] != rank[:-1]) + 1).tolist(), len(rank)]
+        if len(rank):
+            for value, begin, end in zip(rank[cuts[:-1]].tolist(), cuts, cuts[1:]):
+                queue.put(value, position[begin:end])
+
+
+def merge_many(pieces: list[bytes], pairs: PairRanks) -> list[bytes]:
+    """Packed ids of many pre-tokens, none empty: their lists lie end to end in one queue.
+
+    A bucket gives each pre-token its leftmost live position; what is left waits in the bucket,
+    since a merge may have made a pair of a lower rank. ``n`` is the place beyond every end.
+    """
+    data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+    n, stop_at = len(data), np.cumsum([len(p) for p in pieces])
+    start_at = np.concatenate(([0], stop_at[:-1]))
+    owner = np.repeat(np.arange(len(pieces)), stop_at - start_at)
+    token = np.append(pairs.byte[data], pairs.none)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    after[stop_at - 1] = before[start_at] = n
+    before = np.append(before, n)
+    pair = np.full(n + 1, pairs.none)
+    pair[:n - 1] = pairs.of_bytes[data[:-1] << 8 | data[1:]]
+    pair[stop_at - 1] = pairs.none
+    alive = np.ones(n, bool)
+    queue = BlockQueue()
+    pairs.put(queue, pair, np.arange(n + 1))
+    while queue.buckets:
+        rank, at = queue.take()
+        at = at[pair[at] == rank]  # the others are stale
+        if len(at) > 1:
+            at.sort()
+            first = np.ones(len(at), bool)
+            whose = owner[at]
+            np.not_equal(whose[1:], whose[:-1], out=first[1:])
+            if not first.all():
+                queue.put(rank, at[~first])
+                at = at[first]
+        elif not len(at):
+            continue
+        middle = after[at]
+        stop, left = after[middle], before[at]
+        token[at], after[at], before[stop] = rank, stop, at
+        alive[middle], pair[middle] = False, pairs.none
+        touched = np.concatenate((left, at))
+        grown = pairs.find(np.concatenate((token[left] << 32 | rank, rank << 32 | token[stop])))
+        pair[touched] = grown
+        pairs.put(queue, grown, touched)
+    place = np.flatnonzero(alive)
+    packed = token[place].astype("<u4").tobytes()
+    edges = (np.searchsorted(place, np.append(start_at, n)) * 4).tolist()
+    return [packed[i:j] for i, j in zip(edges, edges[1:])]
+
+
 class PieceIds(dict):
-    """Packed ids by pre-token: a bounded memory of ``merge_bytes`` in two generations.
+    """Cells of packed ids by pre-token: a bounded memory of merges in two generations.
 
     When the young one is full it becomes the old one; what is asked for again moves back.
+    Cells of new pre-tokens are empty until ``settle``.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks, self.old = ranks, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        packed = self.old.get(piece)
-        if packed is None:
-            ids = merge_bytes(piece.encode(), self.ranks)
-            packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= KEPT_CHARS:
-            if len(self) >= KEPT_TOKENS:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = packed
-        return packed
+        self.ranks, self.old, self.new = ranks, {}, {}
+        self.pairs = PairRanks(ranks)
+
+    def __missing__(self, piece: str) -> list[bytes]:
+        if len(piece) > KEPT_CHARS:
+            return [self._alone(piece)]
+        cell = self.old.get(piece)
+        if cell is None:
+            cell = self.new.get(piece)
+        if cell is None:
+            cell = self.new[piece] = []
+        if len(self) >= KEPT_TOKENS:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = cell
+        return cell
+
+    def _alone(self, piece: str) -> bytes:
+        ids = merge_bytes(piece.encode(), self.ranks)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def settle(self) -> None:
+        """Fill the cells of all new pre-tokens."""
+        if len(self.new) < SHARED:
+            for piece, cell in self.new.items():
+                cell.append(self._alone(piece))
+        else:
+            whole, parts = self.ranks.get, []
+            for piece, cell in self.new.items():
+                data = piece.encode()
+                rank = whole(data)
+                if rank is None:
+                    parts.append((data, cell))
+                else:
+                    cell.append(struct.pack("<I", rank))
+            if parts:
+                for (_, cell), packed in zip(parts, merge_many([data for data, _ in parts], self.pairs)):
+                    cell.append(packed)
+        self.new = {}
 
 
 class ByteBpe:
@@ -175,7 +312,30 @@ class ByteBpe:
             yield block
 
     def encode(self, text: str) -> bytes:
-        return b"".join(b"".join(map(self.ids.__getitem__, block)) for block in self._pieces(text))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: Iterable[str]) -> list[bytes]:
+        """Packed ids of each text; a bounded number of pre-tokens is held."""
+        out: list[bytes] = []
+        parts: list[tuple[int, list[list[bytes]]]] = []  # text number and cells
+        held, cells_of = 0, self.ids.__getitem__
+
+        def write() -> None:
+            self.ids.settle()
+            for number, cells in parts:
+                out[number] += b"".join([cell[0] for cell in cells])
+            parts.clear()
+
+        for number, text in enumerate(texts):
+            out.append(b"")
+            for block in self._pieces(text):
+                parts.append((number, list(map(cells_of, block))))
+                held += len(block)
+                if held >= AWAITED:
+                    write()
+                    held = 0
+        write()
+        return out
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -197,7 +357,7 @@ def _binary_udf(run: Callable[[ByteBpe, pa.Array], list[bytes]], path: str, patt
 
 
 def encode_column(text: Column, path: str, pattern: str) -> Column:
-    return _binary_udf(lambda bpe, c: [bpe.encode(t.decode()) for t in encoded(c)], path, pattern)(text)
+    return _binary_udf(lambda bpe, c: bpe.encode_all(t.decode() for t in encoded(c)), path, pattern)(text)
 
 
 def decode_column(token_bytes: Column, path: str, pattern: str) -> Column:
