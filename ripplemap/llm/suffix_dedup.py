@@ -20,7 +20,8 @@ Equal texts are one text with a number of copies, and equal stretches one stretc
 of copies cost nothing in the sorts. Positions are numbers in one address space: a stretch
 starts at a multiple of ``BLOCK`` and leaves a gap of ``size``, so a rank ``d`` bytes on is an
 equi-join and a position finds its stretch by its block. A sorted group is streamed in Arrow
-batches; no group is held in memory.
+batches; no group is held in memory. Each step ends in a written table, and what it no longer
+needs is removed, so pairs, stretches and texts are never on disk together.
 
 Defined results: a null text is empty; a text with a copy is repeated as a whole, if it is
 long enough; repeated rows are copies; an empty table stays empty; other columns are kept;
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplemap.llm.anchors import bit_table, has_bit
-from ripplemap.llm.common import cut, encoded, pieces
+from ripplemap.llm.common import cut, discard, encoded, pieces
 from ripplemap.llm.wordscan import BYTE_VALUES, covered, joined, mix, runs, sliding, window_hashes
 
 #: Addresses are dealt in blocks; the starts found in a block are one row.
@@ -288,16 +289,20 @@ def spans_of_texts(docs: DataFrame, size: int, seed: int) -> DataFrame:
         F.count("*").alias("times"), F.max("again").alias("again")), "stretch-kinds")
     unsettled = kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.max("again").alias("again")).filter(
         "n > 1 OR again")
+    discard(anchors)
     found = open_stretches(docs, bit_table(unsettled, "anchor"), size, seed)
-    inner = _ranked_spans(found, size, seed).withColumnRenamed("key", "ranked")
+    inner = cut(_ranked_spans(found, size, seed).withColumnRenamed("key", "ranked"), "ranked-spans")
+    discard(found)
     verdicts = kinds.join(inner, kinds["key"] == inner["ranked"], "left").filter(
         "times > 1 OR inner IS NOT NULL").select("key", "times", "inner")
     start = F.col("start").cast("long")
     whole = F.array(start, start + F.col("n") - 1 + size)
     spans = F.when(F.col("times") > 1, whole).otherwise(F.transform("inner", lambda x: x + start))
-    return listed.join(verdicts, "key").select(
+    of_texts = cut(listed.join(verdicts, "key").select(
         F.col("hi").alias("__hi"), F.col("lo").alias("__lo"), spans.alias("spans")).groupBy("__hi", "__lo").agg(
-        F.flatten(F.collect_list("spans")).alias("spans"))
+        F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    discard(listed, kinds, inner)
+    return of_texts
 
 
 def _remove(text: bytes, spans: list[int] | None, copies: int | None, size: int) -> tuple[int, int, int, bytes]:
