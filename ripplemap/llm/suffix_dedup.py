@@ -15,6 +15,9 @@ Only positions whose fate is open are ranked:
   anchor has no other stretch, and only one place in it, is not repeated at all.
 * A third pass sends the bytes of each distinct stretch of the other anchors once. Ranks
   start with hashes of ``seed`` bytes; the first pair is 128 bits, later ranks are exact.
+* Equal windows have their anchor at the same place, so every eighth position, counted from the
+  anchor, is ranked: for the core that eight neighbouring windows share. The last step
+  lengthens repeated cores to windows by their surrounding bytes, exactly (``repeated_starts``).
 
 Equal texts are one text with a number of copies, and equal stretches one stretch, so groups
 of copies cost nothing in the sorts. Positions are numbers in one address space: a stretch
@@ -37,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplemap.llm.anchors import bit_table, has_bit
@@ -195,22 +198,63 @@ def open_stretches(docs: DataFrame, unsettled: np.ndarray, size: int, seed: int)
     return cut(once.mapInArrow(number, "key binary, data binary, base long"), "stretches")
 
 
-def _first_pairs(found: DataFrame, seed: int, step: int) -> DataFrame:
-    """(a, b, at): hashes of the seed at each position and ``step`` bytes on."""
+class Grid(NamedTuple):
+    """Positions of a stretch are ranked at every ``every``-th byte from its anchor on.
+
+    A window of ``size`` bytes holds the ``core`` bytes behind the first such position, and
+    ``rest`` = size - core bytes around them, which fit a long.
+    """
+
+    size: int
+    seed: int
+    every: int
+    core: int
+    rest: int
+
+
+def grid(size: int, seed: int) -> Grid:
+    """The widest grid whose rest fits eight bytes; with few bytes beside the seed, all positions."""
+    for every in (8, 4):
+        beside = size - seed - every + 1
+        if seed >= every and beside >= 0:
+            core = seed + beside // every * every
+            if size - core <= 8:
+                return Grid(size, seed, every, core, size - core)
+    return Grid(size, seed, 1, size, 0)
+
+
+def _step(length: int, g: Grid) -> int:
+    return min(length, g.core - length) // g.every * g.every
+
+
+def _first_pairs(found: DataFrame, g: Grid) -> DataFrame:
+    """(a, b, at): hashes of the seed at each position of the grid and one step on.
+
+    The first also holds the anchor, so neighbouring stretches that share bytes don't match.
+    """
+    step = _step(g.seed, g)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bases = batch.column(1).to_numpy()
             for at, part in pieces(encoded(batch.column(0)), 256 << 10):
                 buffer, starts = joined(part)
-                h = mix(window_hashes(BYTE_VALUES[buffer], seed))
-                n = len(h) - step
-                inside = covered(starts, starts + np.array([max(0, len(p) - seed - step + 1) for p in part]), n)
-                place = np.flatnonzero(inside)
-                of = np.searchsorted(starts, place, "right") - 1
+                lengths = np.array([len(p) for p in part])
+                h = mix(window_hashes(BYTE_VALUES[buffer], g.seed))
+                inside = covered(starts, starts + lengths - g.seed + 1, len(h))
+                masked = np.where(inside, h, np.uint64((1 << 64) - 1))
+                least = np.minimum.reduceat(masked, starts)
+                of = np.concatenate(([0], np.repeat(np.arange(len(part)), lengths + 1)))[:len(h)]
+                anchor = np.flatnonzero(inside & (h == least[of]))
+                chains = np.unique(of[anchor] * g.every + (anchor - starts[of[anchor]]) % g.every)
+                chain_of, from_ = chains // g.every, chains % g.every
+                n = np.maximum((lengths[chain_of] - g.seed - step - from_) // g.every + 1, 0)
+                of = np.repeat(chain_of, n)
+                local = np.repeat(from_, n) + (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * g.every
+                place = starts[of] + local
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[place].view(np.int64)), pa.array(h[place + step].view(np.int64)),
-                     pa.array(bases[at + of] + place - starts[of])], ["a", "b", "at"])
+                    [pa.array((h[place] ^ mix(least)[of]).view(np.int64)), pa.array(h[place + step].view(np.int64)),
+                     pa.array(bases[at + of] + local)], ["a", "b", "at"])
 
     return found.select("data", "base").mapInArrow(emit, "a long, b long, at long")
 
@@ -241,43 +285,136 @@ def rerank(pairs: DataFrame) -> DataFrame:
     return pairs.repartition("a", "b").sortWithinPartitions("a", "b", "at").mapInArrow(name, "at long, rank long")
 
 
-def repeated_starts(found: DataFrame, size: int, seed: int) -> DataFrame:
-    """(at): addresses where a string of ``size`` bytes starts that starts elsewhere too."""
-    length, step = seed, min(seed, size - seed)
-    ranked = rerank(_first_pairs(found, seed, step))
-    length += step
-    while length < size:
-        ranked, step = cut(ranked, "ranks"), min(length, size - length)
+def repeated_cores(found: DataFrame, g: Grid) -> DataFrame:
+    """(at, rank): positions of the grid whose ``core`` bytes start at another one too."""
+    length = g.seed + _step(g.seed, g)
+    ranked = rerank(_first_pairs(found, g))
+    while length < g.core:
+        ranked, step = cut(ranked, "ranks"), _step(length, g)
         behind = ranked.select((F.col("at") - step).alias("at"), F.col("rank").alias("b"))
         ranked = rerank(ranked.withColumnRenamed("rank", "a").join(behind, "at").select("a", "b", "at"))
         length += step
-    return ranked.select("at")
+    return ranked
+
+
+def _little_endian(data: np.ndarray, places: np.ndarray, offsets: range) -> np.ndarray:
+    """Bytes at these offsets from the places as one number, the first one lowest; zero outside."""
+    out = np.zeros(len(places), np.uint64)
+    for j, offset in enumerate(offsets):
+        at = places + offset
+        good = (at >= 0) & (at < len(data))
+        out[good] |= data[at[good]].astype(np.uint64) << np.uint64(8 * j)
+    return out
+
 
+def _surroundings(cores: DataFrame, found: DataFrame, g: Grid) -> DataFrame:
+    """(rank, before, behind, at): a core's surroundings, all that its windows hold.
 
-def _merged(starts: np.ndarray, size: int) -> list[int]:
-    """Begin and end, in turn, of what windows at these starts cover."""
-    starts = np.sort(starts)
-    cuts = np.flatnonzero(starts[1:] > starts[:-1] + size)
+    ``before`` has the bytes before the core, the nearest lowest, and in its top byte the first
+    and last number of bytes before the core with which a window lies in the stretch.
+    """
+    places = cores.groupBy(F.shiftright("at", SHIFT).alias("block")).agg(F.collect_list(F.struct(
+        F.col("at").bitwiseAND(F.lit(BLOCK - 1)).cast("int").alias("place"), "rank")).alias("ranked"))
+    skipped = (F.col("block") - F.col("from")) * BLOCK
+    begin = F.greatest(F.lit(0), skipped - g.every)
+    slices = _blocks(found, F.col("data"), F.octet_length("data").alias("length")).select(
+        "block", skipped.alias("skipped"), begin.alias("begin"), "length",
+        F.substr("data", (begin + 1).cast("int"), F.lit(BLOCK + 2 * (g.size + g.every))).alias("slice"))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i) for i in range(6)]
+            block, skip, start, length = (c.to_numpy() for c in columns[:4])
+            ranked = columns[5]
+            owner = np.repeat(np.arange(len(block)), ranked.value_lengths().to_numpy())
+            of_place, rank = (f.to_numpy() for f in ranked.flatten().flatten())
+            data, starts = joined(encoded(columns[4]))
+            local = skip[owner] + of_place
+            at = starts[owner] + local - start[owner]
+            last = np.minimum(g.every - 1, local)
+            first = np.maximum(0, local - (length[owner] - g.size))
+            before = _little_endian(data, at, range(-1, -g.every, -1))
+            behind = _little_endian(data, at, range(g.core, g.size))
+            # what lies outside the stretch belongs to no window of it
+            before &= (np.uint64(1) << (8 * last).astype(np.uint64)) - np.uint64(1)
+            used = np.maximum(g.rest - first, 0).astype(np.uint64)
+            behind &= np.where(used < 8, (np.uint64(1) << (np.uint64(8) * (used % np.uint64(8)))) - np.uint64(1),
+                               np.uint64((1 << 64) - 1))
+            before |= (first * 16 + last).astype(np.uint64) << np.uint64(56)
+            good = first <= last
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rank[good]), pa.array(before[good].view(np.int64)), pa.array(behind[good].view(np.int64)),
+                 pa.array((block[owner] * BLOCK + of_place)[good])], ["rank", "before", "behind", "at"])
+
+    return slices.join(places, "block").select("block", "skipped", "begin", "length", "slice", "ranked").mapInArrow(
+        emit, "rank long, before long, behind long, at long")
+
+
+def repeated_starts(found: DataFrame, g: Grid) -> DataFrame:
+    """(at, mask): bit i is set if the window that starts i bytes before ``at`` starts elsewhere too.
+
+    Cores with equal surroundings have all their windows in common. Windows are compared one by
+    one only between different surroundings of one core, where matches begin and end.
+    """
+    cores = cut(repeated_cores(found, g), "cores")
+    if g.every == 1:
+        return cores.select("at", F.lit(1).alias("mask"))
+    key = ["rank", "before", "behind"]
+    rows = cut(_surroundings(cores, found, g), "surroundings")
+    discard(cores)
+    kinds = cut(rows.groupBy(key).agg(F.count("*").alias("times")), "kinds")
+    first = F.shiftrightunsigned("before", 60).cast("int")
+    last = F.shiftrightunsigned("before", 56).bitwiseAND(F.lit(15)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1), F.col("i"))
+    several = kinds.groupBy("rank").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    bits = F.col("i") * 8
+    near = F.col("before").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)
+    far = F.call_function("shiftleft", F.call_function("shiftleft", F.col("behind"), F.lit(8 * (8 - g.rest))), bits)
+    windows = kinds.join(several, "rank", "left_semi").withColumn("i", F.explode(F.sequence(first, last))).select(
+        *key, "i", near.bitwiseOR(far).alias("around"))
+    windows = cut(windows, "windows")
+    again = windows.groupBy("rank", "i", "around").agg(F.count("*").alias("n")).filter("n > 1")
+    matched = windows.join(again, ["rank", "i", "around"], "left_semi").select(*key, bit.alias("mask"))
+    all_bits = F.call_function("shiftleft", F.lit(1), last + 1) - F.call_function("shiftleft", F.lit(1), first)
+    masks = matched.union(kinds.filter("times > 1").select(*key, all_bits.alias("mask"))).groupBy(key).agg(
+        F.bit_or("mask").alias("mask"))
+    starts = cut(rows.join(masks, key).select("at", "mask"), "starts")
+    discard(rows, kinds, windows)
+    return starts
+
+
+def _blocks(found: DataFrame, *columns: Column) -> DataFrame:
+    """(key, from, block, columns): one row for each block of a stretch."""
+    first = F.shiftright("base", SHIFT)
+    return found.select("key", first.alias("from"), *columns, F.explode(F.sequence(
+        first, F.shiftright(F.col("base") + F.octet_length("data") - 1, SHIFT))).alias("block"))
+
+
+def _merged(places: np.ndarray, masks: np.ndarray, g: Grid) -> list[int]:
+    """Begin and end, in turn, of what the windows of these masks cover."""
+    row, back = np.nonzero(masks[:, None] >> np.arange(g.every) & 1)
+    starts = np.sort(places[row] - back)
+    cuts = np.flatnonzero(starts[1:] > starts[:-1] + g.size)
     begin = starts[np.concatenate(([0], cuts + 1))]
-    end = starts[np.concatenate((cuts, [len(starts) - 1]))] + size
+    end = starts[np.concatenate((cuts, [len(starts) - 1]))] + g.size
     return np.stack((begin, end), 1).ravel().tolist()
 
 
 def _ranked_spans(found: DataFrame, size: int, seed: int) -> DataFrame:
     """(key, inner): what repeated strings cover in a stretch, from its first byte."""
-    by_block = repeated_starts(found, size, seed).groupBy(F.shiftright("at", SHIFT).alias("block")).agg(
-        F.collect_list(F.col("at").bitwiseAND(F.lit(BLOCK - 1)).cast("int")).alias("places"))
-    first_block = F.shiftright("base", SHIFT)
-    blocks = found.select("key", first_block.alias("from"), F.explode(F.sequence(
-        first_block, F.shiftright(F.col("base") + F.octet_length("data") - 1, SHIFT))).alias("block"))
+    g = grid(size, seed)
+    by_block = repeated_starts(found, g).groupBy(F.shiftright("at", SHIFT).alias("block")).agg(
+        F.collect_list(F.struct(F.col("at").bitwiseAND(F.lit(BLOCK - 1)).cast("int").alias("place"), "mask"))
+        .alias("starts"))
 
-    def cover(places: pa.Array, shift: pa.Array) -> pa.Array:
-        return pa.array([_merged(np.asarray(p, np.int64) + s, size) for p, s in
-                         zip(places.to_pylist(), shift.to_pylist())], pa.list_(pa.int64()))
+    def cover(starts: pa.Array, shift: pa.Array) -> pa.Array:
+        rows = ([np.array([x[name] for x in row], np.int64) for name in ("place", "mask")] for row in starts.to_pylist())
+        return pa.array([_merged(place + s, mask, g) for (place, mask), s in zip(rows, shift.to_pylist())],
+                        pa.list_(pa.int64()))
 
     shift = (F.col("block") - F.col("from")) * BLOCK
-    spans = F.arrow_udf(cover, "array<bigint>")(F.col("places"), shift)
-    return by_block.join(blocks, "block").select("key", spans.alias("inner")).groupBy("key").agg(
+    spans = F.arrow_udf(cover, "array<bigint>")(F.col("starts"), shift)
+    return by_block.join(_blocks(found), "block").select("key", spans.alias("inner")).groupBy("key").agg(
         F.flatten(F.collect_list("inner")).alias("inner"))
 
 
