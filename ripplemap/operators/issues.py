@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ripplemap.functions.names import normalise_table
 from ripplemap.operators.index import index_keys
-from ripplemap.operators.skew import join_back, key_rows, with_salt
+from ripplemap.operators.skew import default_salts, join_back, key_rows, salt_of, with_salt
 from ripplemap.schemas import BI_SOURCE, CODE_SOURCE, SOURCES, check_mode
 
 # The pattern of a table or field name in a lower-cased summary, the
@@ -22,6 +22,9 @@ MISSING_PARAMETER = "Missing query string 'field'"
 FAILED_REQUEST = "Failed to process request"
 REPLACEMENT = "\ufffd"
 
+#: Tickets of one field that a report joins in one task with a share of its entries.
+TICKET_SHARE = 10_000
+
 
 # Stretches of name characters with a separator in them, found in one pass. A name lies
 # within one; the pattern itself, which backtracks a lot on plain words, sees no others.
@@ -53,37 +56,20 @@ def _status(used: Column) -> Column:
     return F.when(used, USED).otherwise(UNUSED)
 
 
-def _field_rows(salted_refs: DataFrame, index: DataFrame, how: str = "left") -> DataFrame:
-    """One row per mentioned field with what the index knows of it.
-
-    The index is grouped by key before any shuffle, so a key with very many entries
-    sends one row per task; a field is looked up once, however many tickets mention it.
-    """
-    fields = key_rows(salted_refs, ["field"])
-    entry_salt = F.when(F.col("label").isNotNull(), F.col("salt"))
-    keys = index_keys(
-        with_salt(index, ["label"]), F.collect_set(entry_salt).alias("entry_salts")
-    )
-    return fields.join(keys, fields["field"] == keys["pk"], how)
-
-
 def lookup(refs: DataFrame, index: DataFrame) -> DataFrame:
     """Each reference, in order, with a summary of its key's record; ``pk`` is null without one.
 
-    (issue_key, pos, field, pk, status, n_dashboards, n_files)
+    (issue_key, pos, field, pk, status, n_dashboards, n_files). The index is grouped by key
+    before any shuffle, so a key with very many entries sends one row per task; a field is
+    looked up once, however many tickets mention it.
     """
-    return _looked_up(refs, index).drop("entry_salts")
-
-
-def _looked_up(refs: DataFrame, index: DataFrame) -> DataFrame:
     salted = with_salt(refs, ["issue_key", "pos"])
-    found = _field_rows(salted, index)
+    fields, keys = key_rows(salted, ["field"]), index_keys(index)
+    found = fields.join(keys, fields["field"] == keys["pk"], "left")
     used = F.coalesce(F.col("has_dashboards") | F.col("has_files"), F.lit(False))
     return join_back(salted, found.withColumn("status", _status(used)), ["field"]).select(
         "issue_key", "pos", "field", "pk", "status",
-        *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("n_dashboards", "n_files")],
-        "entry_salts",
-    )
+        *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("n_dashboards", "n_files")])
 
 
 def unreferenced(refs: DataFrame, index: DataFrame) -> DataFrame:
@@ -138,17 +124,35 @@ def impact_report(issues: DataFrame, index: DataFrame, mode: str = "parity") ->
     """What each ticket's panel lists: a row per entry, or one row for a bare reference.
 
     (issue_key, pos, field, status, section, label, url, note). The panel's listing is
-    asked for per ticket, so a reference's row is repeated for each entry of its key;
-    both sides are salted, so a key that many tickets and many files share is spread.
+    asked for per ticket, so a reference's row is repeated for each entry of its key; for
+    all tickets at once, ``lookup`` and ``mentioned_entries`` hold the same in less. A key's
+    entries are spread by salt, its tickets by share: one share for each ``TICKET_SHARE`` of
+    them, so a key of many tickets with one entry is split too. References without entries
+    take no part in the join.
     """
-    found = _looked_up(issue_refs(issues, mode), index)
-    # A reference without entries has no salt, finds no partner and keeps its one row.
-    return (
-        found.withColumn("salt", F.explode_outer("entry_salts"))
-        .join(with_salt(_sections(index), ["label"]), ["field", "salt"], "left")
-        .select("issue_key", "pos", "field", "status", "section", "label", "url",
-                F.when(F.col("status") == UNUSED, UNUSED_NOTE).alias("note"))
-    )
+    refs = with_salt(issue_refs(issues, mode), ["issue_key", "pos"])
+    salts = default_salts(refs)
+    tickets = key_rows(refs, ["field"], F.count("*").alias("n_refs"))
+    entry_salt = F.when(F.col("label").isNotNull(), F.col("salt"))
+    keys = index_keys(with_salt(index, ["label"]), F.collect_set(entry_salt).alias("entry_salts"))
+    shares = F.least(F.ceil(F.col("n_refs") / TICKET_SHARE).cast("int"), F.lit(salts))
+    used = F.coalesce(F.col("has_dashboards") | F.col("has_files"), F.lit(False))
+    fields = tickets.join(keys, tickets["field"] == keys["pk"], "left").select(
+        "field", "salts", _status(used).alias("status"), "entry_salts", shares.alias("shares"))
+    found = join_back(refs, fields, ["field"]).withColumn(
+        "share", F.pmod(F.xxhash64(F.lit(1), "issue_key", "pos"), "shares").cast("int"))
+    listed = F.coalesce(F.size("entry_salts"), F.lit(0)) > 0
+
+    entries = with_salt(_sections(index), ["label"])
+    spread_over = key_rows(entries, ["field"]).join(fields.filter(listed).select("field", "shares"), "field")
+    entries = join_back(entries, spread_over, ["field"]).withColumn("salt", salt_of("label", salts=salts)).withColumn(
+        "share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    full = found.filter(listed).withColumn("salt", F.explode("entry_salts")).join(entries, ["field", "salt", "share"])
+    nothing = F.lit(None).cast("string")
+    bare = found.filter(~listed).select("*", *(nothing.alias(n) for n in ("section", "label", "url")))
+    columns = ("issue_key", "pos", "field", "status", "section", "label", "url")
+    return full.select(*columns).union(bare.select(*columns)).withColumn(
+        "note", F.when(F.col("status") == UNUSED, UNUSED_NOTE))
 
 
 def order_report(report: DataFrame) -> DataFrame:

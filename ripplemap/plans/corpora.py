@@ -13,6 +13,8 @@ VARIABLES = {"schema.ods": "ods"}
 TEMPLATE_VARIABLES = {"schema.ods": "ods", "root": "r"}
 SERVER_URL = "https://bi.example.com"
 VARIABLE_PATH = "pipelines/settings7.yml"
+POINT_FIELDS = ("ods.orders3", "src.cust5", "raw.pay2", "no.such", "raw.pay2")
+POINT_PARAM = POINT_FIELDS[0] + "%2C" + ",".join(POINT_FIELDS[1:])
 PROJECTS = ("Finance", "Retail")
 
 REPO_FILES = """

@@ -7,11 +7,13 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplemap.functions.names import base_name, file_kind
 from ripplemap.operators import bi, code
 from ripplemap.operators.files import (
-    SQL_STEP_TYPE, VARIABLE_FILE, classify_files, collect_vars, env_vars,
+    NO_VARIABLES, SQL_STEP_TYPE, VARIABLE_FILE, classify_files, collect_vars, env_vars,
 )
 from ripplemap.operators.index import reference_index
+from ripplemap.schemas import check_mode
 
 
 def file_tables(
@@ -42,15 +44,13 @@ def code_index_of_repo(
 ) -> DataFrame:
     """Code index with the variables of the repository's own variable file.
 
-    SQL files look for it among all files, pipeline definitions among their own kind.
+    SQL files look for it among all files, pipeline definitions among their own kind. It is
+    read once; its name tells whether it is a definition.
     """
-    definitions = classify_files(files, mode).filter(F.col("kind") == "yml")
-    return code_index(
-        files,
-        collect_vars(env_vars(files, variable_file, mode)),
-        mode,
-        collect_vars(env_vars(definitions, variable_file, mode)),
-    )
+    variables = collect_vars(env_vars(files, variable_file, mode))
+    kind = file_kind(base_name(F.lit(variable_file)), check_mode(mode))
+    is_definition = files.sparkSession.range(1).filter(kind == "yml").count() > 0
+    return code_index(files, variables, mode, variables if is_definition else NO_VARIABLES)
 
 
 def bi_index(

@@ -396,6 +396,15 @@ _ORACLE = {
         FROM winners JOIN listed USING (page) JOIN cut USING (page)
         WHERE cutoff IS NULL OR pos < cutoff"""),
     "q_reference_index": _with(_INDEX, body="SELECT source, pk, label, url FROM idx"),
+    "q_reference_index_intended": _with(_CODE_INTENDED, _BI_INTENDED, body="""
+        SELECT DISTINCT 'github' AS source, pk, label, url FROM code
+        UNION ALL SELECT 'tableau', pk, label, url FROM bi"""),
+    # The variable file of supplier 7 sets schema.ods to ods7; a fourth of the SQL files spell ods out.
+    "q_code_index_of_repo": _with(_CODE, _STEP, _STEP_PAIRS, body="""
+        SELECT CASE pos WHEN 0 THEN replace(tab, 'ods.', 'ods7.') ELSE tab END AS pk, file AS label, url
+        FROM sql_pairs
+        UNION ALL SELECT replace(tab, 'ods.', 'ods7.'), file, url FROM yml_pairs
+        UNION ALL SELECT replace(tab, 'ods.', 'ods7.'), file, url FROM step_pairs"""),
     "q_index_merge": _with(_REPO, _LAST_SQL, _SQL_PAIRS, _OLD, _BI, body="""
         SELECT 'github' AS source, tab AS pk, file AS label, url FROM sql_pairs
         UNION ALL SELECT 'github', pk, label, url FROM old_code
@@ -440,6 +449,11 @@ _ORACLE = {
           label, url
         FROM idx WHERE pk IN (SELECT field FROM refs)"""),
     "q_impact_report": _with(_INDEX, _REFS, _LOOKUP, body=_REPORT),
+    "q_report_in_order": _with(_INDEX, _REFS, _LOOKUP, body=_REPORT),
+    "q_point_lookup": _with(_INDEX, body=f"""
+        SELECT a.pos, a.field, source, label, url
+        FROM (VALUES {", ".join(f"({i}, '{f}')" for i, f in enumerate(c.POINT_FIELDS))}) a(pos, field)
+        LEFT JOIN idx ON pk = a.field"""),
     "q_issue_status": _with(_INDEX, _REFS, _LOOKUP, body="""
         SELECT 'IMP-' || c_custkey AS issue_key, count(field) AS refs, count(pk) AS used,
           coalesce(max(status), 'none') AS status
@@ -471,7 +485,7 @@ _BIG = {
     "pos": ["q_split_statements", "q_insert_statements", "q_table_refs", "q_yml_steps",
             "q_tables_per_file", "q_issue_refs", "q_issue_refs_intended",
             "q_impact_report_intended", "q_text_refs", "q_issue_lookup",
-            "q_impact_report", "q_impact_stream", "q_impact_stream_batches", "q_unreferenced",
+            "q_impact_report", "q_report_in_order", "q_point_lookup", "q_impact_stream", "q_impact_stream_batches", "q_unreferenced",
             "q_lookup_param", "q_answer_requests"],
     "ref_pos": ["q_table_refs"], "n_dashboards": ["q_bi_table_scan"], "part": ["q_index_records"],
     "status_code": ["q_lookup_rejects"],

@@ -381,6 +381,18 @@ def reference_index(spark, sf):
     return _index(spark, sf)
 
 
+@query
+def code_index_of_repo(spark, sf):
+    """The whole ingest: the repository's own variable file, then the index of its files."""
+    corpus = _files(spark, sf, c.REPO_FILES, c.YML_FILES, c.STEP_FILES, c.VARIABLE_FILES)
+    return jobs.code_index_of_repo(corpus, c.VARIABLE_PATH)
+
+
+@query
+def reference_index_intended(spark, sf):
+    return _index(spark, sf, "intended")
+
+
 def _old_index(spark, sf):
     return index.reference_index(
         c.derive(spark, sf, c.OLD_CODE), jobs.bi_index(*_bi(spark, sf), c.SERVER_URL)
@@ -503,6 +515,17 @@ def impact_report_intended(spark, sf):
     )
 
 
+@query
+def report_in_order(spark, sf):
+    """The report as panels show it: references as mentioned, dashboards before files."""
+    return issues.order_report(issues.impact_report(_issues(spark, sf), _stored_index(spark, sf)))
+
+
+@query
+def point_lookup(spark, sf):
+    return issues.get_references(_stored_index(spark, sf), c.POINT_PARAM)
+
+
 @query
 def issue_status(spark, sf):
     return issues.issue_status(_issues(spark, sf), _stored_index(spark, sf))

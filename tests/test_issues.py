@@ -74,7 +74,9 @@ def test_lookup_status_and_unreferenced(spark):
         ("ods.orders", "files", "b.sql", None), ("raw.pay", "files", "c.sql", "u3")], key=repr)
 
 
-def test_hot_key_on_both_sides_against_brute_force(spark):
+@pytest.mark.parametrize("share", [5, issues.TICKET_SHARE])
+def test_hot_key_on_both_sides_against_brute_force(spark, monkeypatch, share):
+    monkeypatch.setattr(issues, "TICKET_SHARE", share)
     rng = random.Random(5)
     index = [("github", "hub.t", f"f{i}", "u") for i in range(300)]
     index += [("github", f"sc.t{i % 30}", f"g{i}", "u") for i in range(200)]

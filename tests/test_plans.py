@@ -73,3 +73,22 @@ def test_salts_split_a_hot_key(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(sizes) == 4000 and max(sizes) < 4000
+
+
+def test_shares_split_the_tickets_of_a_field_with_one_entry_or_none(spark):
+    entry = spark.createDataFrame([("github", "hub.t", "f", "u")], INDEX)
+    tickets = spark.range(100_000).select(
+        F.concat(F.lit("K-"), F.col("id")).alias("issue_key"),
+        F.when(F.col("id") % 2 == 0, "see hub.t").otherwise("see no.such").alias("summary"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        report = issues.impact_report(tickets, entry)
+        sizes = report.groupBy("field", F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for field in ("hub.t", "no.such"):
+        counts = [r["count"] for r in sizes if r["field"] == field]
+        assert sum(counts) == 50_000 and max(counts) < 40_000
