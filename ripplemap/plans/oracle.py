@@ -442,6 +442,13 @@ _ORACLE = {
             SELECT 'page ' || page_id AS issue_key, url AS txt FROM pages
             UNION ALL SELECT 'document ' || doc_id, text FROM documents
             UNION ALL SELECT 'turn ' || conv_id || '.' || turn, text FROM conversations))""",
+    "q_text_refs_whole": f"""
+        SELECT issue_key, generate_subscripts(found, 1) - 1 AS pos, unnest(found) AS field FROM (
+          SELECT issue_key, regexp_extract_all(lower(txt), '{REFERENCE_PATTERN}', 0) AS found FROM (
+            SELECT 'page ' || page_id AS issue_key, url AS txt FROM pages
+            UNION ALL SELECT 'html ' || page_id, html FROM pages
+            UNION ALL SELECT 'document ' || doc_id, text FROM documents
+            UNION ALL SELECT 'turn ' || conv_id || '.' || turn, text FROM conversations))""",
     "q_issue_lookup": _with(_INDEX, _REFS, _LOOKUP, body="""
         SELECT issue_key, pos, field, pk, status, n_dashboards, n_files FROM looked"""),
     "q_mentioned_entries": _with(_INDEX, _REFS, body="""
@@ -484,7 +491,7 @@ _ORACLE = {
 _BIG = {
     "pos": ["q_split_statements", "q_insert_statements", "q_table_refs", "q_yml_steps",
             "q_tables_per_file", "q_issue_refs", "q_issue_refs_intended",
-            "q_impact_report_intended", "q_text_refs", "q_issue_lookup",
+            "q_impact_report_intended", "q_text_refs", "q_text_refs_whole", "q_issue_lookup",
             "q_impact_report", "q_report_in_order", "q_point_lookup", "q_impact_stream", "q_impact_stream_batches", "q_unreferenced",
             "q_lookup_param", "q_answer_requests"],
     "ref_pos": ["q_table_refs"], "n_dashboards": ["q_bi_table_scan"], "part": ["q_index_records"],

@@ -471,9 +471,8 @@ def issue_refs_intended(spark, sf):
     return issues.issue_refs(_issues(spark, sf), "intended")
 
 
-@query
-def text_refs(spark, sf):
-    """Names in free text: page addresses, documents and conversation turns."""
+def _free_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Page addresses, documents and conversation turns as (issue_key, summary)."""
     pages, documents, turns = (
         c.spread(c.table(spark, sf, name), key)
         for name, key in (("pages", "page_id"), ("documents", "doc_id"), ("conversations", "conv_id"))
@@ -490,7 +489,22 @@ def text_refs(spark, sf):
                      F.col("turn").cast("string")).alias("issue_key"),
             F.col("text").alias("summary")),
     ]
-    return issues.issue_refs(whole[0].unionByName(whole[1]).unionByName(whole[2]))
+    return whole[0].unionByName(whole[1]).unionByName(whole[2])
+
+
+@query
+def text_refs(spark, sf):
+    """Names in free text: page addresses, documents and conversation turns."""
+    return issues.issue_refs(_free_text(spark, sf))
+
+
+@query
+def text_refs_whole(spark, sf):
+    """Names in all free text: what ``text_refs`` reads, and the whole body of each page."""
+    bodies = c.spread(c.table(spark, sf, "pages"), "page_id").select(
+        F.concat(F.lit("html "), F.col("page_id").cast("string")).alias("issue_key"),
+        F.col("html").alias("summary"))
+    return issues.issue_refs(_free_text(spark, sf).unionByName(bodies))
 
 
 @query
