@@ -111,7 +111,14 @@ FROM ruled
 """
 
 
+_OF_LIST = OP10[OP10.index("regexp_matches(host"):OP10.index(" AS listed")]
+OP10_LISTED = OP10.replace(_OF_LIST, r"""EXISTS (
+      SELECT 1 FROM (SELECT DISTINCT regexp_replace(host, '^(www|m|blog)\.', '') AS domain FROM named) d
+      WHERE contains(split_part(domain, '.', 1), '-') AND (host = domain OR suffix(host, '.' || domain)))""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": OP1, "op3_host_quality": OP3, "op8_line_dedup": OP8, "op10_url_cascade": OP10,
+        "op10_url_cascade_listed": OP10_LISTED,
     }

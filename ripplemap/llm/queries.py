@@ -117,3 +117,12 @@ def op10_url_cascade(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_cascade.filter_urls(pages, URL_RULES, LISTED_DOMAINS).select(
         "page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op10_url_cascade_listed(spark, sf_dir):
+    """The same with a list from the pages: domains (hosts without www, m or blog) with a hyphen in their name."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    domain = F.regexp_replace(url_cascade.url_host(F.col("url")), r"^(www|m|blog)\.", "")
+    listed = pages.select(domain.alias("domain")).filter(F.substring_index("domain", ".", 1).contains("-")).distinct()
+    return url_cascade.filter_urls(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")

@@ -134,17 +134,31 @@ def mark_listed(rows: DataFrame, key: Column, cascade: DataFrame, shards: int, n
     return joined.withColumn(name, marked).drop("__shard", "__levels")
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], domains: Sequence[str],
+def marked_hosts(hosts: DataFrame, domains: DataFrame) -> DataFrame:
+    """(key, listed) for hosts (key), one each: whether the host or a domain above it is in ``domains`` (domain)."""
+    labels = F.split("key", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hits = hosts.select("key", F.explode(above).alias("domain")).join(
+        domains.select("domain").distinct(), "domain").select("key").distinct()
+    return hosts.join(hits.withColumn("listed", F.lit(True)), "key", "left").select(
+        "key", F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
+def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], domains: Sequence[str] | DataFrame,
                 url: str = "url", shard_keys: int = 1_000_000) -> DataFrame:
     """Pages with ``host``, ``path``, ``rule`` and ``verdict`` (allow or block).
 
     ``domains`` list hosts with all their subdomains; a page that no rule fits is blocked
-    when its host is listed.
+    when its host is listed. A list of any length is a table with a column ``domain``.
     """
     named = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
-    of_list = reduce(lambda a, b: a | b, ((F.col("key") == d) | F.col("key").endswith("." + d) for d in domains),
-                     F.lit(False))
-    universe = named.select(F.col("host").alias("key")).distinct().withColumn("listed", of_list)
+    hosts = named.select(F.col("host").alias("key")).distinct()
+    if isinstance(domains, DataFrame):
+        universe = marked_hosts(hosts, domains)
+    else:
+        of_list = reduce(lambda a, b: a | b, ((F.col("key") == d) | F.col("key").endswith("." + d) for d in domains),
+                         F.lit(False))
+        universe = hosts.withColumn("listed", of_list)
     cascade, shards = build_cascade(universe, shard_keys)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     marked = mark_listed(named, F.col("host"), cascade, shards, "__listed")
