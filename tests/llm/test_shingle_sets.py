@@ -1,0 +1,96 @@
+"""Near-dedup of the pipeline against brute force over five-word shingles, Jaccard 0.8 or more."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from ripplemap.llm import language, shingle_sets, simhash_bk
+from ripplemap.llm.common import cut
+from tests.llm import brute
+from tests.llm.test_pipeline import SMALL, expected
+
+
+def shingles(text):
+    w = brute.SPACED.findall((text or "").translate(brute.LOWER))
+    return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def labelled(rows):
+    """(doc_id, None, least id of its group) for rows (doc_id, text) with distinct ids."""
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                group[root(i)] = root(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), doc), doc)
+    return [(doc, None, least[root(i)]) for i, (doc, _) in enumerate(rows)]
+
+
+def groups(rows):
+    return sorted({least for *_, least in labelled(rows)})
+
+
+def near_copies():
+    """Texts with words replaced, so that similarities lie on both sides of 0.8; some are boilerplate."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(4000)}"
+    shared = [word() for _ in range(60)]
+    rows = []
+    for origin in range(25):
+        base = [word() for _ in range(rng.choice((4, 6, 40, 150, 400)))] + (shared if origin % 3 == 0 else [])
+        for _ in range(rng.randint(1, 8)):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 40))):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows) + i, t) for i, t in enumerate(("", " \n", None, "W1 w2", "w1\tw2", "w1 w2 w3 w4 w5"))]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def copies(spark):
+    rows = near_copies()
+    return rows, cut(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "near-copies")
+
+
+def test_stage_keeps_one_of_each_group(spark, copies):
+    rows, docs = copies
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_deduplication(spark, docs, "").collect())
+    assert kept == groups(rows)
+    by_bits = {r["component_id"] for r in simhash_bk.near_duplicates(docs).collect()}
+    assert len(kept) < len(by_bits)  # what three differing bits leave standing
+
+
+def test_grid_of_cells_links_the_same(spark, copies):
+    rows, docs = copies
+    sets = cut(shingle_sets.candidate_sets(docs.select("text")), "sets")
+    whole, grid = (simhash_bk.connected(shingle_sets.links(sets, cell_sets=n)).collect() for n in (4096, 3))
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, grid)) and whole
+
+
+def test_real_texts_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_deduplication(spark, docs, "").collect())
+    assert kept == groups(rows)
+
+
+def test_pipeline_equals_plain_python(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    items = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    dictionaries = language.train(docs.filter(~language.held_out()))
+    monkeypatch.setattr(brute, "op5", labelled)
+    found = corpus_pipeline.run(spark, SMALL).collect()
+    assert sorted(r["doc_id"] for r in found) == sorted(d for d, _ in expected(rows, dictionaries, items))
