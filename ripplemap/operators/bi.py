@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplemap.functions import names
-from ripplemap.operators.skew import join_back, key_rows, with_salt
+from ripplemap.operators.skew import SALTS, join_back, key_rows, with_salt
 from ripplemap.schemas import check_mode
 
 # Connection types of text files and extracts, which are left out.
@@ -128,8 +128,8 @@ def bi_entries(
 
     winners = (
         listed.groupBy("pk")
-        .agg(F.max(F.struct("ordinal", "table_id", "salts")).alias("w"))
-        .select("pk", "w.table_id", "w.salts")
+        .agg(F.max(F.struct("ordinal", "table_id", SALTS)).alias("w"))
+        .select("pk", "w.table_id", f"w.{SALTS}")
     )
     won = join_back(salted, winners, ["table_id"])
     return _kept(won).select("pk", F.col("name").alias("label"), url.alias("url"))

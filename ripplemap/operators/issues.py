@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ripplemap.functions.names import normalise_table
 from ripplemap.operators.index import index_keys
-from ripplemap.operators.skew import default_salts, join_back, key_rows, salt_of, with_salt
+from ripplemap.operators.skew import SALT, SALTS, default_salts, join_back, key_rows, salt_of, with_salt
 from ripplemap.schemas import BI_SOURCE, CODE_SOURCE, SOURCES, check_mode
 
 # The pattern of a table or field name in a lower-cased summary, the
@@ -133,21 +133,21 @@ def impact_report(issues: DataFrame, index: DataFrame, mode: str = "parity") ->
     refs = with_salt(issue_refs(issues, mode), ["issue_key", "pos"])
     salts = default_salts(refs)
     tickets = key_rows(refs, ["field"], F.count("*").alias("n_refs"))
-    entry_salt = F.when(F.col("label").isNotNull(), F.col("salt"))
+    entry_salt = F.when(F.col("label").isNotNull(), F.col(SALT))
     keys = index_keys(with_salt(index, ["label"]), F.collect_set(entry_salt).alias("entry_salts"))
     shares = F.least(F.ceil(F.col("n_refs") / TICKET_SHARE).cast("int"), F.lit(salts))
     used = F.coalesce(F.col("has_dashboards") | F.col("has_files"), F.lit(False))
     fields = tickets.join(keys, tickets["field"] == keys["pk"], "left").select(
-        "field", "salts", _status(used).alias("status"), "entry_salts", shares.alias("shares"))
+        "field", SALTS, _status(used).alias("status"), "entry_salts", shares.alias("shares"))
     found = join_back(refs, fields, ["field"]).withColumn(
         "share", F.pmod(F.xxhash64(F.lit(1), "issue_key", "pos"), "shares").cast("int"))
     listed = F.coalesce(F.size("entry_salts"), F.lit(0)) > 0
 
     entries = with_salt(_sections(index), ["label"])
     spread_over = key_rows(entries, ["field"]).join(fields.filter(listed).select("field", "shares"), "field")
-    entries = join_back(entries, spread_over, ["field"]).withColumn("salt", salt_of("label", salts=salts)).withColumn(
+    entries = join_back(entries, spread_over, ["field"]).withColumn(SALT, salt_of("label", salts=salts)).withColumn(
         "share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
-    full = found.filter(listed).withColumn("salt", F.explode("entry_salts")).join(entries, ["field", "salt", "share"])
+    full = found.filter(listed).withColumn(SALT, F.explode("entry_salts")).join(entries, ["field", SALT, "share"])
     nothing = F.lit(None).cast("string")
     bare = found.filter(~listed).select("*", *(nothing.alias(n) for n in ("section", "label", "url")))
     columns = ("issue_key", "pos", "field", "status", "section", "label", "url")

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ripplemap.operators.numbering import numbered
+
 _ITEM = ("kind", "id", "schema", "name", "path")
 
 
@@ -37,26 +39,13 @@ def _with_database(nodes: DataFrame) -> DataFrame:
 
 
 def page_numbers(nodes: DataFrame, size: int) -> DataFrame:
-    """(ordinal, page_number): pages of ``size`` nodes by database name, from 0.
+    """(ordinal, page_number): pages of ``size`` nodes by database, from 0.
 
-    Nodes are numbered within their response, responses within their database by running
-    sums of counts, and databases by a running sum over one row each: no task sees more
-    than one response's nodes or one database's counts.
+    Nodes are dealt by ranges of (database, ordinal), so one database may hold all of them.
     """
-    database = F.struct("database.name", "database.connectionType").alias("database")
-    placed = nodes.select("ordinal", database, F.col("ordinal.page").alias("page"))
-    counts = placed.groupBy("database", "page").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("database").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    pages = counts.withColumn("before_page", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    totals = counts.groupBy("database").agg(F.sum("n").alias("n"))
-    above = Window.orderBy("database").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("database", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("before"))
-    offsets = pages.join(bases, "database").select(
-        "database", "page", (F.col("before") + F.col("before_page")).alias("offset"))
-    within = F.row_number().over(Window.partitionBy("database", "page").orderBy("ordinal")) - 1
-    numbered = placed.withColumn("within", within).join(offsets, ["database", "page"])
-    return numbered.select(
-        "ordinal", F.floor((F.col("offset") + F.col("within")) / size).cast("long").alias("page_number"))
+    placed = nodes.select("ordinal", F.struct("database.name", "database.connectionType").alias("database"))
+    in_order = numbered(placed, ["database", "ordinal"])
+    return in_order.select("ordinal", F.floor(F.col("number") / size).cast("long").alias("page_number"))
 
 
 def custom_sql_pages(nodes: DataFrame, size: int = 50) -> DataFrame:

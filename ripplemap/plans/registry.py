@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +11,10 @@ from ripplemap.functions import names, sqltext, text
 from ripplemap.operators import bi, code, files, index, issues, lineage
 from ripplemap.plans import corpora as c
 from ripplemap.plans import jobs
-from ripplemap.schemas import INDEX
-from ripplemap.session import shared_folder
 from ripplemap.sources import bi_export, repo
 from ripplemap.sources import index_store as index_store_sink
 from ripplemap.sources import tickets as ticket_source
+from ripplemap.sources.scratch import cut, shared_path
 from ripplemap.streaming.impact import stream_report, write_report
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,9 +79,7 @@ def _stored_index(spark: SparkSession, sf: str, mode: str = "parity") -> DataFra
 
     A lookup reads the index more than once; the corpus is parsed once.
     """
-    folder = f"{shared_folder(spark)}/reference_index/{uuid4().hex}"
-    _index(spark, sf, mode).write.parquet(folder)
-    return spark.read.schema(INDEX).parquet(folder)
+    return cut(_index(spark, sf, mode), "reference-index")
 
 
 # Files -------------------------------------------------------------------------------
@@ -414,7 +410,7 @@ def index_replace(spark, sf):
 @query
 def index_store(spark, sf):
     """Two runs of the code source and one of the other, written to a store and read back."""
-    base = f"{shared_folder(spark)}/index_store/{uuid4().hex}"
+    base = shared_path(spark, "index-store")
     index_store_sink.upsert_index(spark, base, c.derive(spark, sf, c.OLD_CODE), "github")
     new = jobs.code_index(_files(spark, sf, c.REPO_FILES), c.VARIABLES)
     index_store_sink.upsert_index(spark, base, new, "github")
@@ -425,7 +421,7 @@ def index_store(spark, sf):
 @query
 def index_rejects(spark, sf):
     """Entries without a key, as a run leaves them beside the store."""
-    base = f"{shared_folder(spark)}/index_rejects/{uuid4().hex}"
+    base = shared_path(spark, "index-rejects")
     raw = c.derive(spark, sf, c.RAW_NAMES)
     key = F.when(F.col("raw").contains("."), names.normalise_table(F.col("raw")))
     entries = raw.select(key.alias("pk"), F.col("raw").alias("label"), F.col("id").cast("string").alias("url"))
@@ -577,7 +573,7 @@ def _issue_stream(spark, sf):
 @query
 def impact_stream(spark, sf):
     """Stateless stream-static join, run over what is there and then ended."""
-    folder = f"{shared_folder(spark)}/impact_stream/{uuid4().hex}"
+    folder = shared_path(spark, "impact-stream")
     report = stream_report(_issue_stream(spark, sf), _stored_index(spark, sf))
     report.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(
         availableNow=True
@@ -588,7 +584,7 @@ def impact_stream(spark, sf):
 @query
 def impact_stream_batches(spark, sf):
     """The same tickets through the salted batch plan, one folder per micro-batch."""
-    folder = f"{shared_folder(spark)}/impact_stream_batches/{uuid4().hex}"
+    folder = shared_path(spark, "impact-stream-batches")
     stored = _stored_index(spark, sf)
     write_report(
         _issue_stream(spark, sf), lambda: stored, f"{folder}/report", f"{folder}/state"

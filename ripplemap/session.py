@@ -36,11 +36,12 @@ def local_session(cpus: int | str = 8, memory: str = "8g", name: str = "ripplema
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors see, named by the cluster in ``spark.checkpoint.dir``.
 
-    Only a local master may go without the setting; it gets a fresh temporary folder.
+    Only a local master, which has no other machine, may go without the setting.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith("local"):
-        return tempfile.mkdtemp(prefix="ripplemap-")
+    master = spark.conf.get("spark.master", "")
+    if master == "local" or master.startswith("local["):
+        return tempfile.gettempdir()
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

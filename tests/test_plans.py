@@ -23,8 +23,8 @@ def plan(df):
 def test_no_query_pairs_all_rows_or_gathers_them_in_one_task(spark, name):
     text = plan(registry.queries()[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    # One-row aggregates (the variable file) and the page limit are the only exceptions.
-    if name not in {"q_env_vars", "q_env_vars_missing", "q_custom_sql_dashboards"}:
+    # One-row aggregates (the variable file) are the only exception.
+    if name not in {"q_env_vars", "q_env_vars_missing"}:
         assert "SinglePartition" not in text
 
 
