@@ -48,6 +48,19 @@ def test_places_within_groups(spark, data):
     assert rows(got) == sorted(expected, key=repr)
 
 
+def test_weighted_places(spark):
+    rng = random.Random(4)
+    data = [("hot" if i % 3 else f"g{i % 5}", i, rng.randint(1, 9)) for i in range(900)]
+    df = spark.createDataFrame(data, "g string, o long, w long").repartition(4)
+    for by in ((), ("g",)):
+        expected, before = [], {}
+        for g, o, w in sorted(data, key=lambda r: r[1]):
+            seen = before.get(g if by else "", 0)
+            expected.append((g, o, w, seen))
+            before[g if by else ""] = seen + w
+        assert rows(numbered(df, ["o"], by=by, weight="w")) == sorted(expected, key=repr)
+
+
 def test_equal_rows_get_neighbouring_places(spark):
     got = numbered(spark.createDataFrame([("a", 1)] * 7 + [("a", 0), ("b", 1)], "g string, o long"), ["o"], by=["g"])
     assert sorted(r["number"] for r in got.filter("g = 'a' AND o = 1").collect()) == list(range(1, 8))
