@@ -3,49 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from uuid import uuid4
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ripplemap.session import shared_folder
+from ripplemap.sources.scratch import cut, discard, shared_path
 
 #: One Arrow batch is worked on in pieces of at most so many text bytes (or one document).
 PIECE_BYTES = 1 << 20
-#: Spark's setting that shuffle files go when the query that made them ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: later steps start from files.
-
-    Spark removes the shuffle files of the write when it is done; nothing reads them again.
-    """
-    spark = df.sparkSession
-    path, before = shared_path(spark, name), spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove tables that ``cut`` wrote, once nothing reads them any more."""
-    for table in tables:
-        spark = table.sparkSession
-        for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["cut", "discard", "encoded", "pieces", "shared_path", "text_digest"]
 
 
 def text_digest(text: str = "text") -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplemap.llm.common import cut, encoded
-from ripplemap.operators.skew import join_back, key_rows, with_salt
+from ripplemap.operators.skew import SALTS, join_back, key_rows, with_salt
 
 SYMBOLS = "#*$%&|<>"
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -98,7 +98,7 @@ def judge_hosts(stats: DataFrame, host: str = "source", id_column: str = "doc_id
     marked = with_salt(stats.withColumn("base_failed", base_failed()), [id_column])
     keyed = marked.withColumn("__host", F.struct(host))
     hosts = key_rows(keyed, ["__host"], F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("bad"))
-    rated = shrunk_rates(hosts).select("__host", "salts", F.col("rate").alias("host_rate"))
+    rated = shrunk_rates(hosts).select("__host", SALTS, F.col("rate").alias("host_rate"))
     judged = join_back(keyed, rated, ["__host"]).drop("__host")
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= limit))
 

@@ -74,7 +74,7 @@ def op4_ring_shards(spark, sf_dir):
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keys = _documents(spark, sf_dir).select(
         "doc_id", (F.octet_length(data) + 16).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
-    placed = ring_shards.assign_shards(keys, ["doc_id", "text_crc32", "size"], SHARDS)
+    placed = ring_shards.assign_shards(keys, ["text_crc32", "size"], SHARDS)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))

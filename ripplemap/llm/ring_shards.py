@@ -5,15 +5,20 @@ of its key's hash. A shard takes at most its capacity. Rows beyond it go on cloc
 the next shard with room, after the rows that are at home there, so only the overflow
 moves. With capacities that add up to the number of rows, counts differ by at most one.
 
-The ring is cut into ``cells`` equal parts, each owned by the next point clockwise. Only
-the number of rows in each cell (``cells`` numbers, whatever the data) decides how much of
-a cell goes where. Rows are then numbered within their cell, equal rows by their count, so
-a row that a third of all rows equal is one row until the numbers are given out in chunks.
-No sort needs a whole shard in one task. Column functions only.
+The ring is cut into ``cells`` equal parts, each owned by the next point clockwise. A
+point's place follows from its shard and number alone, so one more shard renames no point:
+it takes cells only into itself. Only the number of rows in each cell (``cells`` numbers,
+whatever the data) decides how much of a cell goes where. Rows are then numbered within
+their cell by parallel prefix sums, equal rows by their count, so one key or one row may
+hold a third of all rows; the numbers are given out in chunks. Column functions only.
+
+Rows of one key lie together: in one shard, or, where that is full, on from its end to the
+next ones clockwise.
 
 Defined results: null ids and texts are keys like any other; equal rows go to neighbouring
 slots; an empty table gives an empty result. All columns of the input are kept (they must
-be orderable); they are given back after the added ones, which must be free names.
+be orderable), after ``shard`` and ``slot``; an input column of such a name, or one that
+begins with two underscores, is refused.
 """
 
 from __future__ import annotations
@@ -21,10 +26,11 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplemap.llm.common import cut
+from ripplemap.operators.numbering import numbered
 
 #: Equal rows that one task gives back at a time.
 CHUNK = 100_000
@@ -36,8 +42,9 @@ def cell_of(cells: int, *key: Column | str) -> Column:
 
 def cell_owners(spark: SparkSession, shards: int, vnodes: int, cells: int) -> list[int]:
     """The shard of each cell: that of the next virtual node clockwise, its own cell included."""
+    shard, replica = F.floor(F.col("id") / vnodes).cast("int"), F.col("id") % vnodes
     nodes = spark.range(shards * vnodes).select(
-        cell_of(cells, F.lit("node"), "id").alias("cell"), (F.col("id") % shards).cast("int").alias("shard"))
+        cell_of(cells, F.lit("node"), shard, replica).alias("cell"), shard.alias("shard"))
     at: dict[int, int] = {}
     for cell, shard in sorted(tuple(r) for r in nodes.collect()):
         at.setdefault(cell, shard)
@@ -86,6 +93,8 @@ def assign_shards(rows: DataFrame, key: Sequence[str], shards: int, vnodes: int
                   cells: int = 1 << 16) -> DataFrame:
     """``shard`` (int) and ``slot`` (long) for every row, then the row's own columns."""
     spark, columns = rows.sparkSession, rows.columns
+    if taken := [c for c in columns if c in ("shard", "slot") or c.startswith("__")]:
+        raise ValueError(f"these names are taken: {taken}")
     groups = cut(
         rows.withColumn("__cell", cell_of(cells, *key)).groupBy("__cell", *columns).agg(
             F.count("*").alias("__n")), "ring-groups")
@@ -100,13 +109,13 @@ def assign_shards(rows: DataFrame, key: Sequence[str], shards: int, vnodes: int
     # at most two rows a cell and one for each shard that gets full: bounded, so broadcast
     table = F.broadcast(spark.createDataFrame(
         parts, "__cell int, __first long, __end long, shard int, __shift long"))
-    before = Window.partitionBy("__cell").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = groups.withColumn("__from", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    order = [*key, *(c for c in columns if c not in key)]
+    ranked = numbered(groups, order, by=["__cell"], name="__from", weight="__n")
     low = F.greatest("__from", "__first")
     high = F.least(F.col("__from") + F.col("__n"), F.col("__end"))
     placed = ranked.join(table, "__cell").withColumns({"__low": low, "__high": high}).filter("__low < __high")
     chunked = placed.withColumn("__low", F.explode(F.sequence("__low", F.col("__high") - 1, F.lit(CHUNK))))
     spread = chunked.repartition("__cell", "__low")
     last = F.least(F.col("__low") + CHUNK, F.col("__high")) - 1
-    numbered = spread.withColumn("__rank", F.explode(F.sequence("__low", last)))
-    return numbered.select("shard", (F.col("__rank") + F.col("__shift")).alias("slot"), *columns)
+    given = spread.withColumn("__rank", F.explode(F.sequence("__low", last)))
+    return given.select("shard", (F.col("__rank") + F.col("__shift")).alias("slot"), *columns)

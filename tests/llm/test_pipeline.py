@@ -35,7 +35,9 @@ def test_pipeline_equals_plain_python(spark):
     dictionaries = language.train(docs.filter(~language.held_out()))
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     kept = expected(rows, dictionaries, items)
+    batch = spark.conf.get(corpus_pipeline.BATCH_SETTING)
     found = corpus_pipeline.run(spark, SMALL).collect()
+    assert spark.conf.get(corpus_pipeline.BATCH_SETTING) == batch
     assert sorted(r["doc_id"] for r in found) == sorted(d for d, _ in kept)
     assert all(r["round_trip"] and len(r["token_bytes"]) == 4 * r["n_tokens"] for r in found)
     assert 0 < len(found) < len(rows)
@@ -52,6 +54,16 @@ def test_stages_keep_columns_whatever_their_names(spark, odd_dir, stage):
     assert all(r[n] == n for r in rows for n in ("fp", "rejected", "digest", "n_lines", "component", "__marks"))
 
 
+def test_near_dedup_keeps_one_of_rows_that_differ_in_other_columns(spark, odd_dir):
+    text = "one two three four five"
+    rows = [(1, text, "en", None, 1), (1, text, None, "en", 1), (1, text, "en", None, 1), (None, text, "de", "a", 2),
+            (2, "quite another text about something else", "en", "a", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [[tuple(r) for r in corpus_pipeline.near_deduplication(spark, d, odd_dir).collect()]
+            for d in (docs, docs.repartition(3))]
+    assert sorted(kept[0]) == sorted(kept[1]) and sorted(r[0] for r in kept[0]) == [1, 2]
+
+
 def test_stages_take_empty_tables(spark, empty_dir):
     docs = spark.read.parquet(f"{empty_dir}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
