@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplemap.llm import bpe, decontaminate, language, line_dedup, shingle_sets
+from ripplemap.llm import bpe, decontaminate, language, line_dedup, simhash_bk
 from ripplemap.llm.common import cut, text_digest
 
 ROW = "__row"
@@ -26,7 +26,7 @@ BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _packed(docs: DataFrame, *columns: str) -> DataFrame:
-    # Read when the stage's result is written, after its function ends, so it stays set.
+    # Read when the stage's result is written, after its function ends; ``run`` sets it back.
     docs.sparkSession.conf.set(BATCH_SETTING, BATCH_ROWS)
     return docs.select(F.struct(*docs.columns).alias(ROW), "doc_id", "text", *columns)
 
@@ -52,20 +52,18 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of the least id, and of its texts the least digest.
+    """One document of each group of linked fingerprints: three-word shingles, three bits.
 
-    A group is what a Jaccard similarity of at least 0.8 links, over shingles of five words.
+    The one of the least id stays, and of its texts the one of the least digest; of rows with
+    the same id and text the one whose columns have the least hash; of equal rows one.
     """
-    rows = _packed(docs).withColumn("digest", text_digest()).drop("text")
-    keyed = cut(docs.select("doc_id", text_digest().alias("digest"), shingle_sets.key_column(F.col("text")).alias("key")),
-                "shingle-sets")
-    of_key = keyed.groupBy("key").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("s"))
-    grouped = of_key.join(shingle_sets.components(docs), "key", "left")
-    stays = grouped.groupBy(F.coalesce("component", "key").alias("component")).agg(F.min("s").alias("s")).select(
-        F.col("s.doc_id").alias("stay_id"), F.col("s.digest").alias("stay_digest"))
-    kept = rows.join(stays, (F.col("digest") == F.col("stay_digest")) & F.col("doc_id").eqNullSafe(F.col("stay_id")))
-    return _unpacked(kept.dropDuplicates(["digest", "doc_id"]), docs.columns)
+    facts = [x for c in docs.columns for x in (F.col(f"{ROW}.{c}"), F.col(f"{ROW}.{c}").isNull())]
+    rows = _packed(docs).withColumns({
+        "high": F.xxhash64(F.lit(3), *facts), "low": F.xxhash64(F.lit(4), *facts)})
+    found = cut(simhash_bk.near_duplicates(rows.withColumn("digest", text_digest()).drop(ROW)), "near-duplicates")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "high", "low")
+    stays = found.groupBy("component").agg(F.min(place).alias("s")).select("s.high", "s.low")
+    return _unpacked(rows.join(stays, ["high", "low"]).dropDuplicates(["high", "low"]), docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -97,6 +95,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder, each written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    before = spark.conf.get(BATCH_SETTING)
+    try:
+        for name, stage in STAGES:
+            docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+    return docs
