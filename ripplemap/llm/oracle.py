@@ -117,8 +117,56 @@ OP10_LISTED = OP10.replace(_OF_LIST, r"""EXISTS (
       WHERE contains(split_part(domain, '.', 1), '-') AND (host = domain OR suffix(host, '.' || domain)))""")
 
 
+# CRC-32 of a decimal number's characters: for each byte an xor, then eight shifts.
+def _crc32(number: str) -> str:
+    steps = (f"list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST({number} AS VARCHAR), ''), "
+             "lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), "
+             "lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) ELSE xor(acc >> 1, 3988292384 * (acc & 1)) END)")
+    return f"xor({steps}, 4294967295)"
+
+
+OP13 = f"""
+WITH turn AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), conv AS (
+  SELECT c, {_crc32("c")} % 6 AS h, c - c % 100 AS base FROM (SELECT DISTINCT c FROM turn) q
+), taken AS (
+  SELECT conv.c, any_value(h) AS h, count(b.p) AS n
+  FROM conv LEFT JOIN turn b ON b.c = base AND b.p < h GROUP BY conv.c
+), whole AS (
+  SELECT conv.c, b.p, digest, x FROM conv JOIN turn b ON b.c = base AND b.p < h
+  UNION ALL SELECT c, n + p - h, digest, x FROM taken JOIN turn USING (c) WHERE p >= h
+), listed AS (
+  SELECT c, list(digest ORDER BY p) AS l, list(length(x) ORDER BY p) AS n FROM whole GROUP BY c
+  UNION ALL SELECT c, [], [] FROM conv WHERE c NOT IN (SELECT c FROM whole)
+), prefix AS (
+  SELECT c, d, len(l) AS size, CASE WHEN d = 0 THEN '' ELSE md5(array_to_string(l[1:d], ',')) END AS node,
+    CASE WHEN d = 1 THEN '' WHEN d > 1 THEN md5(array_to_string(l[1:d - 1], ',')) END AS parent,
+    CASE WHEN d = 0 THEN 0 ELSE n[d] END AS chars
+  FROM (SELECT c, l, n, unnest(range(0, len(l) + 1)) AS d FROM listed) q
+), node AS (
+  SELECT node, any_value(d) AS depth, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * any_value(chars) AS saved,
+    sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (WHERE d = size), '')) AS ends_sha256
+  FROM prefix GROUP BY node
+), kids AS (
+  SELECT parent AS node, count(*) AS n FROM node WHERE parent IS NOT NULL GROUP BY parent
+), total AS (
+  SELECT p.node, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum(v.saved) AS saved_tokens
+  FROM node v LEFT JOIN kids k ON k.node = v.node JOIN prefix p ON p.c = v.conv_id AND p.d <= v.depth GROUP BY p.node
+)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(k.n, 0) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM node v JOIN total t ON t.node = v.node LEFT JOIN kids k ON k.node = v.node LEFT JOIN node u ON u.node = v.parent
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": OP1, "op3_host_quality": OP3, "op8_line_dedup": OP8, "op10_url_cascade": OP10,
-        "op10_url_cascade_listed": OP10_LISTED,
+        "op10_url_cascade_listed": OP10_LISTED, "op13_prefix_trie": OP13,
     }

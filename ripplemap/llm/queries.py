@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplemap.llm import (
-    bpe, decontaminate, host_quality, language, line_dedup, ring_shards, simhash_bk, suffix_dedup,
-    superkmer, url_cascade,
+    bpe, decontaminate, host_quality, language, line_dedup, prefix_trie, ring_shards, simhash_bk, suffix_dedup,
+    superkmer, token_align, token_files, url_cascade,
 )
+from ripplemap.llm.common import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
 
 RANKS = "byte_bpe_50k.tiktoken"
+WORD_TOKENS, BYTE_TOKENS, PIECES = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 SHARDS = 40
 URL_RULES = (
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
@@ -126,3 +128,26 @@ def op10_url_cascade_listed(spark, sf_dir):
     domain = F.regexp_replace(url_cascade.url_host(F.col("url")), r"^(www|m|blog)\.", "")
     listed = pages.select(domain.alias("domain")).filter(F.substring_index("domain", ".", 1).contains("-")).distinct()
     return url_cascade.filter_urls(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op11_orc_tokens(spark, sf_dir):
+    folder = shared_path(spark, "token-files")
+    token_files.write_tokens(
+        _documents(spark, sf_dir), folder, public_tokenizers.path(WORD_TOKENS), end=(1,), by_words=True)
+    return token_files.read_tokens(spark, folder).select(
+        "doc_id", "start", "n_tokens", token_files.ids_crc32(F.col("ids")).alias("ids_crc32"))
+
+
+@query
+def op12_token_align(spark, sf_dir):
+    aligned = token_align.link_statistics(
+        _documents(spark, sf_dir), public_tokenizers.path(BYTE_TOKENS), public_tokenizers.path(PIECES))
+    return aligned.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations"))).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")

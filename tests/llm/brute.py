@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import zlib
 from collections import Counter, defaultdict
+from itertools import accumulate
 
 import xxhash
 
@@ -136,3 +138,83 @@ def op9(docs, size=50):
 
 def packed(ids):
     return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def op12(docs, a, b, byte_of):
+    """``a`` a tokenizer, ``b`` a piece model; rows as the contract orders them."""
+    entry = {i: bytes(byte_of[c] for c in e) for e, i in a.get_vocab().items()}
+
+    def tokens(text):
+        data = (" " + text).encode()
+        ids = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
+        pieces = [b.id_to_piece(i) for i in ids[1]]
+        spelt = ([entry[i] for i in ids[0]], [
+            bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids[1], pieces)])
+        return (ids, spelt) if all(b"".join(s) == data for s in spelt) else None
+
+    def groups(ids, spelt):
+        ends = [list(accumulate(map(len, s))) for s in spelt]
+        out, at = [], [0, 0]
+        for end in sorted(set(ends[0]) & set(ends[1])):
+            group = []
+            for k in (0, 1):
+                begin = at[k]
+                while at[k] < len(ends[k]) and ends[k][at[k]] <= end:
+                    at[k] += 1
+                group.append(ids[k][begin:at[k]])
+            out.append(group)
+        return out
+
+    of_doc, counts = [], Counter()
+    for doc, text in docs:
+        known = tokens(text) if text else None
+        found = groups(*known) if known else []
+        links = Counter((x, y) for g in found for x in g[0] for y in g[1])
+        counts.update(links.keys())
+        of_doc.append((doc, known, found, links))
+    top = defaultdict(int)
+    for (x, _), n in counts.items():
+        top[x] = max(top[x], n)
+    out = []
+    for doc, known, found, links in of_doc:
+        text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in found)
+        out.append((
+            doc, *(map(len, known[0]) if known else (0, 0)), len(found), sum(links.values()),
+            sum(n for p, n in links.items() if counts[p] == top[p[0]]), sum(n * counts[p] for p, n in links.items()),
+            sha(text) if known else ""))
+    return out
+
+
+def crc(value):
+    return zlib.crc32(str(value).encode())
+
+
+def op13(rows, family=100, shares=6):
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            digest = hashlib.md5(f"{len(role)}:{role}{text}".encode()).digest()
+            own[conv].append((turn is not None, turn or 0, digest, (role, text)))
+    own = {c: [t[-1] for t in sorted(v)] for c, v in own.items()}
+    whole = {}
+    for c, listed in own.items():
+        h = crc(c) % shares
+        base = c - (abs(c) % family if c >= 0 else -(abs(c) % family))
+        whole[c] = own.get(base, [])[:h] + listed[h:]
+    members, ends, children = defaultdict(list), defaultdict(list), defaultdict(set)
+    for c in sorted(whole):
+        path = tuple(whole[c])
+        for d in range(len(path) + 1):
+            members[path[:d]].append(c)
+            if d:
+                children[path[:d - 1]].add(path[:d])
+        ends[path].append(c)
+    totals = {}
+    for node in sorted(members, key=len, reverse=True):
+        below = [totals[x] for x in children[node]]
+        own_saved = (len(members[node]) - 1) * len(node[-1][1]) if node else 0
+        totals[node] = (sum(x for x, _ in below) or 1, own_saved + sum(y for _, y in below))
+    return [(
+        v[0], len(node), members[node[:-1]][0] if node else None, len(v), len(children[node]), *totals[node],
+        sha(",".join(map(str, ends[node])))) for node, v in members.items()]

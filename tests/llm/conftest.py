@@ -44,13 +44,29 @@ def odd_dir(spark, odd_docs, tmp_path_factory):
             "http://com/de/", "http://org", "http://a.com/de/1"]
     pages = [(i, u, "<p>") for i, u in enumerate(urls * 2)] + [(None, "http://h.net/x", None)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame(odd_conversations(), "conv_id long, turn long, role string, text string").repartition(3).write.parquet(
+        f"{folder}/conversations.parquet")
     return str(folder)
 
 
+def odd_conversations():
+    """Copies of one conversation, shared beginnings, a long one, nulls, tied and repeated turns, gaps in the ids."""
+    rng = random.Random(8)
+    turn = lambda c, t, x: (c, t, "user" if t % 2 else "assistant", x)
+    rows = [turn(100, t, f"line {t} " * (t + 1)) for t in range(7)]
+    rows += [turn(c, t, "same" if t < 3 else f"own {c} {t}") for c in range(101, 140) for t in range(rng.randint(1, 8))]
+    rows += [turn(c, t, "copy") for c in range(300, 360) for t in range(4)]
+    rows += [turn(c, 0, "only turn") for c in range(405, 420)]  # their family's first is missing
+    rows += [turn(200, t, f"deep {t}") for t in range(150)] + [turn(207, t, "long tail é🙂") for t in range(60)]
+    rows += [(-5, None, None, None), (-5, 3, "user", None), (-5, None, "user", "x"), (0, 1, "user", "tied"), (0, 1, "user", "tied too"),
+             (0, 1, "user", "tied"), (None, 0, "user", "no id"), (7, None, None, ""), (7, None, None, "")]
+    return rows
+
+
 @pytest.fixture(scope="session")
 def empty_dir(spark, odd_dir, tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "benchmark", "pages"):
+    for name in ("documents", "benchmark", "pages", "conversations"):
         spark.read.parquet(f"{odd_dir}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
