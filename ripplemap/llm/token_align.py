@@ -1,19 +1,18 @@
 """Alignment of two tokenizers over the same bytes, and how often their ids meet.
 
-A is a byte-level BPE (tokenizers library) of a blank and the text, B a piece model
-(sentencepiece) of the text, which adds the blank itself. Tokens are byte ranges. In each
+A is a byte-level BPE of a blank and the text, B a piece model (sentencepiece) of the text,
+which adds the blank itself. A's file is one of the tokenizers library with the common
+byte-level pattern and ids in merge order, so its vocabulary serves as ranks for tiktoken,
+which gives the same ids in a fifth of the time. Tokens are byte ranges. In each
 Arrow batch, ``pandas.merge_asof``, keyed by document, gives for each token's start the other
 side's token that covers it; both directions together are the overlaps. Overlapping tokens
 with equal ends close a group. Every A token of a group is linked to every B token of it.
 
-Neither tokenizer joins a blank to what stands before it, so a text is cut there and the
-tokens of its parts are kept for other texts; a piece model whose pieces do is given whole
-texts.
-
 ``link_statistics`` counts, over the whole corpus, the documents in which a pair of ids is
-linked. Pairs are counted in each task before the shuffle. The most frequent ones, at most
-``HOT_PAIRS``, are broadcast as sorted numbers; the rest are rare, so no key is hot, and a
-join brings their counts to the documents that hold them. Each text is tokenized twice.
+linked. Texts are tokenized once and their ids written. Pairs are counted in each task before
+the shuffle. The most frequent ones, at most ``HOT_PAIRS``, are broadcast as sorted numbers;
+the rest are rare, so no key is hot, and a join brings their counts to the documents that
+hold them.
 
 Defined results: a null or empty text, and one whose tokens do not spell it, has no tokens;
 ties for an id's best pair all count; repeated rows are documents of their own; an empty table
@@ -24,10 +23,9 @@ are refused.
 from __future__ import annotations
 
 import hashlib
-import os
-import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,15 +37,13 @@ from ripplemap.llm.common import cut, encoded, pieces
 
 #: Pairs that are broadcast, 17 bytes each.
 HOT_PAIRS = 1_000_000
-#: Parts of texts whose tokens are kept.
-KEPT_PARTS = 300_000
 #: Links of one group that are listed singly; a larger group is counted by its distinct ids.
 LISTED_LINKS = 4_096
 #: Pairs that a task holds before it passes their counts on.
 HELD_PAIRS = 1_000_000
 SPACE = "▁"
-_BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace()]
-_CUT = re.compile(r"(?<=\S) ")
+# Fixed value: how the tokenizers library's byte-level step cuts a text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 STATISTICS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 _RESULT = ("struct<n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,n_best:bigint,count_sum:bigint,"
            "groups_sha256:string,rare:array<struct<a:int,b:int,times:bigint>>>")
@@ -55,13 +51,6 @@ _ALIGNED = ("struct<a_ids:array<int>,b_ids:array<int>,overlaps:array<struct<a:in
             "groups:array<struct<a_end:int,b_end:int>>>")
 
 
-def parts_of(text: str) -> list[str]:
-    """A text cut at the blanks that follow a visible character; those blanks are left out."""
-    if text.startswith(" ") or any(w + " " in text for w in _BLANKS):
-        return _CUT.split(text)
-    return text.split(" ")
-
-
 def byte_level() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -69,38 +58,18 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Side:
-    """One tokenizer's tokens of the kept parts, end to end: ids, and ends within their part."""
+class _Names:
+    """What each id of a vocabulary spells."""
 
     def __init__(self, names: list[bytes]):
-        self.names, self.sizes = names, np.array([len(x) for x in names], np.int64)
-        self.clear()
-
-    def clear(self) -> None:
-        self.ids, self.ends = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
-        self.used, self.first, self.count = 0, np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def add(self, found: list[list[int]]) -> list[bytes]:
-        """Keep the tokens of new parts; what each part's tokens spell."""
-        count = np.array([len(x) for x in found], np.int64)
-        ids = np.fromiter((i for x in found for i in x), np.int64, int(count.sum()))
-        ends = np.cumsum(self.sizes[ids])
-        before = np.concatenate(([0], ends))[np.cumsum(count) - count]
-        ends -= np.repeat(before, count)
-        while self.used + len(ids) > len(self.ids):
-            self.ids, self.ends = (np.concatenate((x, np.empty_like(x))) for x in (self.ids, self.ends))
-        self.ids[self.used:self.used + len(ids)] = ids
-        self.ends[self.used:self.used + len(ids)] = ends
-        self.first = np.concatenate((self.first, self.used + np.cumsum(count) - count))
-        self.count = np.concatenate((self.count, count))
-        self.used += len(ids)
-        return [b"".join([self.names[i] for i in x]) for x in found]
-
-    def tokens(self, parts: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids and ends of the tokens of parts that begin at ``base``, and tokens of each part."""
-        count = self.count[parts]
-        at = np.repeat(self.first[parts] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        return self.ids[at], self.ends[at] + np.repeat(base, count), count
+        self.size = np.array([len(x) for x in names], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(names), np.uint8)
+
+    def spell(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Bytes of the ids, one after the other; ``ends`` are their ends there."""
+        size = self.size[ids]
+        return self.data[np.repeat(self.first[ids] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 @dataclass
@@ -116,69 +85,71 @@ class Aligned:
 
 class Tokenizers:
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.a.encode_special_tokens = True
-        byte_of, vocabulary = byte_level(), self.a.get_vocab(with_added_tokens=True)
-        a_names = [b""] * (max(vocabulary.values()) + 1)
-        for entry, i in vocabulary.items():
-            a_names[i] = bytes(byte_of[c] for c in entry)
+        byte_of = byte_level()
+        ranks = {bytes(byte_of[c] for c in entry): i for entry, i in Tokenizer.from_file(a_path).get_vocab(
+            with_added_tokens=False).items()}
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        a_names = [b""] * (max(ranks.values()) + 1)
+        for entry, i in ranks.items():
+            a_names[i] = entry
         listed = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         b_names = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode()
                    for i, p in enumerate(listed)]
-        self.may_cut = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in listed)
-        self.sides = _Side(a_names), _Side(b_names)
+        self.sides = _Names(a_names), _Names(b_names)
         self.bits = max(len(a_names), len(b_names)).bit_length()
-        self.probe = len(self.b.encode("a"))
-        self.names = [[np.array([b"%d%s" % (i, mark) for i in range(len(s.names))], object)
-                       for mark in (b",", end)] for s, end in zip(self.sides, (b"|", b";"))]
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.size, self.spelt = np.empty(0, np.int64), np.empty(0, bool)
-        for side in self.sides:
-            side.clear()
-
-    def _keep(self, new: list[str]) -> None:
-        data = [b" " + p.encode() for p in new]
-        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in new], add_special_tokens=False)]
-        # the piece model adds its blank only to a text that is not blank itself
-        probed = [p if p.strip(" ") else "a " + p for p in new]
-        b = [x if q is p else x[self.probe:] for x, p, q in zip(self.b.encode(probed, num_threads=1), new, probed)]
-        spelt = [x == y == d for x, y, d in zip(self.sides[0].add(a), self.sides[1].add(b), data)]
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-        self.size = np.concatenate((self.size, np.array([len(d) for d in data], np.int64)))
-        self.spelt = np.concatenate((self.spelt, np.array(spelt, bool)))
-
-    def align(self, texts: list[bytes]) -> Aligned:
-        if len(self.index) > KEPT_PARTS:
-            self.clear()
-        cuts = [[] if not t else parts_of(t.decode()) if self.may_cut else [t.decode()] for t in texts]
-        flat = [p for row in cuts for p in row]
-        if new := list(dict.fromkeys(p for p in flat if p not in self.index)):
-            self._keep(new)
-        parts = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
-        doc = np.repeat(np.arange(len(texts)), [len(row) for row in cuts])
-        if not self.spelt[parts].all():
-            right = np.ones(len(texts), bool)
-            right[doc[~self.spelt[parts]]] = False
-            parts, doc = parts[right[doc]], doc[right[doc]]
-        base = np.cumsum(self.size[parts]) - self.size[parts]
-        ids, ends, docs = [], [], []
-        for side in self.sides:
-            i, e, count = side.tokens(parts, base)
+        self.width = 2 if self.bits <= 16 else 4
+        self.kind = f"<u{self.width}"
+        self.numbers = [[np.array([b"%d%s" % (i, mark) for i in range(len(s.size))], object)
+                         for mark in (b",", end)] for s, end in zip(self.sides, (b"|", b";"))]
+
+    def _tokens(self, data: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For either side, ids of all texts and how many each has; ``data`` begin with the blank."""
+        texts = [t.decode() for t in data]
+        for found in ([self.a.encode_to_numpy(t, disallowed_special=()) for t in texts],
+                      self.b.encode([t[1:] for t in texts], num_threads=1)):
+            count = np.array([len(x) for x in found], np.int64)
+            yield np.concatenate([np.empty(0, np.int64), *(np.asarray(x, np.int64) for x in found)]), count
+
+    def tokenize(self, texts: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """Packed ids of each text by A and by B; none where either side's do not spell it."""
+        data = [b" " + t for t in texts if t]
+        sizes = np.array([len(t) for t in data], np.int64)
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        sides, right = [], np.ones(len(data), bool)
+        for names, (ids, count) in zip(self.sides, self._tokens(data)):
+            doc, size = np.repeat(np.arange(len(data)), count), names.size[ids]
+            own = np.bincount(doc, size, len(data)).astype(np.int64) == sizes
+            fits = own[doc]
+            wrong = np.flatnonzero(names.spell(ids[fits], np.cumsum(size[fits])) != flat[np.repeat(own, sizes)])
+            if len(wrong):
+                own[np.flatnonzero(own)[np.searchsorted(np.cumsum(sizes[own]), wrong, "right")]] = False
+            right &= own
+            ends = np.cumsum(count)
+            sides.append((ids.astype(self.kind).tobytes(), ((ends - count) * self.width).tolist(), (ends * self.width).tolist()))
+        spelt, number = right.tolist(), iter(range(len(data)))
+        places = [next(number) if t else -1 for t in texts]
+        a, b = ([ids[begin[k]:end[k]] if k >= 0 and spelt[k] else b"" for k in places] for ids, begin, end in sides)
+        return a, b
+
+    def align(self, *packed: Sequence[bytes]) -> Aligned:
+        """Align texts given as their packed ids by A and by B."""
+        n = len(packed[0])
+        ids, docs, ends = [], [], []
+        for names, rows in zip(self.sides, packed):
+            i = np.frombuffer(b"".join(rows), self.kind).astype(np.int64)
             ids.append(i)
-            ends.append(e)
-            docs.append(np.repeat(doc, count))
-        frames = [pd.DataFrame({"at": np.concatenate(([0], e[:-1])), "doc": d, "token": np.arange(len(e))})
-                  if len(e) else None for e, d in zip(ends, docs)]
-        if frames[0] is None:
+            docs.append(np.repeat(np.arange(n), [len(x) // self.width for x in rows]))
+            ends.append(np.cumsum(names.size[i]))
+        if not len(ids[0]):
             nothing = np.empty(0, np.int64)
-            return Aligned(len(texts), (nothing,) * 2, (nothing,) * 2, (nothing,) * 2, (nothing,) * 2)
+            return Aligned(n, *((nothing,) * 2,) * 4)
+        frames = [pd.DataFrame({"at": np.concatenate(([0], e[:-1])), "doc": d, "token": np.arange(len(e))})
+                  for e, d in zip(ends, docs)]
         b_of_a, a_of_b = (
             pd.merge_asof(x, y, on="at", by="doc", suffixes=("", "_over"))["token_over"].to_numpy().astype(np.int64)
             for x, y in (frames, frames[::-1]))
@@ -186,11 +157,11 @@ class Tokenizers:
         over = np.concatenate((a, a_of_b)), np.concatenate((b_of_a, b))
         equal = ends[0][over[0]] == ends[1][over[1]]
         last = []
-        for side, n in zip(over, (len(a), len(b))):
-            flags = np.zeros(n, bool)
+        for side, tokens in zip(over, (a, b)):
+            flags = np.zeros(len(tokens), bool)
             flags[side[equal]] = True
             last.append(np.flatnonzero(flags))
-        return Aligned(len(texts), tuple(ids), tuple(docs), over, tuple(last))
+        return Aligned(n, tuple(ids), tuple(docs), over, tuple(last))
 
     def links(self, found: Aligned) -> tuple[np.ndarray, np.ndarray]:
         """Sorted keys (text, A id, B id) and how many links each stands for."""
@@ -233,12 +204,18 @@ class Tokenizers:
         for side, shift in ((0, before), (1, through)):
             ids, last = found.ids[side], np.zeros(len(found.ids[side]), bool)
             last[found.last[side]] = True
-            out[np.arange(len(ids)) + shift] = np.where(last, self.names[side][1][ids], self.names[side][0][ids])
+            out[np.arange(len(ids)) + shift] = np.where(last, self.numbers[side][1][ids], self.numbers[side][0][ids])
         ends = sum(np.searchsorted(d, np.arange(found.n + 1), "left") for d in found.doc)
         return [hashlib.sha256(b"".join(out[i:j].tolist())[:-1]).hexdigest() if j > i else ""
                 for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
+@lru_cache(maxsize=1)
+def tokenizers(a_path: str, b_path: str) -> Tokenizers:
+    """One pair for all tasks of a Python worker, which so share the kept parts."""
+    return Tokenizers(a_path, b_path)
+
+
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, with the sums of their values."""
     if not len(keys):
@@ -249,9 +226,27 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(values, first)
 
 
+def with_tokens(docs: DataFrame, a_path: str, b_path: str, text: str = "text", name: str = "__t") -> DataFrame:
+    """Add a struct of the packed ids of each text, ``a`` and ``b``."""
+    def over(column: pa.Array) -> pa.Array:
+        sides = [], []
+        for _, texts in pieces(encoded(column)):
+            for side, rows in zip(sides, tokenizers(a_path, b_path).tokenize(texts)):
+                side.extend(rows)
+        return pa.StructArray.from_arrays([pa.array(x, pa.binary()) for x in sides], ["a", "b"])
+
+    return docs.withColumn(name, F.arrow_udf(over, "struct<a:binary,b:binary>")(F.col(text)))
+
+
+def _aligned(both: Tokenizers, a: pa.Array, b: pa.Array) -> Iterator[Aligned]:
+    of_b = b.to_pylist()
+    for first, rows in pieces(a.to_pylist()):
+        yield both.align(rows, of_b[first:first + len(rows)])
+
+
 def _count_pairs(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     """(a, b, n): documents of this task in which a pair of ids is linked, some pairs several times."""
-    both, held, waiting = Tokenizers(*paths), (np.empty(0, np.int64),) * 2, []
+    both, held, waiting = tokenizers(*paths), (np.empty(0, np.int64),) * 2, []
     mask = (1 << 2 * both.bits) - 1
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -265,8 +260,8 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) -> I
                  pa.array(n[at:at + 100_000])], ["a", "b", "n"])
 
     for batch in batches:
-        for _, texts in pieces(encoded(batch.column(0))):
-            keys, _ = both.links(both.align(texts))
+        for found in _aligned(both, *batch.columns):
+            keys, _ = both.links(found)
             pairs, n = np.unique(keys & mask, return_counts=True)
             waiting.append((pairs, n))
             if sum(len(x) for x, _ in waiting) > HELD_PAIRS:
@@ -282,9 +277,12 @@ def _level(n: str):
     return F.length(F.bin(n))
 
 
-def pair_counts(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
-    """(a, b, n, best): documents in which two ids are linked, and whether no B id has more for a."""
-    counts = cut(docs.select(F.col(text).alias("text")).mapInArrow(
+def pair_counts(tokens: DataFrame, a_path: str, b_path: str, name: str = "__t") -> DataFrame:
+    """(a, b, n, best): documents in which two ids are linked, and whether no B id has more for a.
+
+    ``tokens`` is the written outcome of ``with_tokens``.
+    """
+    counts = cut(tokens.select(f"{name}.a", f"{name}.b").mapInArrow(
         lambda batches: _count_pairs(batches, (a_path, b_path)), "a int, b int, n long").groupBy("a", "b").agg(
         F.sum("n").alias("n")), "pair-counts")
     most = counts.groupBy("a").agg(F.max("n").alias("most"))  # one row for each id of a vocabulary
@@ -306,7 +304,8 @@ def link_statistics(docs: DataFrame, a_path: str, b_path: str, text: str = "text
     """All columns but the text, with ``STATISTICS`` of each document."""
     _refuse(docs, text, STATISTICS)
     columns = [c for c in docs.columns if c != text]
-    counts = pair_counts(docs, a_path, b_path, text)
+    tokens = cut(with_tokens(docs, a_path, b_path, text).select(*columns, "__t"), "aligned-ids")
+    counts = pair_counts(tokens, a_path, b_path)
     level, some_rare = _hot_level(counts, hot_pairs)
     hot = counts.filter(_level("n") >= level).toArrow()
     a, b, n, best = (hot[c].to_numpy() for c in ("a", "b", "n", "best"))
@@ -315,19 +314,19 @@ def link_statistics(docs: DataFrame, a_path: str, b_path: str, text: str = "text
 
     def known() -> tuple:
         if not state:
-            both = Tokenizers(a_path, b_path)
+            both = tokenizers(a_path, b_path)
             a, b, n, best = held.value
             pairs = a.astype(np.int64) << both.bits | b
             order = np.argsort(pairs)
             state.extend((both, pairs[order], n[order], best[order]))
         return tuple(state)
 
-    def over(column: pa.Array) -> pa.Array:
+    def over(a: pa.Array, b: pa.Array) -> pa.Array:
         both, pairs, n, best = known()
-        rows = [_statistics(both, pairs, n, best, texts) for _, texts in pieces(encoded(column))]
+        rows = [_statistics(both, pairs, n, best, found) for found in _aligned(both, a, b)]
         return pa.concat_arrays(rows) if rows else pa.array([], _arrow_result())
 
-    scored = docs.withColumn("__r", F.arrow_udf(over, _RESULT)(F.col(text))).select(*columns, "__r")
+    scored = tokens.withColumn("__r", F.arrow_udf(over, _RESULT)("__t.a", "__t.b")).select(*columns, "__r")
     if not some_rare:
         return scored.select(*columns, *(F.col("__r")[c].alias(c) for c in STATISTICS))
     stored = cut(scored.withColumn("__row", F.monotonically_increasing_id()), "link-statistics")
@@ -346,8 +345,7 @@ def _arrow_result() -> pa.StructType:
     return pa.struct([*((c, pa.int64()) for c in STATISTICS[:-1]), ("groups_sha256", pa.string()), ("rare", pa.list_(rare))])
 
 
-def _statistics(both: Tokenizers, pairs: np.ndarray, n: np.ndarray, best: np.ndarray, texts: list[bytes]) -> pa.Array:
-    found = both.align(texts)
+def _statistics(both: Tokenizers, pairs: np.ndarray, n: np.ndarray, best: np.ndarray, found: Aligned) -> pa.Array:
     docs = np.arange(found.n + 1)
     keys, times = both.links(found)
     own = keys & ((1 << 2 * both.bits) - 1)
@@ -378,14 +376,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> Data
     """Add ``a_ids``, ``b_ids``, ``overlaps`` (pairs of token numbers) and ``groups`` (ends in tokens)."""
     names = ("a_ids", "b_ids", "overlaps", "groups")
     _refuse(docs, "", names)
-    state: list[Tokenizers] = []
 
     def over(column: pa.Array) -> pa.Array:
-        if not state:
-            state.append(Tokenizers(a_path, b_path))
         rows = []
         for _, texts in pieces(encoded(column)):
-            found = state[0].align(texts)
+            both = tokenizers(a_path, b_path)
+            found = both.align(*both.tokenize(texts))
             ends = [np.searchsorted(d, np.arange(found.n + 1)) for d in found.doc]
             of_group = np.searchsorted(found.doc[0][found.last[0]], np.arange(found.n + 1))
             met = np.unique(np.stack(found.overlaps, 1), axis=0)

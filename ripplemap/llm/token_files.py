@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from ripplemap.llm.common import encoded, pieces
 
 #: Words kept with their ids, in the younger of two generations, and the longest kept, in bytes.
-KEPT_WORDS, KEPT_BYTES = 200_000, 48
+KEPT_WORDS, KEPT_BYTES = 400_000, 48
 STRIPE_BYTES, INDEX_ROWS = 64 << 20, 10_000
 #: Rows after which a writer looks whether its stripe is full; few, since documents may be long.
 ROWS_BETWEEN_CHECKS = 100
@@ -60,26 +61,28 @@ class Encoder:
         if not self.by_words:
             return self._encode(texts)
         split = [t.split() for t in texts]  # ASCII blanks
-        known = self.young
-        new = {w for words in split for w in words if w not in known}
-        if again := [w for w in new if w in self.old]:
-            known.update((w, self.old[w]) for w in again)
-            new.difference_update(again)
-        listed = list(new)
-        fresh = dict(zip(listed, self._encode(listed)))
-        long = {w: fresh.pop(w) for w in listed if len(w) > KEPT_BYTES}
-        known.update(fresh)
-        if long:
-            out = [b"".join([long[w] if w in long else known[w] for w in words]) for words in split]
-        else:
-            out = [b"".join(map(known.__getitem__, words)) for words in split]
-        if len(known) > KEPT_WORDS:
-            self.young, self.old = {}, known
-        return out
+        found = [list(map(self.young.get, words)) for words in split]
+        open_ = [k for k, ids in enumerate(found) if None in ids]
+        missing = {w for k in open_ for w, ids in zip(split[k], found[k]) if ids is None}
+        met = {w: ids for w in missing if (ids := self.old.get(w)) is not None}
+        if new := list(missing.difference(met)):
+            met.update(zip(new, self._encode(new)))
+        for k in open_:
+            found[k] = [met[w] if ids is None else ids for w, ids in zip(split[k], found[k])]
+        self.young.update((w, ids) for w, ids in met.items() if len(w) <= KEPT_BYTES)
+        if len(self.young) > KEPT_WORDS:
+            self.young, self.old = {}, self.young
+        return [b"".join(ids) for ids in found]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, by_words: bool) -> Encoder:
+    """One for all tasks of a Python worker, which so share the kept words."""
+    return Encoder(path, by_words)
 
 
 def _rows(batches: Iterator[pa.RecordBatch], path: str, by_words: bool, end: Sequence[int]) -> Iterator[pa.RecordBatch]:
-    encode, last = Encoder(path, by_words), np.array(end, "<i4").tobytes()
+    encode, last = encoder(path, by_words), np.array(end, "<i4").tobytes()
     part, start = TaskContext.get().partitionId(), 0
     for batch in batches:
         for first, texts in pieces(encoded(batch.column(1))):

@@ -55,22 +55,21 @@ def test_any_share_of_rare_pairs_gives_the_same(spark, plain, hot):
     assert rows(token_align.link_statistics(docs, A, B, hot_pairs=hot)) == plain(odd_docs())
 
 
-def test_parts_groups_and_counts_in_pieces(spark, plain, monkeypatch):
-    # nothing is kept for long, every group is counted by its distinct ids, pairs are passed on at once
-    for name, value in (("KEPT_PARTS", 3), ("LISTED_LINKS", 0), ("HELD_PAIRS", 5)):
-        monkeypatch.setattr(token_align, name, value)
+def test_links_by_distinct_ids_and_counts_in_pieces(spark, monkeypatch):
     both, docs = token_align.Tokenizers(A, B), odd_docs()
-    counts, links = {}, []
-    for _ in range(2):
-        for _, text in docs:
-            found = both.align([(text or "").encode()])
-            links.append(tuple(x.tolist() for x in both.links(found)))
-    assert links[:len(docs)] == links[len(docs):]
-    for keys, _ in links[:len(docs)]:
+    of = lambda text: tuple(x.tolist() for x in both.links(both.align(*both.tokenize([(text or "").encode()]))))
+    listed = [of(t) for _, t in docs]
+    # every group is counted by its distinct ids, pairs are passed on at once
+    for name, value in (("LISTED_LINKS", 0), ("HELD_PAIRS", 5)):
+        monkeypatch.setattr(token_align, name, value)
+    assert [of(t) for _, t in docs] == listed
+    counts = {}
+    for keys, _ in listed:
         for k in keys:
             counts[k] = counts.get(k, 0) + 1
     import pyarrow as pa
-    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in docs], pa.string())], ["text"])
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(x, pa.binary()) for x in both.tokenize([(t or "").encode() for _, t in docs])], ["a", "b"])
     got = {}
     for out in token_align._count_pairs(iter([batch, batch]), (A, B)):
         for a, b, n in zip(*(c.to_pylist() for c in out.columns)):
@@ -96,11 +95,16 @@ def test_overlaps_and_groups(spark):
         (e, e) for e in sorted(set(at[0][1:]) & set(at[1][1:]))]
 
 
-def test_parts_spell_the_text():
-    for text in ODD:
-        assert " ".join(token_align.parts_of(text)) == text
-        assert all(not p[:-1].endswith("x ") for p in token_align.parts_of(text))
-    assert token_align.parts_of("a  b c\n d") == ["a", " b", "c\n d"]
+def test_ids_are_those_of_the_tokenizers_library():
+    rng, known = random.Random(12), Tokenizer.from_file(A)
+    known.encode_special_tokens = True
+    both = token_align.Tokenizers(A, B)
+    alphabet = [chr(rng.randrange(0x20, 0x3000)) for _ in range(400)] + [chr(rng.choice((0x1F600, 0x10400, 0x20000)) + rng.randrange(80))
+                for _ in range(60)] + list("  \n\t'sdmtlrev0123456789") * 8
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 80))) for _ in range(800)] + [t for t in ODD]
+    (ids, count), _ = both._tokens([(" " + t).encode() for t in texts])
+    expected = [known.encode(" " + t, add_special_tokens=False).ids for t in texts]
+    assert count.tolist() == [len(x) for x in expected] and ids.tolist() == [i for x in expected for i in x]
 
 
 def test_taken_names_are_refused(spark):
