@@ -19,6 +19,7 @@ _REGISTRY: dict[str, Query] = {}
 
 RANKS = "byte_bpe_50k.tiktoken"
 WORD_TOKENS, BYTE_TOKENS, PIECES = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
+MARKS = "!#$%&*,.:;?)"
 SHARDS = 40
 URL_RULES = (
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
@@ -134,7 +135,7 @@ def op10_url_cascade_listed(spark, sf_dir):
 def op11_orc_tokens(spark, sf_dir):
     folder = shared_path(spark, "token-files")
     token_files.write_tokens(
-        _documents(spark, sf_dir), folder, public_tokenizers.path(WORD_TOKENS), end=(1,), by_words=True)
+        _documents(spark, sf_dir), folder, public_tokenizers.path(WORD_TOKENS), end=(1,), by_words=True, marks=MARKS)
     return token_files.read_tokens(spark, folder).select(
         "doc_id", "start", "n_tokens", token_files.ids_crc32(F.col("ids")).alias("ids_crc32"))
 

@@ -8,7 +8,10 @@ its own first token. What the files before it hold is in a small table of parts,
 file, written last: a folder without it is unfinished.
 
 A tokenizer that drops white space sees a text's words one by one (``by_words``): the ids of
-short words are kept for the next texts, and only new ones go through the library.
+short words are kept for the next texts, and only new ones go through the library. Words are
+few when those are merged that the tokenizer tells apart by nothing: for one that lower-cases,
+A-Z is lower-cased first, and ``marks`` names punctuation that it parts from a letter before
+it, so that a word and the marks behind it are two.
 
 Defined results: a null or empty text is the end id alone; a null id comes first; rows of one
 id follow each other by text, and are one task's work; an empty table gives an empty file set;
@@ -19,20 +22,27 @@ columns may have any names.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplemap.llm.common import encoded, pieces
 
-#: Words kept with their ids, in the younger of two generations, and the longest kept, in bytes.
-KEPT_WORDS, KEPT_BYTES = 400_000, 48
+#: Words kept with their ids, in the younger of two generations, and the longest kept.
+KEPT_WORDS, KEPT_CHARS = 400_000, 48
+#: Bytes of text whose distinct words are looked up together.
+PIECE = 4 << 20
+#: Latin letters, which a mark may follow.
+_LETTER = "[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
 STRIPE_BYTES, INDEX_ROWS = 64 << 20, 10_000
 #: Rows after which a writer looks whether its stripe is full; few, since documents may be long.
 ROWS_BETWEEN_CHECKS = 100
@@ -43,62 +53,89 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start", pa.i
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file, as little-endian 32-bit integers."""
+    """Ids of texts by a tokenizer file."""
 
-    def __init__(self, path: str, by_words: bool):
+    def __init__(self, path: str, by_words: bool, marks: str = ""):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_words = Tokenizer.from_file(path), by_words
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if marks and any(t[-1] in marks for t in self.special):
+            raise ValueError(f"a special token ends with one of {marks}")
+        self.marks = f"({_LETTER})([{re.escape(marks)}]+)(\\s|$)" if marks else None
+        normalizer = self.tokenizer.normalizer
+        self.lowers = normalizer is not None and normalizer.normalize_str(ascii_uppercase) == ascii_lowercase
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<i4").tobytes() for e in found]
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if not self.by_words:
-            return self._encode(texts)
-        split = [t.split() for t in texts]  # ASCII blanks
-        found = [list(map(self.young.get, words)) for words in split]
-        open_ = [k for k, ids in enumerate(found) if None in ids]
-        missing = {w for k in open_ for w, ids in zip(split[k], found[k]) if ids is None}
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Packed ids of distinct words; new ones go through the library."""
+        found = list(map(self.young.get, words))
+        missing = [w for w, ids in zip(words, found) if ids is None]
         met = {w: ids for w in missing if (ids := self.old.get(w)) is not None}
-        if new := list(missing.difference(met)):
+        if new := [w for w in missing if w not in met]:
             met.update(zip(new, self._encode(new)))
-        for k in open_:
-            found[k] = [met[w] if ids is None else ids for w, ids in zip(split[k], found[k])]
-        self.young.update((w, ids) for w, ids in met.items() if len(w) <= KEPT_BYTES)
+        self.young.update((w, ids) for w, ids in met.items() if len(w) <= KEPT_CHARS)
         if len(self.young) > KEPT_WORDS:
             self.young, self.old = {}, self.young
-        return [b"".join(ids) for ids in found]
+        return [met[w] if ids is None else ids for w, ids in zip(words, found)]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and how many each text has."""
+        if not self.by_words:
+            rows = self._encode(texts.to_pylist())
+            return np.frombuffer(b"".join(rows), "<i4"), np.array([len(x) // 4 for x in rows], np.int64)
+        if self.lowers:
+            lower = pc.ascii_lower(texts)
+            # a lower-cased text must not become a special token that it was not
+            if not any(pc.any(pc.match_substring(lower, t)).as_py() for t in self.special):
+                texts = lower
+        if self.marks:
+            texts = pc.replace_substring_regex(texts, self.marks, r"\1 \2\3")
+        split = pc.ascii_split_whitespace(texts)  # an empty word at an edge has no ids
+        words = split.flatten().dictionary_encode()
+        rows = self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids, size = np.frombuffer(b"".join(rows), "<i4"), np.array([len(x) // 4 for x in rows], np.int64)
+        at = words.indices.to_numpy()
+        count = size[at]
+        ends = np.cumsum(count)
+        chosen = np.repeat((np.cumsum(size) - size)[at] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+        return ids[chosen], np.diff(np.concatenate(([0], ends))[split.offsets.to_numpy() - split.offsets[0].as_py()])
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, by_words: bool) -> Encoder:
+def encoder(path: str, by_words: bool, marks: str) -> Encoder:
     """One for all tasks of a Python worker, which so share the kept words."""
-    return Encoder(path, by_words)
+    return Encoder(path, by_words, marks)
 
 
-def _rows(batches: Iterator[pa.RecordBatch], path: str, by_words: bool, end: Sequence[int]) -> Iterator[pa.RecordBatch]:
-    encode, last = encoder(path, by_words), np.array(end, "<i4").tobytes()
+def _rows(batches: Iterator[pa.RecordBatch], encode: Encoder, end: Sequence[int]) -> Iterator[pa.RecordBatch]:
     part, start = TaskContext.get().partitionId(), 0
     for batch in batches:
-        for first, texts in pieces(encoded(batch.column(1))):
-            ids = [x + last for x in encode(texts)]
-            sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        texts = batch.column(1).fill_null("")
+        for first, rows in pieces(encoded(texts), PIECE):
+            ids, sizes = encode(texts.slice(first, len(rows)))
+            number = np.repeat(np.arange(len(rows)), sizes)
+            closed = np.empty(len(ids) + len(rows) * len(end), np.int32)
+            closed[np.arange(len(ids)) + number * len(end)] = ids
+            sizes = sizes + len(end)
             ends = np.concatenate(([0], np.cumsum(sizes)))
-            lists = pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
+            for k, value in enumerate(end):
+                closed[ends[1:] - len(end) + k] = value
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, len(texts)), pa.array(np.full(len(texts), part, np.int32)),
-                 pa.array(start + ends[:-1]), pa.array(sizes), lists], schema=_ARROW)
+                [batch.column(0).slice(first, len(rows)), pa.array(np.full(len(rows), part, np.int32)),
+                 pa.array(start + ends[:-1]), pa.array(sizes),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(closed))], schema=_ARROW)
             start += int(ends[-1])
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: Sequence[int] = (1,), by_words: bool = False,
-                 id_column: str = "doc_id", text: str = "text", stripe_bytes: int = STRIPE_BYTES,
+                 marks: str = "", id_column: str = "doc_id", text: str = "text", stripe_bytes: int = STRIPE_BYTES,
                  index_rows: int = INDEX_ROWS) -> None:
     """Encode whole texts, each with the ``end`` ids behind it, into a new folder ``path``."""
     spark = docs.sparkSession
@@ -106,7 +143,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: Sequence[int]
     in_order = chosen.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(
         F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
     end = tuple(end)
-    tokens = in_order.mapInArrow(lambda batches: _rows(batches, tokenizer, by_words, end), SCHEMA)
+    tokens = in_order.mapInArrow(lambda batches: _rows(batches, encoder(tokenizer, by_words, marks), end), SCHEMA)
     (
         tokens.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
         .option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", index_rows)
