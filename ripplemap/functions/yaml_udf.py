@@ -1,11 +1,13 @@
 """The one Python step: loading YAML text, Arrow batch by Arrow batch.
 
-The functions only turn a text into typed rows or an error name. Which steps count,
-how they are named and which duplicate wins is decided in DataFrame code.
+The functions only turn a text into typed rows, or JSON, or an error name. Which steps and
+variables count, how they are named and which duplicate wins is decided in DataFrame code.
 """
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ except ImportError:  # the package can still be imported; YAML operators then fa
 STEPS_TYPE = (
     "steps array<struct<pos:int,name:string,step_type:string,command:string>>, error string"
 )
-VARIABLES_TYPE = "entries array<struct<key:string,value:string>>, error string"
+VARIABLES_TYPE = "document string, error string"
 # Sections of a variable file (the later overrides the earlier), and how
 # deep nested keys are joined with dots.
 VARIABLE_SECTIONS = ("root", "default_schema_names")
@@ -47,22 +49,25 @@ def _steps(text: str) -> list[dict]:
     ]
 
 
-def _entries(text: str) -> list[dict]:
+def _pairs(mapping: dict, depth: int = 1) -> list:
+    """A mapping in its order: [key, text of a value, pairs of a mapping], one of the two null."""
+    out = []
+    for key, value in mapping.items():
+        nested = isinstance(value, dict) and depth < VARIABLE_DEPTH
+        if not isinstance(key, str):
+            if depth > 1 or (nested and value):  # a key that cannot be joined with a dot
+                raise TypeError(f"{key!r} is no text")
+        elif nested:
+            out.append([key, None, _pairs(value, depth + 1)])
+        else:
+            out.append([key, str(value), None])
+    return out
+
+
+def _document(text: str) -> str:
+    """The sections of a variable file as JSON that keeps the order of keys."""
     document = _load(text)
-    level = {}
-    for section in VARIABLE_SECTIONS:
-        level.update(document[section])
-    final = {}
-    # One depth at a time; a key that is already final hides a deeper one of its name.
-    for depth in range(1, VARIABLE_DEPTH + 1):
-        deeper = {}
-        for key, value in level.items():
-            if isinstance(value, dict) and depth < VARIABLE_DEPTH:
-                deeper.update((key + "." + k, v) for k, v in value.items())
-            elif isinstance(key, str):
-                final[key] = str(value)
-        level = {k: v for k, v in deeper.items() if k not in final}
-    return [{"key": k, "value": v} for k, v in final.items()]
+    return json.dumps([_pairs(dict(document[section])) for section in VARIABLE_SECTIONS])
 
 
 def _apply(texts: pd.Series, column: str, parse) -> pd.DataFrame:
@@ -94,12 +99,12 @@ def load_steps(text: Column) -> Column:
 
 
 def load_variables(text: Column) -> Column:
-    """struct(entries, error) of a variable file."""
+    """struct(document, error) of a variable file; the document is JSON."""
     _need_yaml()
 
     @F.pandas_udf(VARIABLES_TYPE)
     def yaml_variables(texts: pd.Series) -> pd.DataFrame:
-        return _apply(texts, "entries", _entries)
+        return _apply(texts, "document", _document)
 
     return yaml_variables(text)
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplemap.functions import names, text
-from ripplemap.functions.yaml_udf import load_variables
+from ripplemap.functions.yaml_udf import VARIABLE_DEPTH, load_variables
 from ripplemap.schemas import check_mode
+from ripplemap.sources.scratch import cut
 
 # Where the variable file is by default, the map used when there is
 # none, the step type whose command is SQL, and the texts that show such steps.
@@ -70,38 +72,80 @@ def substitute_vars(
 
 
 def flatten_variables(files: DataFrame, mode: str = "parity") -> DataFrame:
-    """Variables of many variable files: (ordinal, path, key, value, error)."""
+    """Variables of many variable files: (ordinal, path, key, value, error).
+
+    A file that cannot be read is one row with an error.
+    """
     loaded = files.select(
-        "ordinal", "path", load_variables(text.lint_yml(F.col("content"), mode)).alias("doc")
-    )
-    return loaded.select(
-        "ordinal", "path", "doc.error", F.explode_outer("doc.entries").alias("entry")
-    ).select("ordinal", "path", "entry.key", "entry.value", "error")
+        "ordinal", "path", load_variables(text.lint_yml(F.col("content"), mode)).alias("doc"))
+    return _flattened(cut(loaded.select("ordinal", "path", "doc.*"), "variable-files"))
 
 
 def env_vars(files: DataFrame, path: str = VARIABLE_FILE, mode: str = "parity") -> DataFrame:
     """(key, value, error) of the first file with this path; the default map without one."""
     first = (
         files.filter(F.col("path") == path)
-        .agg(
-            F.min_by("content", "ordinal").alias("content"),
-            F.count("*").alias("found"),
-        )
-        .withColumn("path", F.lit(path))
-        .withColumn("ordinal", F.lit(0))
-    )
-    loaded = first.select(
-        "found", load_variables(F.coalesce(text.lint_yml(F.col("content"), mode), F.lit("")))
-        .alias("doc")
+        .agg(F.min_by("content", "ordinal").alias("content"), F.count("*").alias("found"))
     )
+    document = load_variables(F.when(F.col("found") > 0, F.coalesce(text.lint_yml(F.col("content"), mode), F.lit(""))))
+    loaded = cut(first.select(
+        F.lit(0).alias("ordinal"), F.lit(path).alias("path"), "found", document.alias("doc")).select(
+        "ordinal", "path", "found", "doc.*"), "variable-file")
     default = F.array(*[
-        F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in NO_VARIABLES.items()
-    ])
-    none_found = F.col("found") == 0
-    return loaded.select(
-        F.when(~none_found, F.col("doc.error")).alias("error"),
-        F.explode_outer(F.when(none_found, default).otherwise(F.col("doc.entries"))).alias("e"),
-    ).select("e.key", "e.value", "error")
+        F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in NO_VARIABLES.items()])
+    none = loaded.filter("found = 0").select(F.inline(default), "error")
+    return _flattened(loaded.drop("found")).select("key", "value", "error").unionByName(none)
+
+
+_ID = ("ordinal", "path")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """``pairs`` (JSON) as rows: the other columns, ``at``, ``key``, ``value`` and ``inner`` pairs."""
+    listed = rows.withColumn("pairs", F.parse_json("pairs"))
+    found = rows.sparkSession.sql(
+        "SELECT listed.* EXCEPT (pairs), pair.pos AS at, pair.value AS pair"
+        " FROM {listed} listed, LATERAL variant_explode(listed.pairs) pair", listed=listed)
+    return found.select(
+        *[c for c in found.columns if c != "pair"], F.variant_get("pair", "$[0]", "string").alias("key"),
+        F.variant_get("pair", "$[1]", "string").alias("value"),
+        F.nullif(F.to_json(F.variant_get("pair", "$[2]", "variant")), F.lit("null")).alias("inner"))
+
+
+def _last_of_name(rows: DataFrame) -> DataFrame:
+    """Of one name in one file the last value, at the place of the first."""
+    return rows.groupBy(*_ID, "name").agg(
+        F.max_by(F.struct("value", "inner"), "place").alias("last"), F.min("place").alias("place")
+    ).select(*_ID, "name", "place", "last.*")
+
+
+def _flattened(loaded: DataFrame) -> DataFrame:
+    """Nested keys joined with dots, a depth at a time, down to ``VARIABLE_DEPTH``.
+
+    A later section replaces what an earlier one has under a key. Within a depth the last of
+    a name counts; a name that is settled hides a deeper one. ``loaded`` is a written table
+    (ordinal, path, document, error); keys are rows, so one file may have very many.
+    """
+    sections = loaded.filter("document IS NOT NULL").select(*_ID, F.posexplode(
+        F.from_json("document", "array<string>")).alias("section", "pairs"))
+    rows = _pairs(sections).select(
+        *_ID, F.col("key").alias("name"), F.array("section", "at").alias("place"), "value", "inner")
+    settled: list[DataFrame] = []
+    for depth in range(1, VARIABLE_DEPTH + 1):
+        level = _last_of_name(rows)
+        for known in settled:
+            level = level.join(known, [*_ID, "name"], "left_anti")
+        done = level.filter("inner IS NULL").select(*_ID, "name", "value")
+        settled.append(done)
+        if depth < VARIABLE_DEPTH:
+            deeper = _pairs(level.filter("inner IS NOT NULL").select(*_ID, "name", "place", F.col("inner").alias("pairs")))
+            rows = deeper.select(
+                *_ID, F.concat_ws(".", "name", "key").alias("name"),
+                F.concat("place", F.array("at")).alias("place"), "value", "inner")
+    broken = loaded.filter("error IS NOT NULL").select(
+        *_ID, *(F.lit(None).cast("string").alias(c) for c in ("name", "value")), "error")
+    found = reduce(DataFrame.unionByName, settled).withColumn("error", F.lit(None).cast("string"))
+    return found.unionByName(broken).withColumnRenamed("name", "key")
 
 
 def collect_vars(variables: DataFrame) -> dict[str, str]:

@@ -66,10 +66,58 @@ def test_env_vars(spark):
         files.collect_vars(files.env_vars(corpus, "w.yml"))
 
 
-def test_flattening_depths_and_clashes():
-    text = "root: {a: {b.c: 1, b: {c: 2}}, d: {}, e.f: 3, e: {f: {g: 4}, h: {i: {}}}, 5: x}\ndefault_schema_names: {}"
-    got = {e["key"]: e["value"] for e in yaml_udf._entries(text)}
-    assert got == {"a.b.c": "1", "e.f": "3", "e.h.i": "{}"}
+def plain_flatten(document):
+    """Dictionaries only: the same rules without rows."""
+    level = {**document["root"]}
+    level.update(document["default_schema_names"])
+    final = {}
+    for depth in (1, 2, 3):
+        deeper = {}
+        for key, value in level.items():
+            if isinstance(value, dict) and depth < 3:
+                deeper.update((f"{key}.{k}", v) for k, v in value.items())
+            elif isinstance(key, str):
+                final[key] = str(value)
+        level = {k: v for k, v in deeper.items() if k not in final}
+    return final
+
+
+CLASHES = [
+    "root: {a: {b.c: 1, b: {c: 2}}, d: {}, e.f: 3, e: {f: {g: 4}, h: {i: {}}}, 5: x}\ndefault_schema_names: {}",
+    "root: {a: {b: {c: 1}}, a.b: {c: 2, d: 3}, z: {y: 1}}\ndefault_schema_names: {z: plain, a: {b: {e: 5}}}",
+    "root: {x.y: 1, x: {y: {z: 2}, w: null}}\ndefault_schema_names: {q: [1, 2], r: {s: true, t: 1.50, u: 2020-01-02}}",
+    "root: {a.b.c: top, a: {b.c: middle, b: {c: deep}}}\ndefault_schema_names: {a.b: {c: two, d: {e: {f: 1}}}}",
+    "root: {é: 'it''s \"q\"', 'sp ace': {'k.': v}}\ndefault_schema_names: {}",
+]
+
+
+def test_flattening_depths_and_clashes(spark):
+    corpus = snapshot(spark, *((f"v{i}.yml", t + "\n1:\n2:\n3:\n") for i, t in enumerate(CLASHES)))
+    found = {}
+    for r in files.flatten_variables(corpus).collect():
+        assert r["error"] is None
+        found.setdefault(r["path"], {})[r["key"]] = r["value"]
+    assert found == {f"v{i}.yml": plain_flatten(yaml_udf.yaml.safe_load(t)) for i, t in enumerate(CLASHES)}
+    assert found["v0.yml"] == {"a.b.c": "1", "e.f": "3", "e.h.i": "{}"}
+
+
+def test_unreadable_variable_files_are_one_row_each(spark):
+    tail = "\n1:\n2:\n3:\n"
+    corpus = snapshot(spark, ("a.yml", "root: [1" + tail), ("b.yml", "root: {a: 1}" + tail),
+                      ("c.yml", "root: {a: {5: 1}}\ndefault_schema_names: {}" + tail), ("d.yml", "root: {}\ndefault_schema_names: {}" + tail),
+                      ("e.yml", "root: {k: v}\ndefault_schema_names: {}" + tail))
+    found = rows(files.flatten_variables(corpus), "path", "key", "value", "error")
+    assert [(r[0], r[1]) for r in found] == [("a.yml", None), ("b.yml", None), ("c.yml", None), ("e.yml", "k")]
+    assert [r[3] for r in found] == ["ParserError", "KeyError", "TypeError", None]
+
+
+def test_a_variable_file_of_very_many_keys(spark):
+    body = "".join(f"  k{i}: {{a: v{i}, b: {{c: w{i}}}}}\n" for i in range(50_000))
+    corpus = snapshot(spark, ("big.yml", "root:\n" + body + "default_schema_names: {k7: flat}\n1:\n2:\n3:\n"))
+    flat = files.flatten_variables(corpus)
+    assert flat.count() == 2 * 49_999 + 1
+    assert rows(flat.filter("key LIKE 'k7' OR key LIKE 'k8.%'"), "key", "value") == [
+        ("k7", "flat"), ("k8.a", "v8"), ("k8.b.c", "w8")]
 
 
 def test_repo_with_its_own_variables(spark):
