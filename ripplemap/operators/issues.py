@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplemap.functions.names import normalise_table
@@ -59,12 +59,14 @@ def _status(used: Column) -> Column:
 def lookup(refs: DataFrame, index: DataFrame) -> DataFrame:
     """Each reference, in order, with a summary of its key's record; ``pk`` is null without one.
 
-    (issue_key, pos, field, pk, status, n_dashboards, n_files). The index is grouped by key
-    before any shuffle, so a key with very many entries sends one row per task; a field is
-    looked up once, however many tickets mention it.
+    (issue_key, pos, field, pk, status, n_dashboards, n_files). Only index rows of mentioned
+    fields are grouped, by key before any shuffle, so a key with very many entries sends one
+    row per task; a field is looked up once, however many tickets mention it.
     """
     salted = with_salt(refs, ["issue_key", "pos"])
-    fields, keys = key_rows(salted, ["field"]), index_keys(index)
+    fields = key_rows(salted, ["field"])
+    mentioned = index.join(refs.select(F.col("field").alias("pk")).distinct(), "pk", "left_semi")
+    keys = index_keys(mentioned)
     found = fields.join(keys, fields["field"] == keys["pk"], "left")
     used = F.coalesce(F.col("has_dashboards") | F.col("has_files"), F.lit(False))
     return join_back(salted, found.withColumn("status", _status(used)), ["field"]).select(
@@ -204,6 +206,19 @@ def answer_requests(requests: DataFrame, index: DataFrame) -> DataFrame:
     return lookup(refs, index).withColumnRenamed("issue_key", "request_id")
 
 
+def requested_fields(spark: SparkSession, fields: Sequence[str] | str) -> list[str]:
+    """Fields of a lookup: a sequence as it is, a text as a request parameter, decoded or refused."""
+    if not fields:
+        raise ValueError(MISSING_PARAMETER)
+    if not isinstance(fields, str):
+        return list(fields)
+    given = spark.createDataFrame([(fields,)], "param string")
+    code, wanted = given.select(_rejection(F.col("param")), F.split(_decoded(F.col("param")), ",")).first()
+    if code is not None:
+        raise ValueError(MISSING_PARAMETER if code == 400 else FAILED_REQUEST)
+    return wanted
+
+
 def get_references(index: DataFrame, fields: Sequence[str] | str) -> DataFrame:
     """Point lookup of a few fields: (pos, field, source, label, url), nulls when absent.
 
@@ -211,15 +226,7 @@ def get_references(index: DataFrame, fields: Sequence[str] | str) -> DataFrame:
     sequence holds plain fields. They become a filter on ``pk`` that reaches the index files.
     """
     spark = index.sparkSession
-    if not fields:
-        raise ValueError(MISSING_PARAMETER)
-    wanted = fields
-    if isinstance(fields, str):
-        given = spark.createDataFrame([(fields,)], "param string")
-        code, wanted = given.select(
-            _rejection(F.col("param")), F.split(_decoded(F.col("param")), ",")).first()
-        if code is not None:
-            raise ValueError(MISSING_PARAMETER if code == 400 else FAILED_REQUEST)
+    wanted = requested_fields(spark, fields)
     asked = spark.createDataFrame(list(enumerate(wanted)), "pos long, field string")
     hits = index.filter(F.col("pk").isin(*set(wanted)))
     return asked.join(hits, asked["field"] == hits["pk"], "left").drop("pk")

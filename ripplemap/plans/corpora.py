@@ -16,6 +16,7 @@ VARIABLE_PATH = "pipelines/settings7.yml"
 POINT_FIELDS = ("ods.orders3", "src.cust5", "raw.pay2", "no.such", "raw.pay2")
 POINT_PARAM = POINT_FIELDS[0] + "%2C" + ",".join(POINT_FIELDS[1:])
 PROJECTS = ("Finance", "Retail")
+PARTIAL_KEYS = ("ods.orders3", "src.cust5")
 
 REPO_FILES = """
 SELECT o_orderkey AS ordinal, path, 'https://git.example.com/r/blob/main/' || path AS url, content

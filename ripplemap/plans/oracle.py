@@ -415,6 +415,10 @@ _ORACLE = {
         UNION ALL SELECT 'github', pk, label, url FROM old_code
           WHERE pk NOT IN (SELECT tab FROM sql_pairs)
         UNION ALL SELECT 'tableau', pk, label, url FROM bi"""),
+    "q_index_store_partial": _with(_REPO, _LAST_SQL, _SQL_PAIRS, _OLD, body=f"""
+        SELECT 'github' AS source, tab AS pk, file AS label, url FROM sql_pairs WHERE tab IN {c.PARTIAL_KEYS}
+        UNION ALL SELECT 'github', pk, label, url FROM old_code
+          WHERE pk NOT IN (SELECT tab FROM sql_pairs WHERE tab IN {c.PARTIAL_KEYS})"""),
     "q_index_rejects": """
         SELECT CAST(NULL AS VARCHAR) AS pk, 'plain' || c_custkey AS label, CAST(c_custkey AS VARCHAR) AS url,
           'MissingKey' AS reason

@@ -533,7 +533,22 @@ def report_in_order(spark, sf):
 
 @query
 def point_lookup(spark, sf):
-    return issues.get_references(_stored_index(spark, sf), c.POINT_PARAM)
+    """A request answered from a store: only the buckets of its fields are read."""
+    base = shared_path(spark, "point-lookup")
+    index_store_sink.upsert_index(spark, base, jobs.code_index(_repo(spark, sf), c.VARIABLES), "github")
+    index_store_sink.upsert_index(spark, base, jobs.bi_index(*_bi(spark, sf), c.SERVER_URL), "tableau")
+    return index_store_sink.stored_references(spark, base, c.POINT_PARAM)
+
+
+@query
+def index_store_partial(spark, sf):
+    """A store after a run of two keys only and the expiry of what it replaced."""
+    base = shared_path(spark, "index-store-partial")
+    index_store_sink.upsert_index(spark, base, c.derive(spark, sf, c.OLD_CODE), "github")
+    new = jobs.code_index(_files(spark, sf, c.REPO_FILES), c.VARIABLES).filter(F.col("pk").isin(*c.PARTIAL_KEYS))
+    index_store_sink.upsert_index(spark, base, new, "github")
+    index_store_sink.expire_versions(spark, base, "github")
+    return index_store_sink.read_index(spark, base)
 
 
 @query

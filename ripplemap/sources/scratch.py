@@ -68,7 +68,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _emptied(spark: SparkSession, path: str) -> None:
+def emptied(spark: SparkSession, path: str) -> None:
+    """Put a table without rows where a folder of tables is."""
     spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)
 
 
@@ -79,9 +80,9 @@ def discard(*tables: DataFrame) -> None:
     """
     for table in tables:
         for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            _emptied(table.sparkSession, path)
+            emptied(table.sparkSession, path)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Remove all scratch tables of this application: results that still read them must be stored."""
-    _emptied(spark, scratch_root(spark))
+    emptied(spark, scratch_root(spark))

@@ -89,3 +89,70 @@ def test_stored_versions(spark, tmp_path):
     assert rows(index_store.read_entries(spark, base, "github")) == [("e.f", "f", "u")]
     with pytest.raises(ValueError):
         index_store.read_entries(spark, base, "jira")
+
+
+def bucket_files(tmp_path, source="github"):
+    """Files with rows of each (version, bucket), by name and size."""
+    out = {}
+    for f in (tmp_path / "index" / source / "data").glob("version=*/bucket=*/*.parquet"):
+        out.setdefault((f.parent.parent.name, f.parent.name), []).append((f.name, f.stat().st_size))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_a_run_of_one_key_rewrites_one_bucket(spark, tmp_path):
+    base = str(tmp_path / "index")
+    first = spark.range(3000).selectExpr("concat('s.t', id % 900) AS pk", "concat('f', id) AS label", "'u' AS url")
+    index_store.upsert_index(spark, base, first, "github")
+    before, old = bucket_files(tmp_path), rows(index_store.read_entries(spark, base, "github"))
+    assert len(before) > 200
+    new = spark.createDataFrame([("s.t7", "g", "v")], ENTRIES)
+    assert index_store.upsert_index(spark, base, new, "github") == 2
+    after = bucket_files(tmp_path)
+    written = [k for k in after if k[0] == "version=2"]
+    assert len(written) == 1 and {k: v for k, v in after.items() if k[0] == "version=1"} == before
+    listed = index_store.manifest(spark, base, "github")
+    assert sorted(v for v in listed.values()).count(2) == 1 and len(listed) == len(before)
+    expected = [r for r in old if r[0] != "s.t7"] + [("s.t7", "g", "v")]
+    assert rows(index_store.read_entries(spark, base, "github")) == sorted(expected, key=repr)
+    # the replaced bucket goes, the others stay
+    assert index_store.expire_versions(spark, base, "github") == 1
+    assert rows(index_store.read_entries(spark, base, "github")) == sorted(expected, key=repr)
+    left = {k for k in bucket_files(tmp_path) if k[0] == "version=1"}
+    stale = ("version=1", written[0][1])
+    assert before.keys() - left <= {stale} and spark.read.schema(ENTRIES).parquet(
+        f"{base}/github/data/{stale[0]}/{stale[1]}").count() == 0
+    assert index_store.current_version(spark, base, "github") == 2
+    assert index_store.upsert_index(spark, base, new, "github", "replace") == 3
+    assert rows(index_store.read_entries(spark, base, "github")) == [("s.t7", "g", "v")]
+    with pytest.raises(ValueError):
+        index_store.expire_versions(spark, base, "github", keep=0)
+
+
+def test_a_lookup_opens_only_the_buckets_of_its_keys(spark, tmp_path):
+    base = str(tmp_path / "index")
+    assert index_store.read_keys(spark, base, ["a.b"]).collect() == []
+    entries = spark.range(3000).selectExpr("concat('s.t', id % 900) AS pk", "concat('f', id) AS label", "'u' AS url")
+    index_store.upsert_index(spark, base, entries, "github")
+    index_store.upsert_index(spark, base, spark.createDataFrame([("s.t7", "d", "w")], ENTRIES), "tableau")
+    found = index_store.read_keys(spark, base, ["s.t7"])
+    folders = {f.rsplit("/", 2)[1] for f in found.inputFiles()}
+    assert len(folders) == 1
+    assert rows(found) == sorted(
+        [("github", "s.t7", f"f{i}", "u") for i in range(7, 3000, 900)] + [("tableau", "s.t7", "d", "w")], key=repr)
+    answer = rows(index_store.stored_references(spark, base, "s.t7%2Cno.such"), "pos", "field", "source", "label")
+    assert len(answer) == 6 and (1, "no.such", None, None) in answer
+    assert index_store.read_keys(spark, base, []).collect() == []
+    with pytest.raises(ValueError):
+        index_store.stored_references(spark, base, "a.b,,c.d")
+
+
+def test_many_entries_of_one_key_are_several_files(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hot = spark.range(20_000).selectExpr("'hub.t' AS pk", "concat('f', id) AS label", "'u' AS url")
+        index_store.upsert_index(spark, str(tmp_path / "index"), hot, "github")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    (listed,) = bucket_files(tmp_path).values()
+    assert len(listed) > 1
+    assert index_store.read_keys(spark, str(tmp_path / "index"), ["hub.t"]).count() == 20_000
