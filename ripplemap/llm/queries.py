@@ -93,7 +93,8 @@ def op5_simhash_bk(spark, sf_dir):
 @query
 def op6_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(_documents(spark, sf_dir)).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_removed") > 0).alias("repeats"))
 
 
 @query

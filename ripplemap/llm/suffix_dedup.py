@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from ripplemap.llm.anchors import bit_table, has_bit
 from ripplemap.llm.common import cut, discard, encoded, pieces
 from ripplemap.llm.wordscan import BYTE_VALUES, covered, joined, mix, runs, sliding, window_hashes
+from ripplemap.operators.skew import SALTS, join_back, key_rows, with_salt
 
 #: Addresses are dealt in blocks; the starts found in a block are one row.
 BLOCK = 1_024
@@ -362,7 +363,9 @@ def repeated_starts(found: DataFrame, g: Grid) -> DataFrame:
     key = ["rank", "before", "behind"]
     rows = cut(_surroundings(cores, found, g), "surroundings")
     discard(cores)
-    kinds = cut(rows.groupBy(key).agg(F.count("*").alias("times")), "kinds")
+    # what a third of all rows may share is spread over salts of their places
+    salted = with_salt(rows, ["at"])
+    kinds = cut(key_rows(salted, key, F.count("*").alias("times")), "kinds")
     first = F.shiftrightunsigned("before", 60).cast("int")
     last = F.shiftrightunsigned("before", 56).bitwiseAND(F.lit(15)).cast("int")
     bit = F.call_function("shiftleft", F.lit(1), F.col("i"))
@@ -378,7 +381,7 @@ def repeated_starts(found: DataFrame, g: Grid) -> DataFrame:
     all_bits = F.call_function("shiftleft", F.lit(1), last + 1) - F.call_function("shiftleft", F.lit(1), first)
     masks = matched.union(kinds.filter("times > 1").select(*key, all_bits.alias("mask"))).groupBy(key).agg(
         F.bit_or("mask").alias("mask"))
-    starts = cut(rows.join(masks, key).select("at", "mask"), "starts")
+    starts = cut(join_back(salted, masks.join(kinds.select(*key, SALTS), key), key).select("at", "mask"), "starts")
     discard(rows, kinds, windows)
     return starts
 
