@@ -15,18 +15,19 @@ from ripplemap.operators.issues import (
 )
 from ripplemap.plans.jobs import bi_index, bi_index_of_nodes, code_index, code_index_of_repo
 from ripplemap.sources.bi_export import read_nodes
-from ripplemap.sources.index_store import read_index, upsert_index
+from ripplemap.sources.index_store import expire_versions, read_index, stored_references, upsert_index
 from ripplemap.sources.repo import from_table, read_repo
+from ripplemap.sources.scratch import clear_scratch
 from ripplemap.sources.tickets import read_issues
 from ripplemap.streaming.impact import stream_report, write_report
 
 __all__ = [
     "answer_requests", "bi_clean", "bi_index", "bi_index_of_nodes", "bi_quarantine",
-    "classify_files", "code_index", "code_index_of_repo", "collect_vars",
-    "datasource_clean", "env_vars", "file_urls", "from_table", "get_references",
+    "classify_files", "clear_scratch", "code_index", "code_index_of_repo", "collect_vars",
+    "datasource_clean", "env_vars", "expire_versions", "file_urls", "from_table", "get_references",
     "impact_report", "index_keys", "ingest_stats", "insert_statements", "issue_refs",
     "issue_status", "lookup", "mentioned_entries", "merge_index", "read_index",
     "read_issues", "read_nodes", "read_repo", "reference_index", "split_statements",
-    "stream_report", "substitute_vars", "table_refs", "table_to_files", "to_records",
+    "stored_references", "stream_report", "substitute_vars", "table_refs", "table_to_files", "to_records",
     "unreferenced", "upsert_index", "write_report", "yml_quarantine", "yml_steps",
 ]
