@@ -73,20 +73,31 @@ def flatten_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tables, listed.select("table_id", "pos", "col.name", "col.path")
 
 
-def _kept(dashboards: DataFrame) -> DataFrame:
-    """Dashboards before the first repeated name of their table.
-
-    Such a dashboard is the first of its name, so of each (table, name) two rows are enough:
-    the first, which may be kept, and the second, which may be the cutoff. Spark cuts each
-    group to two rows before the one shuffle that both uses of ``ranked`` share.
-    """
+def _ranked(dashboards: DataFrame) -> DataFrame:
+    """Of each (table, name) the first dashboard, which may be kept, and the second, which ends
+    the list of its table. Spark cuts each group to two rows before the shuffle. The salt is
+    of no grouping column, or what Spark infers about it would set the uses' shuffles apart."""
     by_name = Window.partitionBy("table_id", "name").orderBy("pos")
     ranked = dashboards.withColumn("nth", F.row_number().over(by_name)).filter(F.col("nth") <= 2)
-    # whole rows are aggregated, and both filters are no rank limits: else the uses would differ
-    row = F.struct("pos", *[x for x in dashboards.columns if x not in ("table_id", "pos")])
-    cutoffs = ranked.filter(F.col("nth") % 2 == 0).groupBy("table_id").agg(F.min(row)["pos"].alias("cutoff"))
+    return with_salt(ranked, ["pos"])
+
+
+def _per_table(ranked: DataFrame) -> DataFrame:
+    """(table_id, cutoff, salts): one row per table that lists a dashboard.
+
+    Whole rows are aggregated, so that this use of ``ranked`` reads the shuffle of the other one.
+    """
+    second = F.when(F.col("nth") % 2 == 0, F.struct("pos", "name", "path"))
+    return key_rows(ranked, ["table_id"], F.min(second)["pos"].alias("cutoff"))
+
+
+def _kept(ranked: DataFrame, tables: DataFrame) -> DataFrame:
+    """Dashboards before the first repeated name of their table, for (table_id, cutoff, salts).
+
+    The kept ones are the first of their name. A hot table's rows are joined by salt.
+    """
     first = ranked.filter(F.col("nth") % 2 == 1).drop("nth")
-    kept = first.join(cutoffs, "table_id", "left")
+    kept = join_back(first, tables, ["table_id"])
     return kept.filter(F.col("cutoff").isNull() | (F.col("pos") < F.col("cutoff"))).drop("cutoff")
 
 
@@ -95,11 +106,13 @@ def dashboards_by_table(dashboards: DataFrame, mode: str = "parity") -> DataFram
 
     parity: names in order up to the first repeat, later ones are lost.
     intended: each name once, with its first path.
+    A null ``table_id`` is no table; a null name is a name of its own.
     """
     check_mode(mode)
     if mode == "intended":
         return dashboards.groupBy("table_id", "name").agg(F.min_by("path", "pos").alias("path"))
-    return _kept(dashboards.select("table_id", "pos", "name", "path")).select("table_id", "name", "path")
+    ranked = _ranked(dashboards.select("table_id", "pos", "name", "path"))
+    return _kept(ranked, _per_table(ranked)).select("table_id", "name", "path")
 
 
 def bi_entries(
@@ -110,26 +123,27 @@ def bi_entries(
     parity: the last table (highest ordinal) of a full name that has a dashboard wins.
     intended: all tables of a full name, without work-table suffixes as in code, count,
     each name with its first address.
+    A dashboard without a name is listed under an empty label: a null one would say that the
+    table lists nothing.
     """
     check_mode(mode)
     clean = bi_clean(tables).select("table_id", "ordinal", F.col("fullName").alias("pk"))
-    salted = with_salt(dashboards.select("table_id", "pos", "name", "path"), ["pos"])
-    # Only tables that list a dashboard are key rows here; both sides are unique per table.
-    listed = key_rows(salted, ["table_id"]).join(clean, "table_id")
-    url = names.dashboard_url(server_url, F.col("path"))
+    listed = dashboards.select("table_id", "pos", F.coalesce("name", F.lit("")).alias("name"), "path")
+    url = names.dashboard_url(server_url, F.col("path")).alias("url")
+    label = F.col("name").alias("label")
 
     if mode == "intended":
-        listed = listed.withColumn("pk", names.normalise_table(F.col("pk"), mode))
-        of_table = join_back(salted, listed, ["table_id"])
+        salted = with_salt(listed, ["pos"])
+        # Only tables that list a dashboard are key rows here; both sides are unique per table.
+        named = key_rows(salted, ["table_id"]).join(clean, "table_id")
+        named = named.withColumn("pk", names.normalise_table(F.col("pk"), mode))
+        of_table = join_back(salted, named, ["table_id"])
         first = F.min_by("path", F.struct("ordinal", "pos")).alias("path")
-        return of_table.groupBy("pk", "name").agg(first).select(
-            "pk", F.col("name").alias("label"), url.alias("url")
-        )
-
-    winners = (
-        listed.groupBy("pk")
-        .agg(F.max(F.struct("ordinal", "table_id", SALTS)).alias("w"))
-        .select("pk", "w.table_id", f"w.{SALTS}")
-    )
-    won = join_back(salted, winners, ["table_id"])
-    return _kept(won).select("pk", F.col("name").alias("label"), url.alias("url"))
+        return of_table.groupBy("pk", "name").agg(first).select("pk", label, url)
+
+    # One scan and one shuffle of the listing serve both the choice of tables and their lists.
+    ranked = _ranked(listed)
+    row = F.struct("ordinal", "table_id", "cutoff", SALTS)
+    winners = _per_table(ranked).join(clean, "table_id").groupBy("pk").agg(F.max(row).alias("w"))
+    won = winners.select("pk", "w.table_id", "w.cutoff", f"w.{SALTS}")
+    return _kept(ranked, won).select("pk", label, url)

@@ -7,7 +7,7 @@ unit that Spark can hand to a task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -62,6 +62,13 @@ def _nodes(responses: DataFrame, where: str, page) -> DataFrame:
     ).select(F.struct("page", "at").alias("ordinal"), "node.*")
 
 
+def _page() -> Column:
+    """A file's place: the last number in its name, none first, then its path."""
+    number = F.regexp_extract("_metadata.file_name", r"(\d+)\D*$", 1)
+    return F.struct(F.coalesce(number.try_cast("long"), F.lit(-1).cast("long")).alias("number"),
+                    F.col("_metadata.file_path").alias("file"))
+
+
 def read_nodes(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Nodes of the response files in ``path``, pages by the last number in the file name.
 
@@ -71,20 +78,18 @@ def read_nodes(spark: SparkSession, path: str, kind: str) -> DataFrame:
     responses = (
         spark.read.schema(response_schema(kind)).option("multiLine", True).json(path)
     )
-    number = F.regexp_extract("_metadata.file_name", r"(\d+)\D*$", 1)
-    page = F.struct(F.coalesce(number.try_cast("long"), F.lit(-1).cast("long")).alias("number"),
-                    F.col("_metadata.file_path").alias("file"))
-    return _nodes(responses, where, page)
+    return _nodes(responses, where, _page())
 
 
 def read_node_lines(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Nodes stored one to a line, in numbered files that Spark may split anywhere.
 
-    ``ordinal`` = (file, offset of the line's block in it, line): as ordered as the lines are.
+    ``ordinal`` = (file by the rule of ``read_nodes``, offset of the line's block in it, line):
+    as ordered as the lines are.
     """
     fields = StructType.fromDDL(NODES[kind][1])
     lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("page"),
+        "value", _page().alias("page"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     node = F.from_json("value", fields).alias("node")
     ordinal = F.struct("page", F.struct("block", "line").alias("at")).alias("ordinal")

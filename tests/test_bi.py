@@ -129,3 +129,30 @@ def test_nodes_stored_one_to_a_line(spark, tmp_path):
     (tmp_path / "part1.json").write_text("\n".join(map(json.dumps, lines)) + "\n")
     read = bi_export.read_node_lines(spark, str(tmp_path), "databases")
     assert [(r["id"], r["name"]) for r in read.orderBy("ordinal").collect()] == [("1", "a"), ("2", "b")]
+
+
+def test_files_of_lines_are_ordered_by_number(spark, tmp_path):
+    for page, dash in ((2, "two"), (10, "ten"), (9, "nine")):
+        node = {"name": "N", "fullName": "a.b", "schema": "a", "downstreamDashboards": [{"name": dash, "path": "p"}]}
+        (tmp_path / f"page{page}.json").write_text(json.dumps(node) + "\n")
+    read = bi_export.read_node_lines(spark, str(tmp_path), "tables_to_dashboards")
+    assert rows(jobs.bi_index_of_nodes(read, SERVER)) == [("a.b", "ten", "https://s/#/views/p")]
+
+
+def test_a_dashboard_without_a_name_is_listed(spark):
+    t = tables(spark, "a.b", "c.d")
+    edges = dashboards(spark, [None, "x"], [None, None, "y"])
+    for mode, second in (("parity", [("c.d", "")]), ("intended", [("c.d", ""), ("c.d", "y")])):
+        found = jobs.bi_index(t, edges, SERVER, mode)
+        assert rows(found, "pk", "label") == [("a.b", ""), ("a.b", "x"), *second]
+
+
+def test_bi_index_reads_and_shuffles_the_listing_once(spark, tmp_path):
+    t, e = tables(spark, "a.b", "c.d"), dashboards(spark, ["x", "y"], ["z"])
+    t.write.parquet(str(tmp_path / "t"))
+    e.write.parquet(str(tmp_path / "e"))
+    t, e = spark.read.parquet(str(tmp_path / "t")), spark.read.parquet(str(tmp_path / "e"))
+    found = jobs.bi_index(t, e, SERVER)
+    assert len(found.collect()) == 3
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet [table_id") == 1 and plan.count("ReusedExchange") == 1
