@@ -12,25 +12,29 @@ from pyspark.sql import functions as F
 VARIABLES = {"schema.ods": "ods"}
 TEMPLATE_VARIABLES = {"schema.ods": "ods", "root": "r"}
 SERVER_URL = "https://bi.example.com"
+MAIN = "https://git.example.com/r/blob/main/"
 VARIABLE_PATH = "pipelines/settings7.yml"
-POINT_FIELDS = ("ods.orders3", "src.cust5", "raw.pay2", "no.such", "raw.pay2")
+POINT_FIELDS = ("ods.orders4", "src.cust40", "raw.pay30", "no.such", "raw.pay30")
 POINT_PARAM = POINT_FIELDS[0] + "%2C" + ",".join(POINT_FIELDS[1:])
 PROJECTS = ("Finance", "Retail")
-PARTIAL_KEYS = ("ods.orders3", "src.cust5")
+#: So few entries to a record that hot keys have many parts at any size of the tables.
+ENTRIES_PER_PART = 100
+PARTIAL_KEYS = ("ods.orders4", "src.cust40")
 
+# Names grow in number with the tables; a third of all scripts write ods.orders0.
 REPO_FILES = """
 SELECT o_orderkey AS ordinal, path, 'https://git.example.com/r/blob/main/' || path AS url, content
 FROM (SELECT o_orderkey,
-  'etl/d' || cast(o_custkey % 13 AS string) || '/job' || cast(o_orderkey % 5000 AS string) ||
+  'etl/d' || cast(o_custkey % 13 AS string) || '/job' || cast(o_orderkey - o_orderkey % 20 AS string) ||
     CASE o_orderkey % 6 WHEN 0 THEN '.yml' WHEN 1 THEN '.b.sql' WHEN 2 THEN '.sql.yml'
       ELSE '.sql' END AS path,
-  'INSERT INTO {{{{ schema.ods }}}}.orders' || cast(o_custkey % 50 AS string) || '_tmp' || chr(10) ||
-  'SELECT * FROM src.cust' || cast(o_custkey % 40 AS string) || ' c JOIN Raw.Pay' ||
-    cast(o_orderkey % 30 AS string) || ' p ON c.k = p.k -- FROM no.comment' || chr(10) ||
+  'INSERT INTO {{{{ schema.ods }}}}.orders' || cast(CASE o_custkey % 3 WHEN 0 THEN 0 ELSE o_custkey END AS string) || '_tmp' || chr(10) ||
+  'SELECT * FROM src.cust' || cast(o_custkey - o_custkey % 40 AS string) || ' c JOIN Raw.Pay' ||
+    cast(o_orderkey - o_orderkey % 30 AS string) || ' p ON c.k = p.k -- FROM no.comment' || chr(10) ||
   '; SELECT * FROM sel.only;' ||
   CASE WHEN o_orderkey % 4 = 0 THEN chr(10) || 'insert into dw.fact' ||
-    cast(o_orderkey % 20 AS string) || '_staging select * from ods.orders' ||
-    cast(o_custkey % 50 AS string) ELSE '' END AS content
+    cast(o_orderkey - o_orderkey % 20 AS string) || '_staging select * from ods.orders' ||
+    cast(CASE o_custkey % 3 WHEN 0 THEN 0 ELSE o_custkey END AS string) ELSE '' END AS content
   FROM {orders}) q
 """
 
@@ -46,6 +50,13 @@ SELECT p_partkey AS ordinal, 'pipelines/p' || cast(p_partkey AS string) || '.yml
 FROM {part}
 """
 
+# The same definitions in folders and under names that begin with a dot or an underscore, too.
+HIDDEN_FILES = """
+SELECT p_partkey AS ordinal, 'pipelines/' || CASE p_partkey % 3 WHEN 0 THEN '.d' ELSE 'd' END ||
+  cast(p_partkey % 11 AS string) || '/' || CASE p_partkey % 5 WHEN 0 THEN '.p' WHEN 1 THEN '_p' ELSE 'p' END ||
+  cast(p_partkey AS string) || '.yml' AS path FROM {part}
+"""
+
 # Several steps per file: a repeated name, an empty command, another type, two
 # INSERTs in one command; one file in five is broken in one of three ways.
 STEP_FILES = """
@@ -99,8 +110,8 @@ FROM {customer}
 
 BI_TABLES = """
 SELECT p_partkey AS ordinal, p_partkey AS table_id,
-  'Orders' || cast(p_partkey % 50 AS string) AS name,
-  '[ODS].[Orders' || cast(p_partkey % 50 AS string) || ']' AS `fullName`,
+  'Orders' || cast(p_partkey - p_partkey % 4 AS string) AS name,
+  '[ODS].[Orders' || cast(p_partkey - p_partkey % 4 AS string) || ']' AS `fullName`,
   CASE WHEN p_partkey % 3 = 0 THEN 'ods' WHEN p_partkey % 3 = 1 THEN 'ODS' ELSE 'dbo' END AS `schema`,
   CASE p_size % 7 WHEN 0 THEN 'hyper' WHEN 1 THEN 'textscan' WHEN 2 THEN NULL
     WHEN 3 THEN 'google-sheets' ELSE 'redshift' END AS `connectionType`
@@ -110,12 +121,12 @@ FROM {part}
 ISSUES = """
 SELECT 'IMP-' || cast(c_custkey AS string) AS issue_key,
   CASE c_custkey % 6
-    WHEN 0 THEN 'Combine address1 and address2 fields in ODS.Orders' || cast(c_custkey % 60 AS string)
-    WHEN 1 THEN 'Fix src.cust' || cast(c_custkey % 45 AS string) || ' and raw.pay' ||
-      cast(c_custkey % 33 AS string)
+    WHEN 0 THEN 'Combine address1 and address2 fields in ODS.Orders' || cast(c_custkey + 1 AS string)
+    WHEN 1 THEN 'Fix src.cust' || cast(c_custkey - c_custkey % 40 AS string) || ' and raw.pay' ||
+      cast(c_custkey - c_custkey % 15 AS string)
     WHEN 2 THEN 'Refresh dashboard'
-    WHEN 3 THEN 'Drop dw.fact' || cast(c_custkey % 21 AS string) || ', dw.fact' ||
-      cast(c_custkey % 21 AS string)
+    WHEN 3 THEN 'Drop dw.fact' || cast(c_custkey - c_custkey % 10 AS string) || ', dw.fact' ||
+      cast(c_custkey - c_custkey % 10 AS string)
     WHEN 4 THEN 'Check order_status of ods.orders_staging'
     ELSE '' END AS summary
 FROM {customer}
@@ -133,10 +144,10 @@ FROM {customer}
 
 REQUESTS = """
 SELECT c_custkey AS request_id, CASE c_custkey % 7
-    WHEN 0 THEN 'ods.orders' || cast(c_custkey % 60 AS string) || '%2Csrc.cust' ||
-      cast(c_custkey % 45 AS string)
-    WHEN 1 THEN 'raw.pay' || cast(c_custkey % 33 AS string)
-    WHEN 2 THEN 'a+b.c,dw.fact' || cast(c_custkey % 21 AS string)
+    WHEN 0 THEN 'ods.orders' || cast(c_custkey + 1 AS string) || '%2Csrc.cust' ||
+      cast(c_custkey - c_custkey % 40 AS string)
+    WHEN 1 THEN 'raw.pay' || cast(c_custkey - c_custkey % 15 AS string)
+    WHEN 2 THEN 'a+b.c,dw.fact' || cast(c_custkey - c_custkey % 10 AS string)
     WHEN 3 THEN ''
     WHEN 4 THEN NULL
     WHEN 5 THEN CASE c_custkey % 2 WHEN 0 THEN 'bad%zz.' ELSE 'bad%FF.' END || cast(c_custkey AS string)
@@ -146,9 +157,9 @@ FROM {customer}
 
 # An earlier run's code attribute: other keys and addresses than today's, some shared.
 OLD_CODE = """
-SELECT DISTINCT 'ods.orders' || cast(o_custkey % 70 AS string) AS pk,
-  'job' || cast(o_orderkey % 700 AS string) || '.sql' AS label,
-  'https://git.example.com/r/blob/old/job' || cast(o_orderkey % 700 AS string) || '.sql' AS url
+SELECT DISTINCT 'ods.orders' || cast(o_custkey - o_custkey % 2 AS string) AS pk,
+  'job' || cast(o_orderkey - o_orderkey % 20 AS string) || '.sql' AS label,
+  'https://git.example.com/r/blob/old/job' || cast(o_orderkey - o_orderkey % 20 AS string) || '.sql' AS url
 FROM {orders}
 """
 
@@ -194,8 +205,8 @@ def bi_dashboards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TABLE_PAGES = """
 SELECT p_partkey AS page, to_json(named_struct('data', named_struct('databaseTables', array(
-  named_struct('name', 'Orders' || p_partkey % 50,
-    'fullName', '[ODS].[Orders' || p_partkey % 50 || ']',
+  named_struct('name', 'Orders' || (p_partkey - p_partkey % 4),
+    'fullName', '[ODS].[Orders' || (p_partkey - p_partkey % 4) || ']',
     'schema', CASE p_partkey % 4 WHEN 0 THEN 'ods' WHEN 1 THEN 'ODS' WHEN 2 THEN 'dbo' END,
     'connectionType', CASE p_size % 7 WHEN 0 THEN 'hyper' WHEN 1 THEN 'textscan' WHEN 2 THEN NULL
       ELSE 'redshift' END,

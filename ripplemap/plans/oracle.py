@@ -17,7 +17,8 @@ _MAIN = "https://git.example.com/r/blob/main/"
 _REPO = f"""
 repo AS (
   SELECT o_orderkey AS ordinal, o_orderkey AS k, o_custkey AS c,
-    'job' || (o_orderkey % 5000) || CASE o_orderkey % 6 WHEN 0 THEN '.yml' WHEN 1 THEN '.b.sql'
+    CASE o_custkey % 3 WHEN 0 THEN 0 ELSE o_custkey END AS t,
+    'job' || (o_orderkey - o_orderkey % 20) || CASE o_orderkey % 6 WHEN 0 THEN '.yml' WHEN 1 THEN '.b.sql'
       WHEN 2 THEN '.sql.yml' ELSE '.sql' END AS name,
     'etl/d' || (o_custkey % 13) || '/' AS folder,
     CASE WHEN o_orderkey % 6 >= 2 THEN 'sql' WHEN o_orderkey % 6 = 0 THEN 'yml' END AS kind,
@@ -40,11 +41,11 @@ last_sql AS (
 
 _SQL_PAIRS = """
 sql_pairs AS (
-  SELECT name AS file, url, 0 AS pos, CASE WHEN k % 4 = 0 THEN 'dw.fact' || (k % 20)
-    ELSE 'ods.orders' || (c % 50) END AS tab FROM last_sql
-  UNION ALL SELECT name, url, 1, CASE WHEN k % 4 = 0 THEN 'ods.orders' || (c % 50)
-    ELSE 'src.cust' || (c % 40) END FROM last_sql
-  UNION ALL SELECT name, url, 2, 'raw.pay' || (k % 30) FROM last_sql WHERE k % 4 <> 0)"""
+  SELECT name AS file, url, 0 AS pos, CASE WHEN k % 4 = 0 THEN 'dw.fact' || (k - k % 20)
+    ELSE 'ods.orders' || t END AS tab FROM last_sql
+  UNION ALL SELECT name, url, 1, CASE WHEN k % 4 = 0 THEN 'ods.orders' || t
+    ELSE 'src.cust' || (c - c % 40) END FROM last_sql
+  UNION ALL SELECT name, url, 2, 'raw.pay' || (k - k % 30) FROM last_sql WHERE k % 4 <> 0)"""
 
 _YML_PAIRS = """
 yml_pairs AS (
@@ -69,22 +70,25 @@ step_pairs AS (
     UNION ALL SELECT path, url, 2, 'new.t' || (k % 7) FROM step_files WHERE reason IS NULL)
   GROUP BY path, url, tab)"""
 
-_CODE = ",".join([_REPO, _YML, _LAST_SQL, _SQL_PAIRS, _YML_PAIRS]) + """,
+_CODE = ",".join([_REPO, _YML, _LAST_SQL, _SQL_PAIRS, _YML_PAIRS, _STEP, _STEP_PAIRS]) + """,
 code AS (
   SELECT tab AS pk, file AS label, url FROM sql_pairs
-  UNION ALL SELECT tab, file, url FROM yml_pairs)"""
+  UNION ALL SELECT tab, file, url FROM yml_pairs
+  UNION ALL SELECT tab, file, url FROM step_pairs)"""
 
-_CODE_INTENDED = ",".join([_REPO, _YML, _YML_PAIRS]) + """,
+_CODE_INTENDED = ",".join([_REPO, _YML, _YML_PAIRS, _STEP, _STEP_PAIRS]) + """,
 every_file AS (
   SELECT * FROM (
-    SELECT ordinal, k, c, path, url FROM repo_files WHERE last_kind = 'sql')
+    SELECT ordinal, k, c, t, path, url FROM repo_files WHERE last_kind = 'sql')
   QUALIFY row_number() OVER (PARTITION BY path ORDER BY ordinal DESC) = 1),
 code AS (
-  SELECT 'ods.orders' || (c % 50) AS pk, path AS label, url FROM every_file
-  UNION ALL SELECT 'src.cust' || (c % 40), path, url FROM every_file
-  UNION ALL SELECT 'raw.pay' || (k % 30), path, url FROM every_file
-  UNION ALL SELECT 'dw.fact' || (k % 20), path, url FROM every_file WHERE k % 4 = 0
-  UNION ALL SELECT tab, file, url FROM yml_pairs)"""
+  SELECT 'ods.orders' || t AS pk, path AS label, url FROM every_file
+  UNION ALL SELECT 'src.cust' || (c - c % 40), path, url FROM every_file
+  UNION ALL SELECT 'raw.pay' || (k - k % 30), path, url FROM every_file
+  UNION ALL SELECT 'dw.fact' || (k - k % 20), path, url FROM every_file WHERE k % 4 = 0
+  UNION ALL SELECT tab, file, url FROM yml_pairs
+  UNION ALL SELECT tab, file, url FROM step_pairs
+  UNION ALL SELECT 'first.one', path, url FROM step_files WHERE reason IS NULL)"""
 
 _EDGES = """
 edges AS (
@@ -102,7 +106,7 @@ kept AS (
 
 _DATABASE_TABLES = """
 db_tables AS (
-  SELECT p_partkey AS table_id, 'ods.orders' || (p_partkey % 50) AS pk,
+  SELECT p_partkey AS table_id, 'ods.orders' || (p_partkey - p_partkey % 4) AS pk,
     CASE p_size % 7 WHEN 2 THEN NULL ELSE 'redshift' END AS connection_type
   FROM part WHERE p_size % 7 NOT IN (0, 1, 3))"""
 
@@ -132,20 +136,20 @@ keys AS (
 
 _OLD = f"""
 old_code AS (
-  SELECT DISTINCT 'ods.orders' || (o_custkey % 70) AS pk, 'job' || (o_orderkey % 700) || '.sql' AS label,
-    'https://git.example.com/r/blob/old/job' || (o_orderkey % 700) || '.sql' AS url
+  SELECT DISTINCT 'ods.orders' || (o_custkey - o_custkey % 2) AS pk, 'job' || (o_orderkey - o_orderkey % 20) || '.sql' AS label,
+    'https://git.example.com/r/blob/old/job' || (o_orderkey - o_orderkey % 20) || '.sql' AS url
   FROM orders)"""
 
 _REFS = """
 refs AS (
   SELECT 'IMP-' || c_custkey AS issue_key, pos, field FROM (
     SELECT c_custkey, 0 AS pos, CASE c_custkey % 6
-      WHEN 0 THEN 'ods.orders' || (c_custkey % 60) WHEN 1 THEN 'src.cust' || (c_custkey % 45)
-      WHEN 3 THEN 'dw.fact' || (c_custkey % 21) WHEN 4 THEN 'order_status' END AS field
+      WHEN 0 THEN 'ods.orders' || (c_custkey + 1) WHEN 1 THEN 'src.cust' || (c_custkey - c_custkey % 40)
+      WHEN 3 THEN 'dw.fact' || (c_custkey - c_custkey % 10) WHEN 4 THEN 'order_status' END AS field
     FROM customer
     UNION ALL
-    SELECT c_custkey, 1, CASE c_custkey % 6 WHEN 1 THEN 'raw.pay' || (c_custkey % 33)
-      WHEN 3 THEN 'dw.fact' || (c_custkey % 21) WHEN 4 THEN 'ods.orders_staging' END
+    SELECT c_custkey, 1, CASE c_custkey % 6 WHEN 1 THEN 'raw.pay' || (c_custkey - c_custkey % 15)
+      WHEN 3 THEN 'dw.fact' || (c_custkey - c_custkey % 10) WHEN 4 THEN 'ods.orders_staging' END
     FROM customer)
   WHERE field IS NOT NULL)"""
 
@@ -157,11 +161,11 @@ looked AS (
 
 _REQUEST_REFS = """
 request_refs AS (
-  SELECT c_custkey AS request_id, 0 AS pos, CASE c_custkey % 7 WHEN 0 THEN 'ods.orders' || (c_custkey % 60)
-    WHEN 1 THEN 'raw.pay' || (c_custkey % 33) WHEN 2 THEN 'a+b.c' END AS field FROM customer
+  SELECT c_custkey AS request_id, 0 AS pos, CASE c_custkey % 7 WHEN 0 THEN 'ods.orders' || (c_custkey + 1)
+    WHEN 1 THEN 'raw.pay' || (c_custkey - c_custkey % 15) WHEN 2 THEN 'a+b.c' END AS field FROM customer
   WHERE c_custkey % 7 IN (0, 1, 2)
-  UNION ALL SELECT c_custkey, 1, CASE c_custkey % 7 WHEN 0 THEN 'src.cust' || (c_custkey % 45)
-    ELSE 'dw.fact' || (c_custkey % 21) END FROM customer WHERE c_custkey % 7 IN (0, 2))"""
+  UNION ALL SELECT c_custkey, 1, CASE c_custkey % 7 WHEN 0 THEN 'src.cust' || (c_custkey - c_custkey % 40)
+    ELSE 'dw.fact' || (c_custkey - c_custkey % 10) END FROM customer WHERE c_custkey % 7 IN (0, 2))"""
 
 _REPORT = f"""
 SELECT l.issue_key, l.pos, l.field, l.status,
@@ -171,18 +175,18 @@ FROM looked l LEFT JOIN idx i ON l.field = i.pk"""
 
 _STATEMENTS = """
 scripts AS (
-  SELECT ordinal, k, 0 AS pos, 'INSERT INTO ods.orders' || (c % 50) || '_tmp SELECT * FROM src.cust' ||
-    (c % 40) || ' c JOIN Raw.Pay' || (k % 30) || ' p ON c.k = p.k' AS statement
+  SELECT ordinal, k, 0 AS pos, 'INSERT INTO ods.orders' || t || '_tmp SELECT * FROM src.cust' ||
+    (c - c % 40) || ' c JOIN Raw.Pay' || (k - k % 30) || ' p ON c.k = p.k' AS statement
   FROM repo_files WHERE kind = 'sql'
   UNION ALL SELECT ordinal, k, 1, 'SELECT * FROM sel.only' FROM repo_files WHERE kind = 'sql'
-  UNION ALL SELECT ordinal, k, 2, 'insert into dw.fact' || (k % 20) ||
-    '_staging select * from ods.orders' || (c % 50)
+  UNION ALL SELECT ordinal, k, 2, 'insert into dw.fact' || (k - k % 20) ||
+    '_staging select * from ods.orders' || t
   FROM repo_files WHERE kind = 'sql' AND k % 4 = 0)"""
 
 _TABLE_NODES = """
 nodes AS (
-  SELECT p_partkey AS page, p_partkey AS k, p_size AS s, 'Orders' || (p_partkey % 50) AS name,
-    '[ODS].[Orders' || (p_partkey % 50) || ']' AS full_name,
+  SELECT p_partkey AS page, p_partkey AS k, p_size AS s, 'Orders' || (p_partkey - p_partkey % 4) AS name,
+    '[ODS].[Orders' || (p_partkey - p_partkey % 4) || ']' AS full_name,
     CASE p_partkey % 4 WHEN 0 THEN 'ods' WHEN 1 THEN 'ODS' WHEN 2 THEN 'dbo' END AS "schema",
     CASE p_size % 7 WHEN 0 THEN 'hyper' WHEN 1 THEN 'textscan' WHEN 2 THEN NULL
       ELSE 'redshift' END AS connection_type,
@@ -213,23 +217,34 @@ def _substituted(mode: str) -> str:
 
 
 _ORACLE = {
-    "q_repo_scan": _with(_REPO, _YML, body=f"""
+    "q_repo_scan": _with(_REPO, _YML, _STEP, body=f"""
         SELECT ordinal, path, name, url, length(content) AS n_chars
         FROM repo_files JOIN (SELECT ordinal, content FROM {c.duck(c.REPO_FILES)}) USING (ordinal)
         UNION ALL
         SELECT ordinal, path, 'p' || k || '.yml', url, length(content)
-        FROM yml JOIN (SELECT ordinal, content FROM {c.duck(c.YML_FILES)}) USING (ordinal)"""),
-    "q_classify_files": _with(_REPO, _YML, body="""
+        FROM yml JOIN (SELECT ordinal, content FROM {c.duck(c.YML_FILES)}) USING (ordinal)
+        UNION ALL
+        SELECT ordinal, path, 's' || k || '.yml', url, length(content)
+        FROM step_files JOIN (SELECT ordinal, content FROM {c.duck(c.STEP_FILES)}) USING (ordinal)"""),
+    "q_repo_folder": f"""
+        SELECT folder || name AS path, name, '{_MAIN}' || folder || name AS url, length(content) AS n_chars
+        FROM (SELECT content, 'pipelines/' || CASE ordinal % 3 WHEN 0 THEN '.d' ELSE 'd' END || (ordinal % 11) || '/'
+            AS folder, CASE ordinal % 5 WHEN 0 THEN '.p' WHEN 1 THEN '_p' ELSE 'p' END || ordinal || '.yml' AS name
+          FROM {c.duck(c.YML_FILES)})""",
+    "q_classify_files": _with(_REPO, _YML, _STEP, body="""
         SELECT ordinal, path, kind, CASE kind WHEN 'sql' THEN name ELSE path END AS file_key
         FROM repo_files WHERE kind IS NOT NULL
-        UNION ALL SELECT ordinal, path, 'yml', path FROM yml"""),
-    "q_classify_files_intended": _with(_REPO, _YML, body="""
+        UNION ALL SELECT ordinal, path, 'yml', path FROM yml
+        UNION ALL SELECT ordinal, path, 'yml', path FROM step_files"""),
+    "q_classify_files_intended": _with(_REPO, _YML, _STEP, body="""
         SELECT ordinal, path, last_kind AS kind, path AS file_key FROM repo_files
-        UNION ALL SELECT ordinal, path, 'yml', path FROM yml"""),
-    "q_file_urls": _with(_REPO, _YML, _LAST_SQL, body="""
+        UNION ALL SELECT ordinal, path, 'yml', path FROM yml
+        UNION ALL SELECT ordinal, path, 'yml', path FROM step_files"""),
+    "q_file_urls": _with(_REPO, _YML, _STEP, _LAST_SQL, body="""
         SELECT kind, name AS file_key, url FROM last_sql
         UNION ALL SELECT DISTINCT kind, path, url FROM repo_files WHERE kind = 'yml'
-        UNION ALL SELECT 'yml', path, url FROM yml"""),
+        UNION ALL SELECT 'yml', path, url FROM yml
+        UNION ALL SELECT 'yml', path, url FROM step_files"""),
     "q_sql_file_dedup": _with(_REPO, _LAST_SQL, body="""
         SELECT name AS file_key, ordinal, path FROM last_sql"""),
     "q_env_vars": """
@@ -256,13 +271,13 @@ _ORACLE = {
     "q_insert_statements": _with(_REPO, _STATEMENTS, body="""
         SELECT ordinal, pos, statement FROM scripts WHERE pos <> 1"""),
     "q_table_refs": _with(_REPO, body="""
-        SELECT ordinal, 0 AS pos, 0 AS ref_pos, 'ods.orders' || (c % 50) || '_tmp' AS "table"
+        SELECT ordinal, 0 AS pos, 0 AS ref_pos, 'ods.orders' || t || '_tmp' AS "table"
         FROM repo_files WHERE kind = 'sql'
-        UNION ALL SELECT ordinal, 0, 1, 'src.cust' || (c % 40) FROM repo_files WHERE kind = 'sql'
-        UNION ALL SELECT ordinal, 0, 2, 'Raw.Pay' || (k % 30) FROM repo_files WHERE kind = 'sql'
-        UNION ALL SELECT ordinal, 2, 0, 'dw.fact' || (k % 20) || '_staging' FROM repo_files
+        UNION ALL SELECT ordinal, 0, 1, 'src.cust' || (c - c % 40) FROM repo_files WHERE kind = 'sql'
+        UNION ALL SELECT ordinal, 0, 2, 'Raw.Pay' || (k - k % 30) FROM repo_files WHERE kind = 'sql'
+        UNION ALL SELECT ordinal, 2, 0, 'dw.fact' || (k - k % 20) || '_staging' FROM repo_files
           WHERE kind = 'sql' AND k % 4 = 0
-        UNION ALL SELECT ordinal, 2, 1, 'ods.orders' || (c % 50) FROM repo_files
+        UNION ALL SELECT ordinal, 2, 1, 'ods.orders' || t FROM repo_files
           WHERE kind = 'sql' AND k % 4 = 0"""),
     "q_last_insert": _with(_REPO, _STATEMENTS, body="""
         SELECT ordinal, statement FROM scripts WHERE pos = CASE WHEN k % 4 = 0 THEN 2 ELSE 0 END"""),
@@ -276,8 +291,9 @@ _ORACLE = {
           WHEN 1 THEN 'x.y' || c_custkey WHEN 3 THEN 'dw.t' || c_custkey
           ELSE 'c.s_temp.u' || c_custkey END AS "table"
         FROM customer WHERE c_custkey % 5 <> 2""",
-    "q_yml_gate": _with(_YML, body="""
-        SELECT path, true AS has_steps FROM yml WHERE k % 5 <> 0"""),
+    "q_yml_gate": _with(_YML, _STEP, body="""
+        SELECT path, true AS has_steps FROM yml WHERE k % 5 <> 0
+        UNION ALL SELECT path, k % 15 <> 14 FROM step_files"""),
     "q_yml_lint": """
         SELECT p_partkey AS ordinal, 'frequency: daily' || chr(10) || 'steps:' || chr(10) ||
           '- step_type: ' || CASE WHEN p_partkey % 5 = 0 THEN 'extract-s3' ELSE 'sql-command' END ||
@@ -304,8 +320,8 @@ _ORACLE = {
         SELECT file AS file_key, pos, tab AS "table" FROM sql_pairs
         UNION ALL SELECT file, pos, tab FROM yml_pairs
         UNION ALL SELECT file, pos, tab FROM step_pairs"""),
-    "q_table_to_files": _with(_REPO, _LAST_SQL, _SQL_PAIRS, body="""
-        SELECT tab AS "table", file, url FROM sql_pairs"""),
+    "q_table_to_files": _with(_CODE, body="""
+        SELECT pk AS "table", label AS file, url FROM code"""),
     "q_code_index": _with(_CODE, body="SELECT pk, label, url FROM code"),
     "q_code_index_intended": _with(_CODE_INTENDED, body="SELECT DISTINCT pk, label, url FROM code"),
     "q_bi_table_scan": _with(_TABLE_NODES, body="""
@@ -374,7 +390,7 @@ _ORACLE = {
     "q_bi_connection_filter": _with(_DATABASE_TABLES, body="""
         SELECT table_id, connection_type FROM db_tables"""),
     "q_bi_clean": _with(_TABLE_NODES, body="""
-        SELECT page, name AS table_name, 'ods' AS schema_name, 'ods.orders' || (k % 50) AS full_name,
+        SELECT page, name AS table_name, 'ods' AS schema_name, 'ods.orders' || (k - k % 4) AS full_name,
           lower(column_names) AS column_names
         FROM nodes WHERE s % 7 NOT IN (0, 1) AND "schema" IS NOT NULL"""),
     "q_bi_quarantine": _with(_TABLE_NODES, body="""
@@ -387,7 +403,7 @@ _ORACLE = {
     "q_bi_index_intended": _with(_BI_INTENDED, body="SELECT pk, label, url FROM bi"),
     "q_bi_index_of_nodes": _with(_TABLE_NODES, body=f"""
         , real AS (
-          SELECT page, 'ods.orders' || (k % 50) AS pk FROM nodes
+          SELECT page, 'ods.orders' || (k - k % 4) AS pk FROM nodes
           WHERE s % 7 NOT IN (0, 1) AND "schema" IS NOT NULL AND s % 4 > 0),
         winners AS (SELECT pk, max(page) AS page FROM real GROUP BY pk),
         nth AS (SELECT *, row_number() OVER (PARTITION BY page, name ORDER BY pos) AS n FROM listed),
@@ -400,31 +416,31 @@ _ORACLE = {
         SELECT DISTINCT 'github' AS source, pk, label, url FROM code
         UNION ALL SELECT 'tableau', pk, label, url FROM bi"""),
     # The variable file of supplier 7 sets schema.ods to ods7; a fourth of the SQL files spell ods out.
-    "q_code_index_of_repo": _with(_CODE, _STEP, _STEP_PAIRS, body="""
+    "q_code_index_of_repo": _with(_CODE, body="""
         SELECT CASE pos WHEN 0 THEN replace(tab, 'ods.', 'ods7.') ELSE tab END AS pk, file AS label, url
         FROM sql_pairs
         UNION ALL SELECT replace(tab, 'ods.', 'ods7.'), file, url FROM yml_pairs
         UNION ALL SELECT replace(tab, 'ods.', 'ods7.'), file, url FROM step_pairs"""),
-    "q_index_merge": _with(_REPO, _LAST_SQL, _SQL_PAIRS, _OLD, _BI, body="""
-        SELECT 'github' AS source, tab AS pk, file AS label, url FROM sql_pairs
+    "q_index_merge": _with(_CODE, _OLD, _BI, body="""
+        SELECT 'github' AS source, pk, label, url FROM code
         UNION ALL SELECT 'github', pk, label, url FROM old_code
-          WHERE pk NOT IN (SELECT tab FROM sql_pairs)
+          WHERE pk NOT IN (SELECT pk FROM code)
         UNION ALL SELECT 'tableau', pk, label, url FROM bi"""),
-    "q_index_store": _with(_REPO, _LAST_SQL, _SQL_PAIRS, _OLD, _BI, body="""
-        SELECT 'github' AS source, tab AS pk, file AS label, url FROM sql_pairs
+    "q_index_store": _with(_CODE, _OLD, _BI, body="""
+        SELECT 'github' AS source, pk, label, url FROM code
         UNION ALL SELECT 'github', pk, label, url FROM old_code
-          WHERE pk NOT IN (SELECT tab FROM sql_pairs)
+          WHERE pk NOT IN (SELECT pk FROM code)
         UNION ALL SELECT 'tableau', pk, label, url FROM bi"""),
-    "q_index_store_partial": _with(_REPO, _LAST_SQL, _SQL_PAIRS, _OLD, body=f"""
-        SELECT 'github' AS source, tab AS pk, file AS label, url FROM sql_pairs WHERE tab IN {c.PARTIAL_KEYS}
+    "q_index_store_partial": _with(_CODE, _OLD, body=f"""
+        SELECT 'github' AS source, pk, label, url FROM code WHERE pk IN {c.PARTIAL_KEYS}
         UNION ALL SELECT 'github', pk, label, url FROM old_code
-          WHERE pk NOT IN (SELECT tab FROM sql_pairs WHERE tab IN {c.PARTIAL_KEYS})"""),
+          WHERE pk NOT IN (SELECT pk FROM code WHERE pk IN {c.PARTIAL_KEYS})"""),
     "q_index_rejects": """
         SELECT CAST(NULL AS VARCHAR) AS pk, 'plain' || c_custkey AS label, CAST(c_custkey AS VARCHAR) AS url,
           'MissingKey' AS reason
         FROM customer WHERE c_custkey % 5 = 2""",
-    "q_index_replace": _with(_REPO, _LAST_SQL, _SQL_PAIRS, _BI, body="""
-        SELECT 'github' AS source, tab AS pk, file AS label, url FROM sql_pairs
+    "q_index_replace": _with(_CODE, _BI, body="""
+        SELECT 'github' AS source, pk, label, url FROM code
         UNION ALL SELECT 'tableau', pk, label, url FROM bi"""),
     "q_index_keys": _with(_INDEX, body="""
         SELECT pk, has_dashboards, has_files, n_dashboards, n_files FROM keys"""),
@@ -444,6 +460,7 @@ _ORACLE = {
         SELECT issue_key, generate_subscripts(found, 1) - 1 AS pos, unnest(found) AS field FROM (
           SELECT issue_key, regexp_extract_all(lower(txt), '{REFERENCE_PATTERN}', 0) AS found FROM (
             SELECT 'page ' || page_id AS issue_key, url AS txt FROM pages
+            UNION ALL SELECT 'html ' || page_id, html FROM pages
             UNION ALL SELECT 'document ' || doc_id, text FROM documents
             UNION ALL SELECT 'turn ' || conv_id || '.' || turn, text FROM conversations))""",
     "q_text_refs_whole": f"""
@@ -486,6 +503,10 @@ _ORACLE = {
           string_agg(label || '=' || url, '|' ORDER BY label) FILTER (WHERE source = 'github') AS files,
           string_agg(label || '=' || url, '|' ORDER BY label) FILTER (WHERE source = 'tableau') AS dashboards
         FROM idx GROUP BY pk"""),
+    "q_index_records_split": _with(_INDEX, body=f"""
+        SELECT source, pk, label, url,
+          CAST(ceil(count(*) OVER (PARTITION BY pk) / {c.ENTRIES_PER_PART}.0) AS BIGINT) AS parts
+        FROM idx"""),
     "q_impact_stream": _with(_INDEX, _REFS, _LOOKUP, body=_REPORT),
     "q_impact_stream_batches": _with(_INDEX, _REFS, _LOOKUP, body=_REPORT),
 }

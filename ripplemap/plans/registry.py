@@ -11,7 +11,7 @@ from ripplemap.functions import names, sqltext, text
 from ripplemap.operators import bi, code, files, index, issues, lineage
 from ripplemap.plans import corpora as c
 from ripplemap.plans import jobs
-from ripplemap.sources import bi_export, repo
+from ripplemap.sources import bi_export, folder, repo
 from ripplemap.sources import index_store as index_store_sink
 from ripplemap.sources import tickets as ticket_source
 from ripplemap.sources.scratch import cut, shared_path
@@ -40,7 +40,8 @@ def _files(spark: SparkSession, sf: str, *texts: str) -> DataFrame:
 
 
 def _repo(spark: SparkSession, sf: str) -> DataFrame:
-    return _files(spark, sf, c.REPO_FILES, c.YML_FILES)
+    """Files of every kind: scripts, plain definitions, definitions of several steps."""
+    return _files(spark, sf, c.REPO_FILES, c.YML_FILES, c.STEP_FILES)
 
 
 def _sql_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,6 +93,16 @@ def repo_scan(spark, sf):
     )
 
 
+@query
+def repo_folder(spark, sf):
+    """Definitions written as a folder tree and read back, hidden names included."""
+    root = shared_path(spark, "repo-folder")
+    content = c.derive(spark, sf, c.YML_FILES).select("ordinal", "content")
+    folder.write_tree(c.derive(spark, sf, c.HIDDEN_FILES).join(content, "ordinal"), root)
+    return repo.read_repo(spark, root, c.MAIN).select(
+        "path", "name", "url", F.length("content").cast("long").alias("n_chars"))
+
+
 @query
 def classify_files(spark, sf):
     return files.classify_files(_repo(spark, sf)).select("ordinal", "path", "kind", "file_key")
@@ -222,8 +233,7 @@ def yml_quarantine(spark, sf):
 
 @query
 def ingest_stats(spark, sf):
-    corpus = _files(spark, sf, c.REPO_FILES, c.YML_FILES, c.STEP_FILES)
-    return code.ingest_stats(corpus, c.VARIABLES)
+    return code.ingest_stats(_repo(spark, sf), c.VARIABLES)
 
 
 # Code index --------------------------------------------------------------------------
@@ -231,15 +241,14 @@ def ingest_stats(spark, sf):
 
 @query
 def tables_per_file(spark, sf):
-    corpus = _files(spark, sf, c.REPO_FILES, c.YML_FILES, c.STEP_FILES)
-    return code.tables_per_file(jobs.file_tables(corpus, c.VARIABLES)).select(
+    return code.tables_per_file(jobs.file_tables(_repo(spark, sf), c.VARIABLES)).select(
         "file_key", "pos", "table"
     )
 
 
 @query
 def table_to_files(spark, sf):
-    classified = files.classify_files(_files(spark, sf, c.REPO_FILES))
+    classified = files.classify_files(_repo(spark, sf))
     return code.table_to_files(code.file_tables(classified, c.VARIABLES))
 
 
@@ -397,13 +406,13 @@ def _old_index(spark, sf):
 
 @query
 def index_merge(spark, sf):
-    new = jobs.code_index(_files(spark, sf, c.REPO_FILES), c.VARIABLES)
+    new = jobs.code_index(_repo(spark, sf), c.VARIABLES)
     return index.merge_index(_old_index(spark, sf), new, "github")
 
 
 @query
 def index_replace(spark, sf):
-    new = jobs.code_index(_files(spark, sf, c.REPO_FILES), c.VARIABLES)
+    new = jobs.code_index(_repo(spark, sf), c.VARIABLES)
     return index.merge_index(_old_index(spark, sf), new, "github", "replace")
 
 
@@ -412,7 +421,7 @@ def index_store(spark, sf):
     """Two runs of the code source and one of the other, written to a store and read back."""
     base = shared_path(spark, "index-store")
     index_store_sink.upsert_index(spark, base, c.derive(spark, sf, c.OLD_CODE), "github")
-    new = jobs.code_index(_files(spark, sf, c.REPO_FILES), c.VARIABLES)
+    new = jobs.code_index(_repo(spark, sf), c.VARIABLES)
     index_store_sink.upsert_index(spark, base, new, "github")
     index_store_sink.upsert_index(spark, base, jobs.bi_index(*_bi(spark, sf), c.SERVER_URL), "tableau")
     return index_store_sink.read_index(spark, base)
@@ -449,6 +458,22 @@ def index_records(spark, sf):
     )
 
 
+@query
+def index_records_split(spark, sf):
+    """Records whose keys are split into parts, read back as entries: no part is lost."""
+    records = index.to_records(_stored_index(spark, sf), c.ENTRIES_PER_PART)
+
+    def entries_of(source, attribute):
+        entry = lambda e: F.struct(
+            F.lit(source).alias("source"), e["key"].alias("label"), e["value"].alias("url"))
+        return F.transform(F.map_entries(F.coalesce(F.col(attribute), F.create_map().cast("map<string,string>"))), entry)
+
+    entries = F.concat(entries_of("github", "github.files"), entries_of("tableau", "tableau.dashboards"))
+    parts = records.groupBy("pk").agg((F.max("part") + 1).alias("parts"))
+    return records.select("pk", F.explode(entries).alias("e")).join(parts, "pk").select(
+        "e.source", "pk", "e.label", "e.url", "parts")
+
+
 # Tickets -----------------------------------------------------------------------------
 
 
@@ -468,39 +493,29 @@ def issue_refs_intended(spark, sf):
 
 
 def _free_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Page addresses, documents and conversation turns as (issue_key, summary)."""
+    """Page addresses and bodies, documents and conversation turns as (issue_key, summary)."""
     pages, documents, turns = (
         c.spread(c.table(spark, sf, name), key)
         for name, key in (("pages", "page_id"), ("documents", "doc_id"), ("conversations", "conv_id"))
     )
-    whole = [
-        pages.select(
-            F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("issue_key"),
-            F.col("url").alias("summary")),
-        documents.select(
-            F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("issue_key"),
-            F.col("text").alias("summary")),
-        turns.select(
-            F.concat(F.lit("turn "), F.col("conv_id").cast("string"), F.lit("."),
-                     F.col("turn").cast("string")).alias("issue_key"),
-            F.col("text").alias("summary")),
-    ]
-    return whole[0].unionByName(whole[1]).unionByName(whole[2])
+
+    def said(rows: DataFrame, kind: str, text: str, *key) -> DataFrame:
+        return rows.select(F.concat(F.lit(f"{kind} "), *key).alias("issue_key"), F.col(text).alias("summary"))
+
+    page, document = F.col("page_id").cast("string"), F.col("doc_id").cast("string")
+    turn = (F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"))
+    return said(pages, "page", "url", page).unionByName(said(pages, "html", "html", page)).unionByName(
+        said(documents, "document", "text", document)).unionByName(said(turns, "turn", "text", *turn))
 
 
 @query
 def text_refs(spark, sf):
-    """Names in free text: page addresses, documents and conversation turns."""
+    """Names in free text: page addresses and whole bodies, documents, conversation turns."""
     return issues.issue_refs(_free_text(spark, sf))
 
 
-@query
-def text_refs_whole(spark, sf):
-    """Names in all free text: what ``text_refs`` reads, and the whole body of each page."""
-    bodies = c.spread(c.table(spark, sf, "pages"), "page_id").select(
-        F.concat(F.lit("html "), F.col("page_id").cast("string")).alias("issue_key"),
-        F.col("html").alias("summary"))
-    return issues.issue_refs(_free_text(spark, sf).unionByName(bodies))
+# The name under which the whole text was asked for first; both are the same query.
+_REGISTRY["q_text_refs_whole"] = text_refs
 
 
 @query
@@ -545,7 +560,7 @@ def index_store_partial(spark, sf):
     """A store after a run of two keys only and the expiry of what it replaced."""
     base = shared_path(spark, "index-store-partial")
     index_store_sink.upsert_index(spark, base, c.derive(spark, sf, c.OLD_CODE), "github")
-    new = jobs.code_index(_files(spark, sf, c.REPO_FILES), c.VARIABLES).filter(F.col("pk").isin(*c.PARTIAL_KEYS))
+    new = jobs.code_index(_repo(spark, sf), c.VARIABLES).filter(F.col("pk").isin(*c.PARTIAL_KEYS))
     index_store_sink.upsert_index(spark, base, new, "github")
     index_store_sink.expire_versions(spark, base, "github")
     return index_store_sink.read_index(spark, base)
@@ -588,21 +603,21 @@ def _issue_stream(spark, sf):
 @query
 def impact_stream(spark, sf):
     """Stateless stream-static join, run over what is there and then ended."""
-    folder = shared_path(spark, "impact-stream")
+    base = shared_path(spark, "impact-stream")
     report = stream_report(_issue_stream(spark, sf), _stored_index(spark, sf))
-    report.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(
+    report.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(
         availableNow=True
-    ).start(f"{folder}/report").awaitTermination()
-    return spark.read.schema(report.schema).parquet(f"{folder}/report")
+    ).start(f"{base}/report").awaitTermination()
+    return spark.read.schema(report.schema).parquet(f"{base}/report")
 
 
 @query
 def impact_stream_batches(spark, sf):
     """The same tickets through the salted batch plan, one folder per micro-batch."""
-    folder = shared_path(spark, "impact-stream-batches")
+    base = shared_path(spark, "impact-stream-batches")
     stored = _stored_index(spark, sf)
     write_report(
-        _issue_stream(spark, sf), lambda: stored, f"{folder}/report", f"{folder}/state"
+        _issue_stream(spark, sf), lambda: stored, f"{base}/report", f"{base}/state"
     ).awaitTermination()
-    return spark.read.parquet(f"{folder}/report").drop("batch")
+    return spark.read.parquet(f"{base}/report").drop("batch")
 

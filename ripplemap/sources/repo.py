@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ripplemap.functions.names import base_name
+from ripplemap.sources import folder
 
 
 def from_table(snapshot: DataFrame) -> DataFrame:
     """A snapshot table with (ordinal, path, url, content) as repository files.
 
-    The preferred source: a table splits evenly over tasks and keeps files whose name
-    starts with a dot or an underscore. Binary content becomes valid UTF-8 text.
+    The preferred source: a table splits evenly over tasks without a walk. Binary content
+    becomes valid UTF-8 text.
     """
     content = F.col("content")
     if snapshot.schema["content"].dataType == T.BinaryType():
@@ -24,32 +29,25 @@ def from_table(snapshot: DataFrame) -> DataFrame:
     )
 
 
-def read_repo(spark: SparkSession, root: str, url_prefix: str = "") -> DataFrame:
-    """A checked-out folder tree as repository files.
+def read_repo(
+    spark: SparkSession, root: str, url_prefix: str = "", suffixes: Sequence[str] = (".sql", ".yml")
+) -> DataFrame:
+    """A checked-out folder tree as repository files: those with one of the suffixes, or all.
 
-    Directories are not emitted. ``ordinal`` is (depth, path pieces), the order of a
-    breadth-first walk, so no task has to number the files. Spark's file sources skip
-    names that start with ``.`` or ``_``; use ``from_table`` when those matter.
+    Directories are not emitted; names that start with ``.`` or ``_`` are, but for the version
+    control's own folder. ``ordinal`` is (depth, path pieces), the order of a breadth-first
+    walk, so no task has to number the files. ``root`` is a path or an address that every
+    executor can open.
     """
-    base = root.rstrip("/") + "/"
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{sql,yml}")
-        .load(root)
-    )
-    relative = F.element_at(F.split("path", _literal_pattern(base), 2), -1)
-    files = found.select(relative.alias("path"), "content")
+    listed = folder.names(spark, root)
+    if suffixes:
+        listed = listed.filter(reduce(or_, (F.col("path").endswith(s) for s in suffixes)))
     pieces = F.split("path", "/")
     return from_table(
-        files.select(
+        folder.contents(listed, root).select(
             F.struct(F.size(pieces).alias("depth"), pieces.alias("pieces")).alias("ordinal"),
             "path",
             F.concat(F.lit(url_prefix), F.col("path")).alias("url"),
             "content",
         )
     )
-
-
-def _literal_pattern(text: str) -> str:
-    return r"\Q" + text + r"\E"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ripplemap.functions import yaml_udf
 from ripplemap.operators import code, files
 from ripplemap.plans import jobs
-from ripplemap.sources import repo
+from ripplemap.sources import folder, repo
 from tests.conftest import rows
 
 
@@ -193,6 +193,29 @@ def test_read_repo(spark, tmp_path):
     assert rows(jobs.code_index(corpus, {}), "pk", "label") == [("a.b", "b.sql"), ("a.z", "x.sql")]
 
 
+def test_read_repo_keeps_hidden_names_and_walks_all_folders(spark, tmp_path):
+    written = {f"{a}/{b}/{n}{i}.{e}": f"{a}{b}{n}{i}" for i, (a, b, n, e) in enumerate(
+        (a, b, n, e) for a in ("x", ".h", "_u", "x/deep/er") for b in ("1", ".2") for n in (".f", "_f", "f")
+        for e in ("sql", "yml", "txt"))}
+    written |= {f"hot/f{i}.sql": "h" for i in range(500)}
+    made = spark.createDataFrame(list(written.items()), "path string, content string").repartition(3)
+    assert folder.write_tree(made, str(tmp_path / "r")) == len(written)
+    (tmp_path / "r" / ".git").mkdir()
+    (tmp_path / "r" / ".git" / "no.sql").write_text("no")
+    (tmp_path / "r" / "loop").symlink_to(tmp_path / "r")
+    (tmp_path / "r" / "empty").mkdir()
+    every = repo.read_repo(spark, str(tmp_path / "r"), suffixes=())
+    assert dict(rows(every, "path", "content")) == written
+    chosen = repo.read_repo(spark, (tmp_path / "r").as_uri())
+    assert dict(rows(chosen, "path", "content")) == {p: t for p, t in written.items() if not p.endswith("txt")}
+    for tasks in (1, 2, 40):
+        spark.dataSource.register(folder.FolderNames)
+        listed = spark.read.format(folder.FORMAT).option("tasks", tasks).load(str(tmp_path / "r"))
+        assert rows(listed) == sorted(((p, len(t)) for p, t in written.items()), key=repr)
+    (tmp_path / "void").mkdir()
+    assert rows(repo.read_repo(spark, str(tmp_path / "void"))) == []
+
+
 def test_step_type_is_a_parameter(spark):
     content = HEAD.replace("sql-command", "sql_command") + "  name: a\n  command: insert into a.b select 1\n" + TAIL
     corpus = snapshot(spark, ("f.yml", content))
