@@ -1,8 +1,8 @@
 """SQL text expressions: statements, INSERTs and the tables they name.
 
 Everything is a Spark expression on one row's text, so a corpus of any size is
-scanned in one narrow stage. Known limits: ``[bracket]`` table names; blanks around
-the dots of a name; dollar-quoted bodies and ``BEGIN … END`` blocks are split at their
+scanned in one narrow stage. Known limits: a ``[bracket]`` name with a quote, a comma or
+a parenthesis in it; dollar-quoted bodies and ``BEGIN … END`` blocks are split at their
 inner semicolons, as are quoted identifiers that contain one; a quote that stands
 unpaired in code hides the text up to the next quote.
 """
@@ -36,6 +36,14 @@ _BLANK_RUN = r"[\t\n\x0b\f\r]\s*+| \s++"
 _INSERT = r"(?i)^insert\b"
 _CTE = r"(?i)(?:\bwith\s+(?:recursive\s+)?|,\s*)([\w$]+)\s*(?:\([^()]*\)\s*)?as\s*\("
 
+# Spellings of names that are brought to the usual one before tokens are read: a name in
+# brackets (an index such as x[1] follows a word), blanks around the dots of a name that does
+# not start with a digit, and the join word that a SELECT may also have as its modifier.
+_UNUSUAL = r"(?i)\[| \.|\. |\bstraight_join\b"
+_BRACKETED = r"""(?<![\w$)\]"`])\[([^\[\](),"`]++)\]"""
+_SPACED_DOT = r"""((?<![\w$])[A-Za-z_][\w$]*+|""" + _QUOTED + r""") ?\. ?(?=[A-Za-z_"`])"""
+_STRAIGHT_JOIN = r"(?i)(?<!\bselect )(?<!\bdistinct )\bstraight_join\b"
+
 # Words that change what the next token is. Words that no comma can follow before
 # another of them comes (UNION, VALUES, LIMIT, ON, USING, …) need no mention.
 _LIST_WORDS = ("FROM", "JOIN")
@@ -114,6 +122,15 @@ def last_insert(stmts: Column) -> Column:
     return F.try_element_at(inserts(stmts), F.lit(-1))
 
 
+def usual_names(statement: Column) -> Column:
+    """A statement with bracketed, spaced and straight-joined names in their usual spelling."""
+    plain = F.regexp_replace(statement, _BRACKETED, '"$1"')
+    plain = F.regexp_replace(plain, _SPACED_DOT, "$1.")
+    return F.when(
+        statement.rlike(_UNUSUAL), F.regexp_replace(plain, _STRAIGHT_JOIN, "join")
+    ).otherwise(statement)
+
+
 def cte_names(statement: Column) -> Column:
     return F.regexp_extract_all(statement, F.lit(_CTE), F.lit(1))
 
@@ -185,6 +202,7 @@ def named_tables(statement: Column) -> Column:
         )
 
     start = state(F.lit(_PLAIN), F.lit(False), F.array().cast("array<string>"))
+    statement = usual_names(statement)
     found = F.aggregate(_coded(statement), start, step, lambda acc: acc["found"])
     names = F.transform(found, lambda t: F.regexp_extract(t, _NAME_IN_TOKEN, 1))
     named = F.transform(F.filter(names, lambda t: t != ""), lambda t: F.translate(t, '"`', ""))

@@ -57,6 +57,23 @@ SELECT p_partkey AS ordinal, 'pipelines/' || CASE p_partkey % 3 WHEN 0 THEN '.d'
   cast(p_partkey AS string) || '.yml' AS path FROM {part}
 """
 
+# Names in brackets, with blanks around dots, and behind an unusual join word.
+DIALECT_FILES = """
+SELECT c_custkey AS ordinal, 'sql/q' || cast(c_custkey AS string) || '.sql' AS path,
+  'https://git.example.com/r/blob/main/sql/q' || cast(c_custkey AS string) || '.sql' AS url,
+  CASE c_custkey % 4
+    WHEN 0 THEN 'INSERT INTO [ods].[t' || cast(c_custkey AS string) || '] SELECT a[1] FROM [src].[n' ||
+      cast(c_nationkey AS string) || '] x'
+    WHEN 1 THEN 'INSERT INTO ods . t' || cast(c_custkey AS string) || ' SELECT 1. FROM src .n' ||
+      cast(c_nationkey AS string) || ' x'
+    WHEN 2 THEN 'INSERT INTO ods.t' || cast(c_custkey AS string) || ' SELECT STRAIGHT_JOIN x.k FROM src.n' ||
+      cast(c_nationkey AS string) || ' x'
+    ELSE 'INSERT INTO `ods` . [t' || cast(c_custkey AS string) || '] SELECT x . k FROM [src].n' ||
+      cast(c_nationkey AS string) || ' x' END ||
+  ' STRAIGHT_JOIN dw . [s ' || cast(c_custkey % 9 AS string) || '] y ON x . k = [y].[k];' AS content
+FROM {customer}
+"""
+
 # Several steps per file: a repeated name, an empty command, another type, two
 # INSERTs in one command; one file in five is broken in one of three ways.
 STEP_FILES = """

@@ -279,6 +279,10 @@ _ORACLE = {
           WHERE kind = 'sql' AND k % 4 = 0
         UNION ALL SELECT ordinal, 2, 1, 'ods.orders' || t FROM repo_files
           WHERE kind = 'sql' AND k % 4 = 0"""),
+    "q_table_refs_dialects": """
+        SELECT c_custkey AS ordinal, 0 AS pos, ref_pos, CASE ref_pos WHEN 0 THEN 'ods.t' || c_custkey
+          WHEN 1 THEN 'src.n' || c_nationkey ELSE 'dw.s ' || (c_custkey % 9) END AS "table"
+        FROM customer, (VALUES (0), (1), (2)) r(ref_pos)""",
     "q_last_insert": _with(_REPO, _STATEMENTS, body="""
         SELECT ordinal, statement FROM scripts WHERE pos = CASE WHEN k % 4 = 0 THEN 2 ELSE 0 END"""),
     "q_normalise_tables": """
@@ -514,12 +518,12 @@ _ORACLE = {
 
 # Columns that are 64-bit integers in Spark, whatever DuckDB makes of small constants.
 _BIG = {
-    "pos": ["q_split_statements", "q_insert_statements", "q_table_refs", "q_yml_steps",
+    "pos": ["q_split_statements", "q_insert_statements", "q_table_refs", "q_table_refs_dialects", "q_yml_steps",
             "q_tables_per_file", "q_issue_refs", "q_issue_refs_intended",
             "q_impact_report_intended", "q_text_refs", "q_text_refs_whole", "q_issue_lookup",
             "q_impact_report", "q_report_in_order", "q_point_lookup", "q_impact_stream", "q_impact_stream_batches", "q_unreferenced",
             "q_lookup_param", "q_answer_requests"],
-    "ref_pos": ["q_table_refs"], "n_dashboards": ["q_bi_table_scan"], "part": ["q_index_records"],
+    "ref_pos": ["q_table_refs", "q_table_refs_dialects"], "n_dashboards": ["q_bi_table_scan"], "part": ["q_index_records"],
     "status_code": ["q_lookup_rejects"],
 }
 

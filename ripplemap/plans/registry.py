@@ -182,6 +182,15 @@ def table_refs(spark, sf):
     ).withColumn("ref_pos", F.col("ref_pos").cast("long"))
 
 
+@query
+def table_refs_dialects(spark, sf):
+    """Tables under unusual spellings: brackets, blanks around dots, STRAIGHT_JOIN."""
+    stmts = code.split_statements(_files(spark, sf, c.DIALECT_FILES))
+    return code.table_refs(code.insert_statements(stmts)).select(
+        "ordinal", "pos", F.posexplode("tables").alias("ref_pos", "table")
+    ).withColumn("ref_pos", F.col("ref_pos").cast("long"))
+
+
 @query
 def last_insert(spark, sf):
     last = sqltext.last_insert(sqltext.statements(F.col("content")))

@@ -51,6 +51,15 @@ CASES = [
      ["a.b", "c.d"]),
     ("insert into a.b select from_x.y, tablex from c.d t where joiner = 1", ["a.b", "c.d"]),
     ("insert into a.b select * from c.d limit 5, 10", ["a.b", "c.d"]),
+    ("insert into [a].[b] select * from [c d].e x, f.[g] where x.k[1] = [h].[i]", ["a.b", "c d.e", "f.g"]),
+    ("insert into a . b select * from c. d join e .f on 1=1, \"g\" . `h` . i", ["a.b", "c.d", "e.f", "g.h.i"]),
+    ("insert into a.b select 1. from c.d where x > 2. and y in (select .5 from e.f)", ["a.b", "c.d", "e.f"]),
+    ("insert into a.b select * from c.d STRAIGHT_JOIN e.f on 1=1 straight_join g.h", ["a.b", "c.d", "e.f", "g.h"]),
+    ("insert into a.b select straight_join x.y, z.w from c.d", ["a.b", "c.d"]),
+    ("insert into a.b select distinct straight_join x.y from c.d", ["a.b", "c.d"]),
+    ("insert into a.b select array[x.y, 2], [(select max(k) from e.f)] from c.d", ["a.b", "e.f", "c.d"]),
+    ("insert into a.b select t.x .y, u. z from c.d t, [e] . [f] u order by t . x, g . h", ["a.b", "c.d", "e.f"]),
+    ("insert into a.b select * from c.d t, lateral (select t . k) q", ["a.b", "c.d"]),
 ]
 
 
