@@ -15,7 +15,7 @@ from ripplemap.sources import bi_export, folder, repo
 from ripplemap.sources import index_store as index_store_sink
 from ripplemap.sources import tickets as ticket_source
 from ripplemap.sources.scratch import cut, shared_path
-from ripplemap.streaming.impact import stream_report, write_report
+from ripplemap.streaming.impact import hot_fields, stream_report, write_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -611,9 +611,10 @@ def _issue_stream(spark, sf):
 
 @query
 def impact_stream(spark, sf):
-    """Stateless stream-static join, run over what is there and then ended."""
+    """Stateless stream-static join, split by the hot fields of the tickets, over what is there."""
     base = shared_path(spark, "impact-stream")
-    report = stream_report(_issue_stream(spark, sf), _stored_index(spark, sf))
+    hot = hot_fields(issues.issue_refs(_issues(spark, sf)))
+    report = stream_report(_issue_stream(spark, sf), _stored_index(spark, sf), hot)
     report.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(
         availableNow=True
     ).start(f"{base}/report").awaitTermination()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ripplemap.operators import issues
 from ripplemap.schemas import INDEX, ISSUES
 from ripplemap.sources import tickets
-from ripplemap.streaming.impact import stream_report, write_report
+from ripplemap.streaming.impact import hot_fields, stream_report, write_report
 from tests.conftest import rows
 
 NOTE = issues.UNUSED_NOTE
@@ -140,6 +140,43 @@ def test_streams_give_the_batch_report(spark, tmp_path):
     assert later.count() == len(REPORT) + 1 and later.filter(F.col("issue_key") == "K-9").count() == 1
 
 
+def test_hot_field_of_a_stream_is_split(spark, tmp_path):
+    entries = spark.createDataFrame([("github", "hub.t", "f", "u"), ("github", "ab.c", "g", "v")], INDEX)
+    data = spark.range(100_000).select(
+        F.concat(F.lit("K-"), F.col("id")).alias("issue_key"),
+        F.when(F.col("id") % 10 > 0, "see hub.t").when(F.col("id") % 20 == 0, "see ab.c")
+        .otherwise(F.concat(F.lit("see no.t"), F.col("id"))).alias("summary"))
+    hot = hot_fields(issues.issue_refs(data))
+    assert rows(hot, "field") == [("ab.c",), ("hub.t",)]
+    # As a batch, to see tasks: without the hot table one task has the whole field.
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        report = stream_report(data, entries, hot)
+        tasks = report.groupBy("field", F.spark_partition_id().alias("task")).count().filter("field = 'hub.t'")
+        counts = [r["count"] for r in tasks.collect()]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sum(counts) == 90_000 and max(counts) < 60_000
+    plain = stream_report(data, entries)
+    assert report.exceptAll(plain).count() == 0 and plain.exceptAll(report).count() == 0
+
+
+def test_stream_with_hot_fields_gives_the_batch_report(spark, tmp_path):
+    ticket_data(spark).write.parquet(str(tmp_path / "in"))
+    hot = hot_fields(issues.issue_refs(ticket_data(spark)))
+    stream = spark.readStream.schema(ISSUES).parquet(str(tmp_path / "in"))
+    stream_report(stream, spark.createDataFrame(ENTRIES, INDEX), hot).writeStream.format("parquet").option(
+        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(
+        str(tmp_path / "o")).awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "o"))) == REPORT
+    none = issues.issue_refs(ticket_data(spark)).limit(0)
+    assert rows(hot_fields(none)) == []
+
+
 @pytest.mark.parametrize("param, code", [
     ("", 400), (None, 400), ("a.b%FF", 500), ("%C3.x", 500), ("ab.c,,x", 500), ("bad%zz", 500),
     ("ab.c%2Cx", None), ("%EF%BF%BD.x", None), ("\ufffd.x", None), ("a+b", None)])
