@@ -119,8 +119,9 @@ def super_kmers(docs: DataFrame, repeated: np.ndarray, hot: np.ndarray, size: in
 def least_ids(strings: DataFrame, size: int) -> DataFrame:
     """(key, least): the least id of each window of each distinct string, bucket by bucket.
 
-    ``strings`` has bucket, key, packed, low and high (the ids that have the string). Strings
-    in which no window is older than all of its holders are left out.
+    ``strings`` has bucket, key, packed, low and high (the ids that have the string). The
+    windows of a bucket are sorted, and the first of equal ones has the least id. Strings in
+    which no window is older than all of its holders are left out.
     """
 
     def flush(held: list[tuple]) -> Iterator[tuple[bytes, list[int]]]:
@@ -129,21 +130,23 @@ def least_ids(strings: DataFrame, size: int) -> DataFrame:
             if low < high:
                 yield key, [low] * (packed.count(b" ") + 2 - size)
             return
-        first: dict[bytes, int] = {}
-        cuts = []
-        for key, packed, low, high in held:
+        rows, least = [], []
+        for number, (_, packed, low, _) in enumerate(held):
             blanks = np.flatnonzero(np.frombuffer(packed, np.uint8) == 0x20)
             begin = [0, *(blanks + 1).tolist()]
             end = [*blanks.tolist(), len(packed)]
-            windows = [packed[begin[i]:end[i + size - 1]] for i in range(len(begin) - size + 1)]
-            cuts.append(windows)
-            for w in windows:
-                if first.get(w, low) >= low:
-                    first[w] = low
-        for (key, packed, low, high), windows in zip(held, cuts):
-            least = [first[w] for w in windows]
-            if min(least) < high:
-                yield key, least
+            n = len(begin) - size + 1
+            rows += [(packed[begin[i]:end[i + size - 1]], low, number, i) for i in range(n)]
+            least.append([low] * n)
+        rows.sort()  # equal windows stand together, the least id first
+        window, first = None, 0
+        for w, low, number, i in rows:
+            if w != window:
+                window, first = w, low
+            least[number][i] = first
+        for (key, _, _, high), found in zip(held, least):
+            if min(found) < high:
+                yield key, found
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bucket, out = [], None, []
