@@ -34,12 +34,13 @@ _NOISE = (
 # Blank runs that are not a single space already.
 _BLANK_RUN = r"[\t\n\x0b\f\r]\s*+| \s++"
 _INSERT = r"(?i)^insert\b"
+_WITH = r"(?=[wW])\b(?i:with)\b"
 _CTE = r"(?i)(?:\bwith\s+(?:recursive\s+)?|,\s*)([\w$]+)\s*(?:\([^()]*\)\s*)?as\s*\("
 
 # Spellings of names that are brought to the usual one before tokens are read: a name in
 # brackets (an index such as x[1] follows a word), blanks around the dots of a name that does
 # not start with a digit, and the join word that a SELECT may also have as its modifier.
-_UNUSUAL = r"(?i)\[| \.|\. |\bstraight_join\b"
+_UNUSUAL = r"(?=[\[ .sS])(?:\[| \.|\. |\b(?i:straight_join)\b)"
 _BRACKETED = r"""(?<![\w$)\]"`])\[([^\[\](),"`]++)\]"""
 _SPACED_DOT = r"""((?<![\w$])[A-Za-z_][\w$]*+|""" + _QUOTED + r""") ?\. ?(?=[A-Za-z_"`])"""
 _STRAIGHT_JOIN = r"(?i)(?<!\bselect )(?<!\bdistinct )\bstraight_join\b"
@@ -206,7 +207,7 @@ def named_tables(statement: Column) -> Column:
     found = F.aggregate(_coded(statement), start, step, lambda acc: acc["found"])
     names = F.transform(found, lambda t: F.regexp_extract(t, _NAME_IN_TOKEN, 1))
     named = F.transform(F.filter(names, lambda t: t != ""), lambda t: F.translate(t, '"`', ""))
-    ctes = F.when(statement.rlike(r"(?i)\bwith\b"), cte_names(statement)).otherwise(
+    ctes = F.when(statement.rlike(_WITH), cte_names(statement)).otherwise(
         F.array().cast("array<string>")
     )
     return F.array_except(F.array_distinct(named), ctes)

@@ -44,6 +44,11 @@ def _repo(spark: SparkSession, sf: str) -> DataFrame:
     return _files(spark, sf, c.REPO_FILES, c.YML_FILES, c.STEP_FILES)
 
 
+def _latest(spark: SparkSession, sf: str, mode: str = "parity") -> DataFrame:
+    """The files that count for an index: only these are parsed."""
+    return files.latest_scripts(_repo(spark, sf), mode)
+
+
 def _sql_text(spark: SparkSession, sf: str) -> DataFrame:
     """SQL files with their variables replaced."""
     classified = files.classify_files(_files(spark, sf, c.REPO_FILES))
@@ -70,7 +75,7 @@ def _issues(spark: SparkSession, sf: str) -> DataFrame:
 
 def _index(spark: SparkSession, sf: str, mode: str = "parity") -> DataFrame:
     return index.reference_index(
-        jobs.code_index(_repo(spark, sf), c.VARIABLES, mode),
+        jobs.code_index(_latest(spark, sf, mode), c.VARIABLES, mode),
         jobs.bi_index(*_bi(spark, sf), c.SERVER_URL, mode),
     )
 
@@ -263,7 +268,7 @@ def table_to_files(spark, sf):
 
 @query
 def code_index(spark, sf):
-    return jobs.code_index(_repo(spark, sf), c.VARIABLES)
+    return jobs.code_index(_latest(spark, sf), c.VARIABLES)
 
 
 @query
@@ -415,13 +420,13 @@ def _old_index(spark, sf):
 
 @query
 def index_merge(spark, sf):
-    new = jobs.code_index(_repo(spark, sf), c.VARIABLES)
+    new = jobs.code_index(_latest(spark, sf), c.VARIABLES)
     return index.merge_index(_old_index(spark, sf), new, "github")
 
 
 @query
 def index_replace(spark, sf):
-    new = jobs.code_index(_repo(spark, sf), c.VARIABLES)
+    new = jobs.code_index(_latest(spark, sf), c.VARIABLES)
     return index.merge_index(_old_index(spark, sf), new, "github", "replace")
 
 
@@ -430,7 +435,7 @@ def index_store(spark, sf):
     """Two runs of the code source and one of the other, written to a store and read back."""
     base = shared_path(spark, "index-store")
     index_store_sink.upsert_index(spark, base, c.derive(spark, sf, c.OLD_CODE), "github")
-    new = jobs.code_index(_repo(spark, sf), c.VARIABLES)
+    new = jobs.code_index(_latest(spark, sf), c.VARIABLES)
     index_store_sink.upsert_index(spark, base, new, "github")
     index_store_sink.upsert_index(spark, base, jobs.bi_index(*_bi(spark, sf), c.SERVER_URL), "tableau")
     return index_store_sink.read_index(spark, base)
@@ -559,7 +564,7 @@ def report_in_order(spark, sf):
 def point_lookup(spark, sf):
     """A request answered from a store: only the buckets of its fields are read."""
     base = shared_path(spark, "point-lookup")
-    index_store_sink.upsert_index(spark, base, jobs.code_index(_repo(spark, sf), c.VARIABLES), "github")
+    index_store_sink.upsert_index(spark, base, jobs.code_index(_latest(spark, sf), c.VARIABLES), "github")
     index_store_sink.upsert_index(spark, base, jobs.bi_index(*_bi(spark, sf), c.SERVER_URL), "tableau")
     return index_store_sink.stored_references(spark, base, c.POINT_PARAM)
 
@@ -569,7 +574,7 @@ def index_store_partial(spark, sf):
     """A store after a run of two keys only and the expiry of what it replaced."""
     base = shared_path(spark, "index-store-partial")
     index_store_sink.upsert_index(spark, base, c.derive(spark, sf, c.OLD_CODE), "github")
-    new = jobs.code_index(_repo(spark, sf), c.VARIABLES).filter(F.col("pk").isin(*c.PARTIAL_KEYS))
+    new = jobs.code_index(_latest(spark, sf), c.VARIABLES).filter(F.col("pk").isin(*c.PARTIAL_KEYS))
     index_store_sink.upsert_index(spark, base, new, "github")
     index_store_sink.expire_versions(spark, base, "github")
     return index_store_sink.read_index(spark, base)

@@ -221,3 +221,23 @@ def test_step_type_is_a_parameter(spark):
     corpus = snapshot(spark, ("f.yml", content))
     assert rows(jobs.code_index(corpus, {})) == []
     assert rows(jobs.code_index(corpus, {}, step_type="sql_command"), "pk", "label") == [("a.b", "f.yml")]
+
+
+def test_scripts_that_a_later_one_replaces_are_left_out_before_parsing(spark):
+    corpus = snapshot(
+        spark,
+        ("a/x.sql", "insert into a.b select * from c.d"),
+        ("b/x.sql", "select 1"),
+        ("c/x.sql", None),
+        ("n.sql", None),
+        ("a/y.sql", "insert into e.f select 1"),
+        ("p/z.yml", "steps:\n"),
+        ("p/z.yml", "broken"),
+        ("a/t.txt", "no kind"),
+    )
+    latest = files.latest_scripts(corpus)
+    assert rows(latest, "ordinal", "path") == [
+        (1, "b/x.sql"), (3, "n.sql"), (4, "a/y.sql"), (5, "p/z.yml"), (6, "p/z.yml"), (7, "a/t.txt")]
+    tables = lambda given: rows(jobs.file_tables(given, {}))
+    assert tables(latest) == tables(corpus) and len(tables(latest)) == 3
+    assert rows(files.latest_scripts(corpus, "intended")) == rows(corpus)
